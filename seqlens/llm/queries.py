@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqlens.llm import bpe, token_store, toxicity
 from seqlens.llm.mixing import mix_sources
 from seqlens.llm.near_dups import near_duplicates
+from seqlens.llm.sharding import shard_rows
+from seqlens.llm.spotsigs import edited_fingerprints
+from seqlens.llm.url_filter import url_verdicts
+from seqlens.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +51,40 @@ FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    tagger = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), tagger)
+    scored = scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"), F.size("toxicity.spans").alias("n_spans"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_verdicts(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/seqlens/token-store-{uuid.uuid4().hex}"
+    token_store.write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.read_store(spark, path)
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(_table(spark, sf_dir, "documents"), shards=24)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_minhash": op2_minhash}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_toxicity, op4_url_filter, op5_spotsigs, op6_token_store, op7_sharding, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
