@@ -9,7 +9,8 @@ far below the threshold are confirmed on full shingle sets.
 Scale: texts with equal sets become one class first. A bucket of many near copies is not
 expanded into pairs: each member meets one centre of each of its buckets, picks the one with
 the best estimate, and is confirmed against it; components form. Only then are members of a
-bucket that still are in different components paired, which loses no link between components.
+bucket that still are in different components compared: all such pairs in a small bucket, and in
+a large one by an inverted index, block by block. No link between components is lost.
 A pair at the threshold misses all bands with probability (1 - t**ROWS)**(PERMS/ROWS), 5e-8
 at t = 0.8, and falls under the estimate's cut with a probability below 1e-4.
 
@@ -36,6 +37,8 @@ PERMS, ROWS, BBITS = 128, 4, 4
 WORDS = PERMS * BBITS // 64
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 SLACK = 4.0
+#: Buckets with more members are searched by an inverted index, in blocks of BLOCK members.
+HOT, BLOCK = 48, 2000
 _LOW = np.uint64(0x1111111111111111)
 
 
@@ -180,7 +183,7 @@ def link_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int, tex
     classes = shared_table(classes.select("cls", "c.*"), "classes")
     member = classes.select("cls", F.explode("bands").alias("key"))
     centre = member.groupBy("key").agg(F.min_by("cls", F.xxhash64("cls", "key")).alias("centre"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    bucket = shared_table(member.join(centre, "key").select("key", "cls", "centre"), "buckets")
+    bucket = shared_table(member.join(centre, "key").select("key", "cls", "centre", "members"), "buckets")
     light = classes.select("cls", "n", "sig")
 
     near = bucket.where("cls <> centre").select("cls", "centre").distinct()
@@ -193,20 +196,58 @@ def link_classes(docs: DataFrame, sketches: DataFrame, k: int, percent: int, tex
     sets = shared_table(_shingle_sets(docs, wanted, k, text, doc_id), "shinglesets")
     first = shared_table(_confirm(best, sets, percent), "links")
 
-    comp = connected_components(first)
-    placed = bucket.select("key", "cls").join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("comp"))
-    placed = shared_table(placed.join(light, "cls"), "placed")
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.mode("comp").alias("main")).where("lo <> hi")
-    held = placed.join(mixed.select("key", "main"), "key")
-    # members outside the bucket's main component meet every member of another component
-    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & ((F.col("r.comp") == F.col("l.main")) | (F.col("l.cls") < F.col("r.cls")))
-    rest = held.where("comp <> main").alias("l").join(held.alias("r"), meet & _alike("l", "r", percent))
-    rest = rest.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
-    rest = rest.join(best, ["a", "b"], "left_anti")
-    more = _confirm(rest, sets, percent)
+    comp = connected_components(first).select("node", F.xxhash64("component").alias("comp"))
+    placed = bucket.join(comp, F.col("cls") == F.col("node"), "left").select("key", "cls", "members", F.coalesce("comp", F.xxhash64("cls")).alias("comp"))
+    placed = shared_table(placed, "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    placed = placed.join(mixed, "key")
+    few = placed.where(F.col("members") <= HOT).join(light, "cls")
+    few = shared_table(few.select("key", "cls", "comp", "n", "sig"), "few")
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & (F.col("l.cls") < F.col("r.cls"))
+    rest = few.alias("l").join(few.alias("r"), meet & _alike("l", "r", percent)).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+    rest = rest.unionByName(_hot_links(placed.where(F.col("members") > HOT), sets, percent)).distinct()
+    more = shared_table(_confirm(rest.join(best, ["a", "b"], "left_anti"), sets, percent), "links")
     return connected_components(first.unionByName(more))
 
 
+def _hot_links(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a large bucket that lie in different components and may reach the threshold.
+
+    Members outside the bucket's main component are looked up in an inverted index of all its
+    members, block by block; of each component a member links to, one pair is returned. Sets
+    travel as 32-bit hashes, which can only overrate a pair; full sets decide later.
+    """
+    main = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    short = sets.select("cls", F.transform("shingles", lambda x: F.hash(x)).alias("t"))
+    rows = placed.join(main, "key").join(short, "cls").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asks = rows.where("comp <> main").select("key", F.col("mine").alias("i"), every.alias("j"), F.lit(True).alias("asks"), "cls", "comp", "t")
+    told = rows.select("key", every.alias("i"), F.col("mine").alias("j"), F.lit(False).alias("asks"), "cls", "comp", "t")
+
+    def look(group: pd.DataFrame) -> pd.DataFrame:
+        told, asks = group[~group["asks"]], group[group["asks"]]
+        if not len(told) or not len(asks):
+            return pd.DataFrame({"a": [], "b": []})
+        size = np.array([len(t) for t in told["t"]])
+        tokens = np.concatenate(told["t"].to_list())
+        order = np.argsort(tokens, kind="stable")
+        owner, tokens = np.repeat(np.arange(len(size)), size)[order], tokens[order]
+        comp, cls = told["comp"].to_numpy(), told["cls"].to_numpy()
+        out = []
+        for c, mine, t in asks[["cls", "comp", "t"]].itertuples(index=False):
+            lo, hi = np.searchsorted(tokens, t, "left"), np.searchsorted(tokens, t, "right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            common = np.minimum(np.bincount(owner[at], minlength=len(size)), np.minimum(size, len(t)))
+            hit = np.flatnonzero((common * 100 >= (size + len(t) - common) * percent) & (comp != mine))
+            for i in hit[np.unique(comp[hit], return_index=True)[1]]:
+                out.append((min(c, cls[i]), max(c, cls[i])))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return asks.unionByName(told).groupBy("key", "i", "j").applyInPandas(look, "a binary, b binary")
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, doc_id: str) -> DataFrame:
     """(cls, shingles) of the wanted classes (cls, rep), from the texts of their representatives."""
 
