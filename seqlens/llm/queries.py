@@ -9,12 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bpe, token_store, toxicity
+from seqlens.llm import bpe, token_store, toxicity, warc
 from seqlens.llm.mixing import mix_sources
 from seqlens.llm.near_dups import near_duplicates
 from seqlens.llm.sharding import shard_rows
 from seqlens.llm.spotsigs import edited_fingerprints
 from seqlens.llm.url_filter import url_verdicts
+from seqlens.llm.vector_dups import near_vectors
 from seqlens.session import shared_dir
 
 
@@ -83,9 +84,42 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/seqlens/warc-{uuid.uuid4().hex}"
+    warc.write_archive(warc.plan_records(_table(spark, sf_dir, "pages")), path)
+    return warc.read_records(spark, path)
+
+
+OP9_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0
+), l AS MATERIALIZED (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM g x JOIN g y ON x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= 0.9
+), r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b
+), c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages
+), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS s FROM p
+), f AS (SELECT s, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY s)
+SELECT d.page_id, d.n AS payload_bytes, d.s AS payload_digest,
+  CASE WHEN f.first <> d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f ON f.s = d.s
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_toxicity, op4_url_filter, op5_spotsigs, op6_token_store, op7_sharding, op8_bpe)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_toxicity, op4_url_filter, op5_spotsigs, op6_token_store, op7_sharding, op8_bpe, op9_vector_dups, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL}
+    return {"op2_minhash": OP2_SQL, "op9_vector_dups": OP9_SQL, "op10_warc": OP10_SQL}
