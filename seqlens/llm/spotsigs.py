@@ -71,14 +71,14 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(id, h, n, next_id, next_h): each distinct (id, text) and the one after it; the last is followed by the first."""
+    """(id, k, h, n, next_k, next_h): each distinct (id, text), as two hashes, and the one after it; the last is followed by the first."""
     t = F.coalesce(F.col(text), F.lit(""))
-    keys = docs.select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("h"), F.length(t).cast("long").alias("n")).distinct()
+    keys = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select("id", F.xxhash64("id", "t").alias("k"), F.xxhash64("t").alias("h"), F.length("t").cast("long").alias("n")).distinct()
     placed = with_positions(keys, [F.col("id").asc_nulls_last(), F.col("h")], "pos", "docorder")
     placed = shared_table(placed, "docorder")
     count = placed.count()
-    before = placed.select(F.col("id").alias("next_id"), F.col("h").alias("next_h"), F.pmod(F.col("pos") - 1, F.lit(max(count, 1))).alias("p"))
-    return placed.join(before, F.col("pos") == F.col("p")).select("id", "h", "n", "next_id", "next_h")
+    before = placed.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.pmod(F.col("pos") - 1, F.lit(max(count, 1))).alias("p"))
+    return placed.join(before, F.col("pos") == F.col("p")).select("id", "k", "h", "n", "next_k", "next_h")
 
 
 def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -89,17 +89,17 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     link = shared_table(neighbours(docs, text, doc_id), "nextdoc")
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).withColumn("h", F.xxhash64("t"))
-    wanted = link.select(F.col("id").alias("to_id"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"), F.col("next_id"), F.col("next_h"))
-    giver = rows.select(F.col("id").alias("g"), F.col("h").alias("gh"), F.col("t").alias("gt"))
-    # each distinct text gives once, whatever its repeats
-    given = wanted.join(giver, F.col("next_id").eqNullSafe(F.col("g")) & (F.col("next_h") == F.col("gh")))
-    given = given.select("to_id", "to_h", F.substring(F.col("gt"), F.lit(1), F.col("take")).alias("head"), signatures(F.col("gt")).alias("next_sigs"))
-    given = given.groupBy("to_id", "to_h").agg(F.any_value("head").alias("head"), F.any_value("next_sigs").alias("next_sigs"))
-    both = rows.join(given, F.col("id").eqNullSafe(F.col("to_id")) & (F.col("h") == F.col("to_h")))
+    # one exchange of the texts, with their own signatures, serves givers and takers alike
+    rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select(F.xxhash64("id", "t").alias("k"), F.xxhash64("t").alias("h"), "t", signatures(F.col("t")).alias("s"))
+    wanted = link.select("id", F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"), "next_k", "next_h")
+    given = rows.join(wanted, (F.col("k") == F.col("next_k")) & (F.col("h") == F.col("next_h")))
+    given = given.select("id", "to_k", "to_h", F.substring(F.col("t"), F.lit(1), F.col("take")).alias("head"), F.col("s").alias("next_sigs"))
+    # repeated rows give the same
+    given = given.groupBy("to_k", "to_h").agg(F.any_value("id").alias("id"), F.any_value("head").alias("head"), F.any_value("next_sigs").alias("next_sigs"))
+    both = rows.join(given, (F.col("k") == F.col("to_k")) & (F.col("h") == F.col("to_h")))
     keep = F.length("t") - F.floor(F.length("t") / 4).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), keep), F.col("head"))
-    both = both.select("id", F.length("t").cast("long").alias("n_chars"), edited.alias("e"), signatures(F.col("t")).alias("s"), "next_sigs")
+    both = both.select("id", F.length("t").cast("long").alias("n_chars"), edited.alias("e"), "s", "next_sigs")
     both = both.select("id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), "s", signatures(F.col("e")).alias("es"), "next_sigs")
     return both.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", written(F.col("s")).alias("fingerprint"), written(F.col("es")).alias("edited_fingerprint"),
