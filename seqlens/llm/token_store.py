@@ -8,7 +8,8 @@ Merkle root over them; reading back checks every chunk's digest, the root and th
 
 Layout under the given folder: pack/ Parquet (zstd), a row per document, ascending by start
 within files; start is the document's place in the stream of all ids in ascending doc_id
-order. Ids take 2 bytes where the vocabulary allows it, else 4.
+order. Ids take 2 bytes where the vocabulary allows it, else 4, and a row's ids are one zstd
+frame, so that they stay small while they travel.
 
 Defined results: null text is the empty text, whose stream is the end id alone; null ids
 come last; repeated rows each get a start of their own and share their chunks; an empty table
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,6 +96,14 @@ def cut_points(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _pack(ids: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(ids)
+
+
+def _unpack(frame: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(frame)
+
+
 def merkle_root(digests: list[bytes]) -> bytes:
     level = list(digests) or [b""]
     while len(level) > 1:
@@ -120,7 +130,7 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, doc_
                 starts = np.cumsum([0, *(len(s) // width for s in streams)])
                 cuts = cut_points(np.frombuffer(b"".join(streams), dtype=encoder.dtype), starts)
                 digests = [[_digest(s[a * width : b * width]) for a, b in zip([0, *c], c)] for s, c in zip(streams, cuts, strict=True)]
-                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "n_tokens": np.diff(starts), "width": width, "root": [merkle_root(d) for d in digests], "digests": digests, "lens": [np.diff([0, *c]).astype("int32") for c in cuts], "ids": streams})
+                yield pd.DataFrame({"doc_id": part["id"].to_numpy(), "n_tokens": np.diff(starts), "width": width, "root": [merkle_root(d) for d in digests], "digests": digests, "lens": [np.diff([0, *c]).astype("int32") for c in cuts], "ids": [_pack(s) for s in streams]})
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     staged = rows.mapInPandas(run, "doc_id long, n_tokens long, width int, root binary, digests array<binary>, lens array<int>, ids binary")
@@ -152,7 +162,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["ids"] = [i if p is None else _without(i, n, p, w) for i, n, p, w in zip(b["ids"], b["lens"], b["part"], b["width"], strict=True)]
+            b["ids"] = [i if p is None else _pack(_without(_unpack(i), n, p, w)) for i, n, p, w in zip(b["ids"], b["lens"], b["part"], b["width"], strict=True)]
             yield b
 
     pack = full.mapInPandas(strip, full.schema).sortWithinPartitions("start")
@@ -171,7 +181,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
         for b in batches:
             got = []
             for at, width, lens, gone, ids, want in b[["at", "width", "lens", "gone", "ids", "asked"]].itertuples(index=False):
-                gone, want, place = set(() if gone is None else gone), set(want), 0
+                gone, want, place, ids = set(() if gone is None else gone), set(want), 0, _unpack(ids)
                 for i, n in enumerate(lens):
                     if i in gone:
                         continue
@@ -192,7 +202,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
             rows = []
             for doc, start, n, width, root, digests, lens, ids, got, chunk in b[[*base, "got", "chunk"]].itertuples(index=False):
                 more = {} if got is None else dict(zip(got, chunk, strict=True))
-                parts, at = [], 0
+                parts, at, ids = [], 0, _unpack(ids)
                 for i, size in enumerate(lens):
                     part = more.get(i)
                     if part is None:
