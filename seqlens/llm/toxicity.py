@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,15 +29,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 2000, 3000, 20_000
+MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 800, 1200, 20_000
 #: Least log-likelihood ratio of a feature whose tokens are labelled, and of one that is kept.
 SURE, KEPT = 14.0, 3.0
 _WORD = re.compile(r"\w+")
-_CODES = {0: "", 4: "4 ", 5: "5 ", 6: "6 "}
 
 
 def features(word: str) -> list[str]:
-    return [word, *(_CODES[n] + word[:n] for n in (4, 5, 6) if len(word) >= n)]
+    return [word, *(f"{n} {word[:n]}" for n in (4, 5, 6) if len(word) >= n)]
 
 
 def moebius_scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, x0: float) -> np.ndarray:
@@ -112,47 +110,57 @@ class Tagger:
             got.append(e)
         return got
 
-    def marginal_logits(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of every token, and the starts of the documents that have tokens."""
-        sizes = np.array([len(d) for d in docs if d], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, dtype=np.int64)
-        emission = np.array([x for d in docs for x in self.emissions(d)])
+    def evidence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """A row a document: 1, its largest log odds, its mass of likely tokens; and all tokens' log odds."""
+        return self.weigh(np.array([x for d in docs for x in self.emissions(d)], dtype=np.float64), np.array([len(d) for d in docs], dtype=np.int64))
+
+    def weigh(self, emission: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.tile([1.0, -20.0, 0.0], (len(sizes), 1))
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return x, np.zeros(0)
+        starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
         first = np.zeros(len(emission), dtype=bool)
         first[starts] = True
         forward, backward = chain(emission, first, self.psi)
-        return np.log(np.maximum(forward, 1e-300)) + np.log(np.maximum(backward, 1e-300)), starts
-
-    def evidence(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """A row a document: 1, its largest log odds, its mass of likely tokens; and all tokens' log odds."""
-        x = np.tile([1.0, -20.0, 0.0], (len(docs), 1))
-        logits, starts = self.marginal_logits(docs)
-        if len(starts):
-            some = [i for i, d in enumerate(docs) if d]
-            p = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
-            x[some, 1] = np.clip(np.maximum.reduceat(logits, starts), -20, 20)
-            x[some, 2] = np.log1p(np.add.reduceat(np.where(p >= 0.2, p, 0.0), starts))
+        logits = np.log(np.maximum(forward, 1e-300)) + np.log(np.maximum(backward, 1e-300))
+        p = 1 / (1 + np.exp(-np.clip(logits, -50, 50)))
+        x[some, 1] = np.clip(np.maximum.reduceat(logits, starts), -20, 20)
+        x[some, 2] = np.log1p(np.add.reduceat(np.where(p >= 0.2, p, 0.0), starts))
         return x, logits
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.fit), -50, 50))) if self.trained else np.zeros(len(x))
 
 
-def _ratios(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tuple[float, bool]]:
-    """Log-likelihood ratio of each feature's document counts, and whether it speaks for toxic."""
-    counts = []
-    for side in (toxic, clean):
-        c: Counter[str] = Counter()
-        for words in side:
-            c.update({f for w in set(words) for f in features(w)})
-        counts.append(c)
-    n1, n0, out = len(toxic), len(clean), {}
-    for f in counts[0].keys() | counts[1].keys():
-        k1, k0 = counts[0][f], counts[1][f]
-        if k1 + k0 < 3:
-            continue
-        share = (k1 + k0) / (n1 + n0)
-        g = sum(o * math.log(o / x) for o, x in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))) if o)
-        out[f] = (g, k1 * n0 > k0 * n1 * 5)
+def _ratios(docs: list[np.ndarray], toxic: int, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each feature's document counts, and whether it speaks for toxic.
+
+    docs: word numbers of each text, the toxic ones first; table: feature numbers of each word, -1 for none.
+    """
+    k1, k0 = np.zeros(n), np.zeros(n)
+    for i, d in enumerate(docs):
+        found = np.unique(table[np.unique(d)])
+        (k1 if i < toxic else k0)[found[found >= 0]] += 1
+    n1, n0 = toxic, len(docs) - toxic
+    share = (k1 + k0) / (n1 + n0)
+    g = np.zeros(n)
+    for seen, expected in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))):
+        g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
+    return np.where(k1 + k0 >= 3, g, 0), k1 * n0 > k0 * n1 * 5
+
+
+def _first_copies(docs: list[np.ndarray]) -> np.ndarray:
+    """Which texts share none of a few shingle minima with an earlier one: copies would count a text's words many times."""
+    seen: set[tuple[int, int]] = set()
+    out = np.ones(len(docs), dtype=bool)
+    for i, d in enumerate(docs):
+        x = d.astype(np.uint64)
+        if len(x) >= 3:
+            x = (x[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93) + x[2:]
+        lows = {(k, int((x * np.uint64(a) >> np.uint64(16)).min())) for k, a in enumerate((0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))} if len(x) else set()
+        out[i] = not lows & seen
+        seen |= lows
     return out
 
 
@@ -160,18 +168,27 @@ def fit_tagger(toxic: list[str], clean: list[str], toxic_total: int, clean_total
     """Fit on labelled texts; the totals are the classes' sizes before sampling."""
     if not toxic or not clean:
         return Tagger()
-    docs = [[w.lower() for w in _WORD.findall(t or "")] for t in [*toxic, *clean]]
+    words: dict[str, int] = {}
+    docs = [np.array([words.setdefault(w.lower(), len(words)) for w in _WORD.findall(t or "")], dtype=np.int32) for t in [*toxic, *clean]]
     label = np.arange(len(docs)) < len(toxic)
-    ratios = _ratios(docs[: len(toxic)], docs[len(toxic) :])
-    sure = {f for f, (g, up) in ratios.items() if up and g >= SURE}
-    kept = sorted((f for f, (g, _) in ratios.items() if g >= KEPT), key=lambda f: (-ratios[f][0], f))[:MAX_FEATURES]
-    number = {f: i for i, f in enumerate(kept)}
-    words = {w: i for i, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-    pairs = [(i, number[f]) for w, i in words.items() for f in features(w) if f in number]
-    of_word, of_feature = (np.array(v, dtype=np.int64) for v in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    marked = np.array([any(f in sure for f in features(w)) for w in words])
-    token = np.array([words[w] for d in docs for w in d])
-    sizes = np.array([len(d) for d in docs])
+    names: dict[str, int] = {}
+    table = np.full((max(1, len(words)), 4), -1, dtype=np.int32)
+    for w, i in words.items():
+        for j, f in enumerate(features(w)):
+            table[i, j] = names.setdefault(f, len(names))
+    own = _first_copies(docs)
+    ratio, up = _ratios([d for d, ok in zip(docs, own, strict=True) if ok], int((own & label).sum()), table, len(names))
+    sure = np.append(up & (ratio >= SURE), False)
+    order = np.argsort(-ratio, kind="stable")[:MAX_FEATURES]
+    order = order[ratio[order] >= KEPT]
+    place = np.full(len(names) + 1, -1)
+    place[order] = np.arange(len(order))
+    listed = list(names)
+    kept = [listed[i] for i in order]
+    of_word, of_feature = np.nonzero(place[table] >= 0)[0], place[table][place[table] >= 0]
+    marked = sure[table].any(axis=1)
+    token, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    del docs, names, listed
     truth = marked[token] & np.repeat(label, sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])[sizes > 0]
     first = np.zeros(len(token), dtype=bool)
@@ -198,9 +215,9 @@ def fit_tagger(toxic: list[str], clean: list[str], toxic_total: int, clean_total
         gradient -= 0.05 * theta * np.append(np.ones(len(kept)), [0, 1, 1, 1, 1])
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         theta += 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-    keep = {f: float(theta[i]) for f, i in number.items() if abs(theta[i]) > 1e-3}
+    keep = {f: float(t) for f, t in zip(kept, theta, strict=False) if abs(t) > 1e-3}
     tagger = Tagger(keep, float(theta[len(kept)]), np.exp(theta[len(kept) + 1 :].reshape(2, 2)))
-    x, _ = tagger.evidence(docs)
+    x, _ = tagger.weigh((np.bincount(of_word, theta[: len(kept)][of_feature], len(words)) + tagger.bias)[token], sizes)
     weights = np.where(label, toxic_total / len(toxic), clean_total / len(clean))
     tagger.fit, tagger.trained = _logistic(x, label, weights / weights.mean()), True
     return tagger
