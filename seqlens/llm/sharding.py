@@ -51,33 +51,12 @@ def _scaled(points: DataFrame) -> DataFrame:
     return points.select("digest", "piece", "bytes", size.alias("d0"), _unit(F.col("source")).alias("d1"), _unit(F.col("lang")).alias("d2"), first.alias("d3"), "tie")
 
 
-class Tree:
-    """Splits by node number (root 1, children 2n and 2n + 1) and the shards under each node."""
-
-    def __init__(self, shards: int):
-        self.count = {1: shards}
-        self.split: dict[int, tuple[str, float, float]] = {}
-        self.depth = 0
-
-    def level(self, depth: int) -> list[int]:
-        return [n for n, k in self.count.items() if n >> depth == 1 and k > 1]
-
-    def node(self, depth: int) -> Column:
-        """The node at this depth (or the leaf above it) that a point falls into."""
-        at = F.lit(1)
-        for d in range(depth):
-            step = at
-            for n in self.level(d):
-                if n in self.split:
-                    dim, value, tie = self.split[n]
-                    left = (F.col(dim) < F.lit(value)) | (F.col(dim) == F.lit(value)) & (F.col("tie") < F.lit(tie))
-                    step = _step(step, at, n, left)
-            at = step
-        return at
-
-
-def _step(otherwise: Column, at: Column, n: int, left: Column) -> Column:
-    return F.when(at == n, F.when(left, F.lit(2 * n)).otherwise(F.lit(2 * n + 1))).otherwise(otherwise)
+def _by_node(values: dict[int, Column]) -> Column:
+    """A column chosen by the row's node; null for other nodes."""
+    out = F.lit(None)
+    for n, c in values.items():
+        out = F.when(F.col("node") == n, c).otherwise(out)
+    return out
 
 
 def _quantiles(points: DataFrame, need: dict[int, float], value: Column, bounds: dict[int, tuple[float, float]], under: dict[int, float]) -> tuple[dict[int, float], dict[int, float]]:
@@ -87,9 +66,7 @@ def _quantiles(points: DataFrame, need: dict[int, float], value: Column, bounds:
         live = {n: b for n, b in bounds.items() if b[1] > b[0]}
         if not live:
             break
-        lo = hi = F.lit(None).cast("double")
-        for n, (a, b) in live.items():
-            lo, hi = F.when(F.col("node") == n, F.lit(a)).otherwise(lo), F.when(F.col("node") == n, F.lit(b)).otherwise(hi)
+        lo, hi = (_by_node({n: F.lit(float(b[i])) for n, b in live.items()}).cast("double") for i in (0, 1))
         rows = points.select("node", "bytes", value.alias("v"), lo.alias("lo"), hi.alias("hi")).where("v >= lo AND v <= hi")
         place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS))
         sums = rows.groupBy("node", place.alias("bin")).agg(F.sum("bytes").alias("w"), F.min("v").alias("a"), F.max("v").alias("b")).collect()
@@ -103,33 +80,35 @@ def _quantiles(points: DataFrame, need: dict[int, float], value: Column, bounds:
     return {n: b[0] for n, b in bounds.items()}, under
 
 
-def grow_tree(points: DataFrame, shards: int) -> Tree:
-    """The k-d tree over points (bytes, dimensions, tie)."""
-    tree = Tree(shards)
-    depth = 0
-    while nodes := tree.level(depth):
-        placed = points.select("bytes", "tie", *DIMS, tree.node(depth).alias("node")).where(F.col("node").isin(nodes))
+def grow_tree(points: DataFrame, shards: int) -> tuple[DataFrame, dict[int, int]]:
+    """points (bytes, dimensions, tie) with their leaf as node, and the shard number of each leaf.
+
+    Node numbers: root 1, children 2n and 2n + 1. Each level's nodes are written before the next is split.
+    """
+    count = {1: shards}
+    placed = points.withColumn("node", F.lit(1))
+    while nodes := [n for n, k in count.items() if k > 1 and 2 * n not in count]:
+        live = placed.where(F.col("node").isin(nodes))
         spans = [f(d).alias(f"{f.__name__}_{d}") for d in DIMS for f in (F.min, F.max)]
-        stats = {r.node: r for r in placed.groupBy("node").agg(F.sum("bytes").alias("w"), *spans).collect()}
-        widest = {n: max(DIMS, key=lambda d: stats[n][f"max_{d}"] - stats[n][f"min_{d}"]) if n in stats else DIMS[0] for n in nodes}
-        value = F.lit(None).cast("double")
-        for n in nodes:
-            value = F.when(F.col("node") == n, F.col(widest[n])).otherwise(value)
-        need = {n: (stats[n].w if n in stats else 0) * (tree.count[n] // 2) / tree.count[n] for n in nodes}
-        bounds = {n: (stats[n][f"min_{widest[n]}"], stats[n][f"max_{widest[n]}"]) for n in nodes if n in stats}
-        cut, under = _quantiles(placed, need, value, bounds, dict.fromkeys(bounds, 0))
-        at = F.lit(None).cast("double")
-        for n, v in cut.items():
-            at = F.when(F.col("node") == n, F.lit(v)).otherwise(at)
-        tied = placed.where(value == at)
-        tie, _ = _quantiles(tied, need, F.col("tie"), dict.fromkeys(cut, (0.0, 1.0)), under)
+        stats = {r.node: r for r in live.groupBy("node").agg(F.sum("bytes").alias("w"), *spans).collect()}
+        full = [n for n in nodes if n in stats]
+        widest = {n: max(DIMS, key=lambda d, n=n: stats[n][f"max_{d}"] - stats[n][f"min_{d}"]) for n in full}
+        need = {n: stats[n].w * (count[n] // 2) / count[n] for n in full}
+        value = _by_node({n: F.col(widest[n]) for n in full}).cast("double")
+        bounds = {n: (stats[n][f"min_{widest[n]}"], stats[n][f"max_{widest[n]}"]) for n in full}
+        cut, under = _quantiles(live, need, value, bounds, dict.fromkeys(full, 0))
+        tied = live.where(value == _by_node({n: F.lit(float(v)) for n, v in cut.items()}).cast("double"))
+        tie, _ = _quantiles(tied, need, F.col("tie"), dict.fromkeys(full, (0.0, 1.0)), under)
+        step = {}
         for n in nodes:
-            k = tree.count[n]
-            tree.count[2 * n], tree.count[2 * n + 1] = k // 2, k - k // 2
-            tree.split[n] = (widest[n], cut.get(n, 0.0), tie.get(n, 0.0))
-        depth += 1
-    tree.depth = depth
-    return tree
+            count[2 * n], count[2 * n + 1] = count[n] // 2, count[n] - count[n] // 2
+            if n in widest:
+                d = F.col(widest[n])
+                left = (d < F.lit(float(cut[n]))) | (d == F.lit(float(cut[n]))) & (F.col("tie") < F.lit(float(tie[n])))
+                step[n] = F.when(left, F.lit(2 * n)).otherwise(F.lit(2 * n + 1))
+        placed = shared_table(placed.withColumn("node", F.coalesce(_by_node(step).cast("int"), "node")), "shardtree")
+    leaves = sorted((n for n, k in count.items() if k == 1), key=lambda n: f"{n:b}".ljust(64, "0"))
+    return placed, {n: i for i, n in enumerate(leaves)}
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", source: str = "source", lang: str = "lang", grain: float = GRAIN) -> DataFrame:
@@ -150,11 +129,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id
     heavy = rows.where("pieces IS NOT NULL").groupBy("digest", "piece").agg(F.sum("size").alias("bytes"), F.min("size").alias("size"))
     heavy = heavy.join(F.broadcast(meta), F.col("digest") == F.col("md")).select("digest", "piece", "bytes", "size", F.col("ms").alias("source"), F.col("ml").alias("lang"), F.col("mf").alias("first"))
     points = shared_table(_scaled(light.unionByName(heavy).withColumn("tie", tie)), "shardpoints")
-    tree = grow_tree(points, shards)
-    leaves = sorted((n for n, k in tree.count.items() if k == 1), key=lambda n: f"{n:b}".ljust(tree.depth + 1, "0"))
-    at = tree.node(tree.depth)
-    number = F.element_at(F.create_map(*[F.lit(x) for i, n in enumerate(leaves) for x in (n, i)]), F.col("leaf"))
-    placed = points.select("digest", "piece", at.alias("leaf")).select(F.col("digest").alias("pd"), F.col("piece").alias("pp"), number.cast("int").alias("shard"))
+    grown, number = grow_tree(points, shards)
+    shard = _by_node({n: F.lit(i) for n, i in number.items()})
+    placed = grown.select(F.col("digest").alias("pd"), F.col("piece").alias("pp"), shard.cast("int").alias("shard"))
     out = rows.join(placed, (F.col("digest") == F.col("pd")) & (F.col("piece") == F.col("pp"))).select("id", "size", "crc", "shard")
     return _slots(shared_table(out, "sharded"))
 
