@@ -45,32 +45,27 @@ def spell_paths(paths: DataFrame, segments: DataFrame, links: DataFrame) -> Data
 def bounded_paths(ends: DataFrame, links: DataFrame, max_nodes: int = 8, max_paths: int = 32, max_states: int = 4096) -> DataFrame:
     """(name, path_no, path) of all simple paths between ends (name, left, right).
 
-    A frontier of partial paths grows a node a round. A name is void, and returns nothing, when a
-    step would revisit a segment, when a path of max_nodes could go on, or when it has more than max_paths or
-    visits more than max_states; such names stop growing, so a round's rows have a bound per name.
-    Paths are numbered in lexicographic order.
+    A frontier of partial paths grows a node a round; finished paths ride along. A name is void, and
+    returns nothing, when a step would revisit a segment, when a path of max_nodes could go on, or when
+    it has more than max_paths paths or max_states states; a void name stops growing at once, so the rows of a
+    name that meet in a window are bounded. Paths are numbered in lexicographic order.
     """
     edges = both_ways(links).select(F.col("src").alias("tip"), F.col("dst").alias("next"))
-    front = ends.select("name", "right", F.col("left").alias("tip"), F.array("left").alias("path"))
-    done = front.limit(0).select("name", "path")
-    void = ends.select("name").limit(0)
-    states = front.select("name")
     bare = lambda n: F.substring(n, F.lit(1), F.length(n) - 1)
+    front = ends.select("name", "right", F.col("left").alias("tip"), F.array("left").alias("path"), F.lit(1).cast("long").alias("states")).withColumn("done", F.col("tip") == F.col("right"))
+    own = Window.partitionBy("name")
     for n in range(1, max_nodes + 1):
-        done = done.unionByName(front.where("tip = right").select("name", "path"))
-        grown = front.where("tip <> right").join(edges, "tip")
-        loop = grown.where(F.exists("path", lambda p: bare(p) == bare(F.col("next"))) if n < max_nodes else F.lit(True)).select("name")
-        void = void.unionByName(loop).distinct()
-        if n == max_nodes:
+        grown = front.where(~F.col("done")).join(edges, "tip")
+        loop = F.exists("path", lambda p: bare(p) == bare(F.col("next"))) if n < max_nodes else F.lit(True)
+        grown = grown.select("name", "right", F.col("next").alias("tip"), F.concat("path", F.array("next")).alias("path"), "states", (F.col("next") == F.col("right")).alias("done"), loop.alias("loop"), F.lit(1).alias("new"))
+        rows = front.where("done").withColumns({"loop": F.lit(False), "new": F.lit(0)}).unionByName(grown)
+        rows = rows.withColumns({"bad": F.max("loop").over(own), "states": F.max("states").over(own) + F.sum("new").over(own), "found": F.sum(F.col("done").cast("int")).over(own)})
+        rows = rows.where(~F.col("bad") & (F.col("states") <= max_states) & (F.col("found") <= max_paths))
+        front = shared_table(rows.select("name", "right", "tip", "path", "states", "done"), "frontier")
+        if not front.where(~F.col("done")).limit(1).count():
             break
-        front = grown.join(void, "name", "left_anti").select("name", "right", F.col("next").alias("tip"), F.concat("path", F.array("next")).alias("path"))
-        front = shared_table(front, "frontier")
-        states = states.unionByName(front.select("name"))
-        void = void.unionByName(states.groupBy("name").count().where(F.col("count") > max_states).select("name")).distinct()
-        front = front.join(void, "name", "left_anti")
-    void = void.unionByName(done.groupBy("name").count().where(F.col("count") > max_paths).select("name")).distinct()
     order = Window.partitionBy("name").orderBy("path")
-    return done.join(void, "name", "left_anti").select("name", F.row_number().over(order).alias("path_no"), "path")
+    return front.where("done").select("name", F.row_number().over(order).alias("path_no"), "path")
 
 
 def reconvergences(paths: DataFrame, links: DataFrame, max_nodes: int = 8, max_paths: int = 32, max_states: int = 4096) -> DataFrame:
