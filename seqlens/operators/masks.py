@@ -54,4 +54,4 @@ def random_control(intervals: DataFrame, seqs: DataFrame, seed: int = 17) -> Dat
                 at, before = at + width, mark
         return pd.DataFrame(out, columns=["accession", "start", "end"])
 
-    return rows.groupBy(F.lit(1)).applyInPandas(place, "accession string, start long, end long")
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(place, "accession string, start long, end long")

@@ -140,7 +140,7 @@ def fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
 def dump_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The leading columns of a file whose fields are parted by a bar between white space."""
     f = F.split("value", r"\|", -1)
-    return spark.read.text(path).where(F.trim("value") != "").select(*[F.trim(f[i]).alias(c) for i, c in enumerate(columns)])
+    return spark.read.text(path).where(F.trim("value") != "").select(*[F.regexp_replace(f[i], r"^\s+|\s+$", "").alias(c) for i, c in enumerate(columns)])
 
 
 def genbank(spark: SparkSession, path: str) -> DataFrame:
