@@ -282,13 +282,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text:
     rows = sketches.select("doc_id", "n", F.coalesce("cls", F.encode(F.concat(F.lit("row "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "UTF-8")).alias("cls"))
     out = rows.join(named, F.col("cls") == F.col("c"), "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each near-duplicate component: the smallest id; of its repeated rows, one.
 
-    Rows with a null id and no link are all kept.
+    Rows with a null id can't be told apart: all stay when one of them is in no component with an id.
     """
     kept = near_duplicates(docs, shingle, percent, text, doc_id).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     rows = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")

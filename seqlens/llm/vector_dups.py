@@ -196,7 +196,7 @@ def near_vectors(rows: DataFrame, cosine: float = 0.9, vector: str = "embedding"
     for frame in named:
         got = good.join(frame.withColumnRenamed("v", "__v"), F.col("v") == F.col("__v"))
         component = F.coalesce("component_id", "vec_id")
-        none = none.unionByName(got.select("vec_id", F.col("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept")))
+        none = none.unionByName(got.select("vec_id", F.col("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept")))
     return none
 
 
