@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from seqlens.operators.positions import with_prefix_sums
 from seqlens.session import shared_table
 
-WINDOW, SHORTEST, LONGEST, MASK = 16, 64, 2048, np.uint64(255)
+WINDOW, SHORTEST, LONGEST, MASK = 16, 64, 4096, np.uint64(511)
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Runs that a byte-level pre-tokenizer never reaches across: a word with the space before it, or white space.
 _RUNS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
@@ -97,7 +97,7 @@ def cut_points(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
 
 
 def _pack(ids: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids)
+    return zstandard.ZstdCompressor(level=3).compress(ids)
 
 
 def _unpack(frame: bytes) -> bytes:
