@@ -46,7 +46,7 @@ class CachedEncoder:
     prefix space and no normalizer; any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, definition: str, most: int = 600_000):
+    def __init__(self, definition: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)

@@ -133,8 +133,8 @@ class Tagger:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.fit), -50, 50))) if self.trained else np.zeros(len(x))
 
 
-def _ratios(docs: list[np.ndarray], toxic: int, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of each feature's document counts, and whether it speaks for toxic.
+def _ratios(docs: list[np.ndarray], toxic: int, table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of each feature's document counts, whether it speaks for toxic, and its documents.
 
     docs: word numbers of each text, the toxic ones first; table: feature numbers of each word, -1 for none.
     """
@@ -147,7 +147,7 @@ def _ratios(docs: list[np.ndarray], toxic: int, table: np.ndarray, n: int) -> tu
     g = np.zeros(n)
     for seen, expected in ((k1, n1 * share), (k0, n0 * share), (n1 - k1, n1 * (1 - share)), (n0 - k0, n0 * (1 - share))):
         g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
-    return np.where(k1 + k0 >= 3, g, 0), k1 * n0 > k0 * n1 * 5
+    return np.where(k1 + k0 >= 3, g, 0), k1 * n0 > k0 * n1 * 5, k1 + k0
 
 
 def _first_copies(docs: list[np.ndarray]) -> np.ndarray:
@@ -177,7 +177,7 @@ def fit_tagger(toxic: list[str], clean: list[str], toxic_total: int, clean_total
         for j, f in enumerate(features(w)):
             table[i, j] = names.setdefault(f, len(names))
     own = _first_copies(docs)
-    ratio, up = _ratios([d for d, ok in zip(docs, own, strict=True) if ok], int((own & label).sum()), table, len(names))
+    ratio, up, seen_in = _ratios([d for d, ok in zip(docs, own, strict=True) if ok], int((own & label).sum()), table, len(names))
     sure = np.append(up & (ratio >= SURE), False)
     order = np.argsort(-ratio, kind="stable")[:MAX_FEATURES]
     order = order[ratio[order] >= KEPT]
@@ -199,6 +199,8 @@ def fit_tagger(toxic: list[str], clean: list[str], toxic_total: int, clean_total
     truth_word = np.bincount(token, truth, len(words))
     theta = np.zeros(len(kept) + 1 + 4)
     theta[len(kept)] = math.log((truth.sum() + 1) / (len(truth) + 1))
+    # rare features shrink more, so that a stem's weight lies on the letters its words share
+    decay = np.concatenate([0.05 + 5.0 / np.maximum(seen_in[order], 1), [0.0], np.full(4, 0.05)])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         weight, bias, logpsi = theta[: len(kept)], theta[len(kept)], theta[len(kept) + 1 :].reshape(2, 2)
@@ -212,7 +214,7 @@ def fit_tagger(toxic: list[str], clean: list[str], toxic_total: int, clean_total
         joint = np.stack([psi[0, 0] * np.ones_like(after), psi[0, 1] * after, psi[1, 0] * forward[:-1], psi[1, 1] * forward[:-1] * after])
         joint = (joint / joint.sum(axis=0))[:, inner].sum(axis=1).reshape(2, 2)
         gradient = np.concatenate([np.bincount(of_feature, miss[of_word], len(kept)), [miss.sum()], (seen_pairs - joint).ravel()])
-        gradient -= 0.05 * theta * np.append(np.ones(len(kept)), [0, 1, 1, 1, 1])
+        gradient -= decay * theta
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
         theta += 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     keep = {f: float(t) for f, t in zip(kept, theta, strict=False) if abs(t) > 1e-3}

@@ -170,11 +170,13 @@ def test_toxicity_held_out_accuracy(spark):
 
 
 def test_toxic_spans_and_hard_rows(spark, hard, none):
-    clean = [f"you good{'abcdefghij'[i % 10]} thing number {i} of them" for i in range(40)]
-    toxic = [f"you nasty{'abcdefghij'[i % 10]} thing number {i} of them" for i in range(40)]
-    tagger = toxicity.fit_tagger(toxic, clean, 40, 40)
-    text = "Well, NASTYzz people and good words"
-    df = spark.createDataFrame([(text,), (None,), ("",), ("you good thing of them",)], "text string")
+    rng = random.Random(9)
+    plain = lambda: " ".join(rng.choice("abcdefgh") + rng.choice(["ab", "ol", "um", "ix"]) + str(rng.randrange(9)) for _ in range(12))
+    clean = [f"{plain()} goodly {plain()}" for _ in range(60)]
+    toxic = [f"{plain()} nasty{'abcdefghij'[i % 10]} {plain()}" for i in range(60)]
+    tagger = toxicity.fit_tagger(toxic, clean, 60, 60)
+    text = "Well, NASTYzz people and goodly words"
+    df = spark.createDataFrame([(text,), (None,), ("",), ("aab1 bol2 goodly",)], "text string")
     got = toxicity.score_documents(df, tagger).collect()
     assert [text[s.start : s.end] for s in got[0].toxicity.spans] == ["NASTYzz"] and got[0].toxicity.score > 0.5
     assert all(r.toxicity.score < 0.5 and not r.toxicity.spans for r in got[1:])
