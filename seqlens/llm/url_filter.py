@@ -93,9 +93,10 @@ def template_purity(labelled: DataFrame) -> DataFrame:
     """(host, template, purity): smoothed share of blocked among labelled pages, from pages with templates."""
     per = labelled.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("blocked"), F.count("label").alias("labelled"))
     whole = per.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("blocked").alias("hb"))
-    base = whole.agg(((F.coalesce(F.sum("hb"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("hn"), F.lit(0)) + 1.0)).alias("base"))
+    pages, blocked = whole.agg(F.sum("hn"), F.sum("hb")).first()
+    base = ((blocked or 0) + 0.5) / ((pages or 0) + 1.0)
     # pages without a label count in the host's share as not blocked: few labels don't speak for a host
-    host = whole.crossJoin(F.broadcast(base)).select("host", ((F.col("hb") + F.col("base") * SMOOTH) / (F.col("hn") + SMOOTH)).alias("prior"))
+    host = whole.select("host", ((F.col("hb") + F.lit(base * SMOOTH)) / (F.col("hn") + SMOOTH)).alias("prior"))
     purity = (F.col("blocked") + F.col("prior") * SMOOTH) / (F.col("labelled") + SMOOTH)
     return per.join(host, "host").select("host", "template", purity.alias("purity"))
 
