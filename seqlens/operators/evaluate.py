@@ -69,13 +69,13 @@ def recovery(calls: DataFrame, runs: DataFrame, sources: DataFrame, cutoffs: tup
 
     sources: (source, length). Sources and cutoffs without contigs are rows of zeros.
     """
-    spark = calls.sparkSession
-    cuts = spark.range(len(cutoffs)).select(F.element_at(F.array(*[F.lit(c) for c in cutoffs]), (F.col("id") + 1).cast("int")).alias("cutoff"))
-    kept = calls.withColumnRenamed("source", "call").crossJoin(F.broadcast(cuts)).where("length >= cutoff")
+    each = F.explode(F.array(*[F.lit(c) for c in cutoffs]))
+    cuts = calls.sparkSession.range(1).select(each.alias("cutoff"))
+    kept = calls.withColumnRenamed("source", "call").withColumn("cutoff", each).where("length >= cutoff")
     rows = runs.withColumnRenamed("length", "run").join(kept, "contig")
     key = ["cutoff", "source"]
     agg = rows.groupBy(*key).agg(F.max("run").alias("longest"), F.max(F.when((F.col("status") == "consistent") & (F.col("call") == F.col("source")), F.col("run"))).alias("consistent"))
-    every = sources.withColumnRenamed("length", "source_length").crossJoin(F.broadcast(cuts))
+    every = sources.withColumnRenamed("length", "source_length").withColumn("cutoff", each)
     per = every.join(union_length(rows, key), key, "left").join(agg, key, "left").fillna(0, ["bases", "longest", "consistent"])
     per = per.select(*key, "source_length", F.col("bases").alias("recovered_bp"), (F.col("bases") / F.col("source_length")).alias("recovery"), F.col("longest").alias("longest_aligned_block_bp"), F.col("consistent").alias("longest_consistent_block_bp"))
     counts = kept.groupBy("cutoff").agg(F.count(F.lit(1)).alias("contigs"), F.count_if(F.col("status") == "chimeric").alias("chimeric_contigs"), F.count_if(F.col("status") == "ambiguous").alias("ambiguous_contigs"), F.sum("wrong_connections").alias("wrong_connections"))

@@ -126,3 +126,52 @@ def lineage(nodes: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFram
 def ranks_of(walk: DataFrame, ranks: list[str]) -> DataFrame:
     """(id, one column a rank): the nearest ancestor of each rank, null where there is none."""
     return walk.groupBy("id").agg(*[F.min_by(F.when(F.col("rank") == r, F.col("node")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in ranks])
+
+
+def local_templates(candidates: DataFrame, segments: DataFrame, links: DataFrame, context: int = 600, max_paths: int = 128) -> DataFrame:
+    """(candidate, template, path, seq, left, right): the competing local paths of each candidate and their anchor bounds.
+
+    candidates: candidate, current, alternatives. path_0 is the current path, then its alternatives by order, then
+    every other entrance with every exit as competitors. A candidate with more than max_paths has no rows.
+    """
+    two = both_ways(links)
+    into = two.groupBy(F.col("dst").alias("node")).agg(F.sort_array(F.collect_set("src")).alias("entries"))
+    out = two.groupBy(F.col("src").alias("tip")).agg(F.sort_array(F.collect_set("dst")).alias("exits"))
+    rows = candidates.withColumn("node", F.element_at("current", 2)).withColumn("tip", F.element_at("current", -2)).join(into, "node").join(out, "tip")
+    inner = F.slice("current", F.lit(2), F.size("current") - 2)
+    rivals = F.filter("entries", lambda e: e != F.element_at("current", 1))
+    cross = F.flatten(F.transform(rivals, lambda e: F.transform("exits", lambda x: F.concat(F.array(e), inner, F.array(x)))))
+    rows = rows.withColumn("paths", F.concat(F.array("current"), "alternatives", cross)).where(F.size("paths") <= max_paths)
+    rows = rows.select("candidate", F.posexplode("paths").alias("j", "path")).withColumn("template", F.concat(F.lit("path_"), "j")).withColumn("name", F.concat_ws("\t", "candidate", "j"))
+    rows = rows.join(spell_paths(rows.select("name", "path"), segments, links), "name").where("seq IS NOT NULL")
+    first = oriented(segments).select(F.col("node").alias("n0"), F.length("seq").alias("len0"))
+    hop = lambda a, b, o: two.select(F.col("src").alias(a), F.col("dst").alias(b), F.col("overlap").alias(o))
+    rows = rows.withColumns({"n0": F.element_at("path", 1), "n1": F.element_at("path", 2), "m0": F.element_at("path", -2), "m1": F.element_at("path", -1)})
+    rows = rows.join(first, "n0").join(hop("n0", "n1", "o0"), ["n0", "n1"]).join(hop("m0", "m1", "o1"), ["m0", "m1"])
+    rows = rows.withColumn("l", F.col("len0") - F.col("o0")).withColumn("r", F.element_at("offsets", -1) + F.col("o1"))
+    rows = rows.withColumn("start", F.greatest(F.lit(0), F.col("l") - context)).withColumn("end", F.least(F.length("seq"), F.col("r") + context))
+    return rows.select("candidate", "template", "path", F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("seq"), (F.col("l") - F.col("start")).alias("left"), (F.col("r") - F.col("start")).alias("right"))
+
+
+def coordinate_map(paths: DataFrame, segments: DataFrame, links: DataFrame) -> DataFrame:
+    """Where each node of a rewritten path lies, and where it lay before.
+
+    paths: name, path, original, left, right (null without a replacement). Nodes inside the replaced stretch have no
+    original place; a node whose bases all overlap its predecessor has no row.
+    """
+    new, old = (spell_paths(paths.select("name", F.col(c).alias("path")), segments, links).select("name", F.col("offsets").alias(o)) for c, o in (("path", "at"), ("original", "was")))
+    rows = paths.join(new, "name").join(old, "name").select("name", "path", "original", "left", "right", "at", "was", F.posexplode("path").alias("i", "node"))
+    rows = rows.withColumn("before", F.when(F.col("i") > 0, F.element_at("path", F.greatest(F.col("i"), F.lit(1)))))
+    rows = rows.join(both_ways(links).select(F.col("src").alias("before"), F.col("dst").alias("node"), "overlap"), ["before", "node"], "left").fillna(0, ["overlap"])
+    rows = rows.join(oriented(segments).select("node", F.length("seq").alias("n")), "node").where("overlap < n")
+    whole = F.col("left").isNull()
+    place = F.array_position("original", F.col("node")) - 1
+    index = F.when(whole, F.col("i")).when(place >= 0, place)
+    known = index.isNotNull() & (whole | (index <= F.col("left")) | (index >= F.col("right")))
+    plus = F.col("node").endswith("+")
+    at, was = F.element_at("at", F.col("i") + 1), F.when(known, F.get("was", index.cast("int")))
+    return rows.select(
+        F.col("name").alias("output_id"), (at + F.col("overlap")).alias("output_start"), (at + F.col("n")).alias("output_end"), F.expr("substring(node, 1, length(node) - 1)").alias("graph_node"), F.when(plus, "+").otherwise("-").alias("strand"),
+        F.when(plus, F.col("overlap")).otherwise(0).alias("node_start"), F.when(plus, F.col("n")).otherwise(F.col("n") - F.col("overlap")).alias("node_end"),
+        F.when(known, F.col("name")).alias("original_contig"), (was + F.col("overlap")).alias("original_start"), (was + F.col("n")).alias("original_end"), F.when(known, "retained").otherwise("graph_replacement").alias("operation"),
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlens.operators import evidence as E
@@ -119,3 +119,77 @@ def cluster_edges(hits: DataFrame, lengths: DataFrame, identity: float = 95.0, c
     rows = rows.select(F.least("qseqid", "sseqid").alias("a"), F.greatest("qseqid", "sseqid").alias("b"), (F.col("same") * 100 / F.length("qseq")).alias("identity"), F.least(F.col("n") / F.col("qseqid_n"), F.col("n") / F.col("sseqid_n")).alias("coverage"))
     best = rows.groupBy("a", "b").agg(F.max(F.struct("coverage", "identity")).alias("m")).select("a", "b", "m.identity", "m.coverage")
     return best.where((F.col("identity") >= identity) & (F.col("coverage") >= cover))
+
+
+def neighborhoods(candidates: DataFrame, seqs: DataFrame, flank: int = 2000) -> DataFrame:
+    """(contig, start, end): merged regions around repeat candidates (contig, cut, repeat_length)."""
+    if flank < 1:
+        raise ValueError("flank must be positive")
+    rows = candidates.join(seqs.select(F.col("name").alias("contig"), F.length("seq").alias("n")), "contig")
+    rows = rows.select("contig", F.greatest(F.lit(0), F.col("cut") - flank - F.col("repeat_length")).cast("int").alias("start"), F.least(F.col("n"), F.col("cut") + flank).cast("int").alias("end"))
+    return I.merge_intervals(rows, ["contig"])
+
+
+def fresh_queries(queries: DataFrame, memo: DataFrame, settings_key: str) -> DataFrame:
+    """queries (id, seq) with key, of which memo (key, ...) has no result yet: an empty remembered result is a result."""
+    keyed = queries.withColumn("key", F.sha2(F.concat_ws("\t", F.lit(settings_key), "seq"), 256))
+    return keyed.join(memo.select("key").distinct(), "key", "left_anti")
+
+
+def alignment_atlas(columns: DataFrame, seqs: DataFrame, taxonomy: DataFrame, rank: str = "species") -> DataFrame:
+    """Atlas rows from aligned base pairs (hit, contig, source, q, s): segments between the ends of runs that a sequence shares.
+
+    A run counts for both sequences. Segments are not merged again, and the sequence itself always competes.
+    """
+    from seqlens.functions.sequence import low_complexity
+    from seqlens.operators.evaluate import aligned_runs
+
+    ours = aligned_runs(columns.select("hit", F.col("source").alias("contig"), F.col("contig").alias("source"), F.col("s").alias("q"), F.col("q").alias("s")))
+    theirs = aligned_runs(columns)
+    # runs come with the interval on source, shared with contig
+    runs = theirs.unionByName(ours).where("contig <> source").select(F.col("source").alias("accession"), "start", "end", F.col("contig").alias("other"))
+    segs = I.sweep_segments(runs, ["accession"], "other").withColumn("members", F.array_sort(F.array_union("members", F.array("accession"))))
+    names = segs.select("accession", "seg_start", F.explode("members").alias("name")).join(taxonomy.select("name", "taxon"), "name", "left")
+    taxa = names.groupBy("accession", "seg_start").agg(F.sort_array(F.collect_set("taxon")).alias("taxa"), F.max(F.col("taxon").isNull()).alias("unknown_taxonomy"))
+    rows = segs.join(taxa, ["accession", "seg_start"]).join(seqs.select(F.col("name").alias("accession"), "seq"), "accession")
+    piece = F.substring(F.col("seq"), (F.col("seg_start") + 1).cast("int"), (F.col("seg_end") - F.col("seg_start")).cast("int"))
+    return rows.select("accession", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.lit(rank).alias("rank"), F.size("taxa").alias("taxa_count"), F.array_join("taxa", ";").alias("taxa"), F.array_join("members", ";").alias("accessions"), "unknown_taxonomy", low_complexity(piece).alias("low_complexity"), F.concat_ws(":", F.lit("alignment"), "accession", "seg_start", "seg_end").alias("evidence_id"))
+
+
+def latent_switches(profiles: DataFrame, rank: int = 2, seeds: tuple[int, ...] = (17, 29, 43), min_loading: float = 0.7, min_change: float = 0.5, min_stability: float = 0.8) -> DataFrame:
+    """(contig, start, end, method, score) where the leading component of window profiles changes.
+
+    profiles: (window_id, contig, start, end, sample, value). Rows are scaled to sum 1; windows without coverage break
+    the chain. The best of the seeded fits counts; fits that disagree give no proposals. One fit
+    sees all windows of the run, so it is for the windows of one assembly.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from seqlens.operators.design import factorize, loadings, stability
+
+    places = profiles.select("window_id", "contig", "start", "end").distinct()
+
+    def fit(g: pd.DataFrame) -> pd.DataFrame:
+        wide = g.pivot(index="window_id", columns="sample", values="value").fillna(0.0).sort_index()
+        x = wide.to_numpy()
+        live = x.sum(axis=1) > 0
+        rows = x[live] / x[live].sum(axis=1, keepdims=True)
+        if len(rows) < 2 or np.max(np.std(rows, axis=0)) < 1e-8:
+            raise ValueError("no variable profiles")
+        fits = sorted((factorize(rows, np.ones_like(rows), rank, s)[:3] for s in seeds), key=lambda f: f[2])
+        same = stability([f[1].T for f in fits])
+        shares = np.zeros((len(x), rank))
+        shares[live] = loadings(fits[0][0])
+        return pd.DataFrame({"window_id": wide.index, "v": [list(r) if ok else None for r, ok in zip(shares, live, strict=True)], "stability": same})
+
+    model = profiles.select("window_id", "sample", "value").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "window_id string, v array<double>, stability double")
+    w = Window.partitionBy("contig").orderBy("start")
+    rows = places.join(model, "window_id").withColumn("nv", F.lead("v").over(w)).withColumn("ns", F.lead("start").over(w)).withColumn("ne", F.lead("end").over(w))
+    dot = F.aggregate(F.zip_with("v", "nv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    change = 1 - dot / (norm("v") * norm("nv"))
+    lead = lambda c: F.array_position(F.col(c), F.array_max(c))
+    least = F.least(F.array_max("v"), F.array_max("nv"))
+    ok = (F.col("ns") <= F.col("end")) & F.col("v").isNotNull() & F.col("nv").isNotNull() & (lead("v") != lead("nv")) & (least >= min_loading) & (change >= min_change) & (F.col("stability") >= min_stability)
+    return rows.where(ok).select("contig", F.least("start", "ns").alias("start"), F.greatest("end", "ne").alias("end"), F.lit("latent").alias("method"), F.least(F.lit(1.0), change * least).alias("score"))

@@ -34,13 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/seqlens-{os.getuid()}"
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the shared tables that this process wrote; call it when their results are no longer read."""
+    jvm = spark.sparkContext._jvm
+    count = len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return count
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return the table read back: lineage ends there.
 
-    A lost executor costs only the tasks that were running; nothing is recomputed
+    release() deletes such tables. A lost executor costs only the tasks that were running; nothing is recomputed
     from the source. Column pruning and statistics of Parquet apply to every reader.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 import pytest
 
-from seqlens.session import local_session
+from seqlens.session import local_session, release
 
 
 @pytest.fixture(scope="session")
@@ -8,6 +8,7 @@ def spark():
     session = local_session("4", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

@@ -270,3 +270,45 @@ def test_designs(spark, frame):
         rows = T.abundances(["a", "b"], ["s", "t"], mode)
         assert sum(v for s, _, v in rows if s == "s") == pytest.approx(1)
     assert {r.status for r in T.reconcile(frame([("A",)], "accession string"), frame([("B",)], "accession string")).collect()} == {"missing", "unexpected"}
+
+
+def test_neighborhoods_and_memo(frame):
+    seqs = frame([("c", "A" * 5000)], "name string, seq string")
+    rows = frame([("c", 1000, 50), ("c", 1500, 50)], "contig string, cut int, repeat_length int")
+    assert [tuple(r) for r in T.neighborhoods(rows, seqs, 600).collect()] == [("c", 350, 2100)]
+    q = frame([("a", "MK"), ("b", "ML")], "id string, seq string")
+    first = T.fresh_queries(q, frame([("x",)], "key string"), "s")
+    assert first.count() == 2 and T.fresh_queries(q, first.where("id = 'a'"), "s").first().id == "b"
+
+
+def test_alignment_atlas(frame):
+    seqs = frame([("A", "ACGTACGTAC"), ("B", "GTACGTACGG")], "name string, seq string")
+    tax = frame([("A", "1"), ("B", "2")], "name string, taxon string")
+    cols = frame([(1, "A", "B", 2 + i, i, True) for i in range(8)], "hit int, contig string, source string, q int, s int, match boolean")
+    got = {(r.accession, r.start, r.end, r.taxa, r.accessions) for r in T.alignment_atlas(cols, seqs, tax).collect()}
+    assert got == {("A", 2, 10, "1;2", "A;B"), ("B", 0, 8, "1;2", "A;B")}
+
+
+def test_latent_switch(frame):
+    rows = []
+    for i, mix in enumerate([(9, 1, 1), (8, 1, 1), (1, 9, 9), (1, 8, 9)]):
+        rows += [(f"w{i}", "mixed" if i in (1, 2) else f"c{i}", 100 * (i == 2), 100 + 100 * (i == 2), f"s{j}", float(v)) for j, v in enumerate(mix)]
+    got = T.latent_switches(frame(rows, "window_id string, contig string, start int, end int, sample string, value double")).collect()
+    assert [(r.contig, r.start, r.end) for r in got] == [("mixed", 0, 200)]
+
+
+def test_local_templates(frame):
+    segs = frame([("1", "A" * 100), ("2", "C" * 50), ("3", "G" * 70), ("4", "T" * 70), ("5", "AC" * 30)], "id string, seq string")
+    links = frame([("1+", "2+", 0), ("5+", "2+", 0), ("2+", "3+", 0), ("2+", "4+", 0)], "src string, dst string, overlap int")
+    cand = frame([("x", ["1+", "2+", "3+"], [["1+", "2+", "4+"]])], "candidate string, current array<string>, alternatives array<array<string>>")
+    got = {r.template: (r.path, len(r.seq), r.left, r.right) for r in P.local_templates(cand, segs, links, 40).collect()}
+    assert got["path_0"] == (["1+", "2+", "3+"], 130, 40, 90) and got["path_1"][0][-1] == "4+" and len(got) == 4
+    assert P.local_templates(cand, segs, links, 40, 3).count() == 0
+
+
+def test_coordinate_map(frame):
+    segs = frame([(n, b * 100) for n, b in zip("1234", "ACGT", strict=True)], "id string, seq string")
+    links = frame([("1+", "2+", 0), ("1+", "3+", 0), ("2+", "4+", 20), ("3+", "4+", 20)], "src string, dst string, overlap int")
+    row = frame([("c", ["1+", "3+", "4+"], ["1+", "2+", "4+"], 0, 2)], "name string, path array<string>, original array<string>, left int, right int")
+    got = [(r.output_start, r.output_end, r.original_start, r.operation) for r in P.coordinate_map(row, segs, links).orderBy("output_start").collect()]
+    assert got == [(0, 100, 0, "retained"), (100, 200, None, "graph_replacement"), (200, 280, 200, "retained")]
