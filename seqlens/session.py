@@ -37,16 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the shared tables that this process wrote; call it when their results are no longer read."""
-    jvm = spark.sparkContext._jvm
     count = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
     return count
 
 
+def drop_shared(*tables: DataFrame) -> None:
+    """Delete shared tables of which nothing will be read again."""
+    for t in tables:
+        _written.remove(t._shared_path)
+        _delete(t.sparkSession, t._shared_path)
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return the table read back: lineage ends there.
 
@@ -57,4 +67,6 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/seqlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
