@@ -18,6 +18,7 @@ makes an empty store.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlens.operators.positions import with_prefix_sums
-from seqlens.session import shared_table
+from seqlens.session import drop_shared, shared_table
 
 WINDOW, SHORTEST, LONGEST, MASK = 16, 64, 4096, np.uint64(511)
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -46,7 +47,7 @@ class CachedEncoder:
     prefix space and no normalizer; any other tokenizer encodes whole texts.
     """
 
-    def __init__(self, definition: str, most: int = 400_000):
+    def __init__(self, definition: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -72,6 +73,12 @@ class CachedEncoder:
         return [b"".join([known[r] for r in one]) for one in runs]
 
 
+@functools.lru_cache(maxsize=1)
+def _encoder(definition: str) -> CachedEncoder:
+    """One encoder a worker process: its memory of runs outlives a task."""
+    return CachedEncoder(definition)
+
+
 def cut_points(ids: np.ndarray, starts: np.ndarray) -> list[list[int]]:
     """Ends of each document's chunks (relative to its start); starts has one entry more than documents."""
     x = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -121,7 +128,7 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, doc_
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = CachedEncoder(definition.value)
+        encoder = _encoder(definition.value)
         end, width = np.array([end_id], dtype=encoder.dtype).tobytes(), np.dtype(encoder.dtype).itemsize
         for batch in batches:
             for lo in range(0, len(batch), 256):
@@ -167,6 +174,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
 
     pack = full.mapInPandas(strip, full.schema).sortWithinPartitions("start")
     pack.write.option("compression", "zstd").parquet(f"{path}/pack")
+    drop_shared(staged, keyed)
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
