@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: IUPAC letters and their complements (S and W are their own).
 IUPAC, COMPLEMENT = "ACGTRYMKBDHVN", "TGCAYRKMVHDBN"
 BASES = "ACGT"
+#: Rows at which the k-mer kernel hands a batch on; a single sequence's rows stay together.
+BATCH = 100_000
 
 
 def revcomp(seq: Column) -> Column:
@@ -130,20 +132,29 @@ def kmer_table(seqs: DataFrame, k: int, name: str = "name", seq: str = "seq", po
         pos = np.flatnonzero(bad[k:] == bad[:-k])
         return pos, np.minimum(ahead, back)[pos], (h < 1.5)[pos]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ("name", "pos", "code", "low") if positions else ("name", "code", "n", "low")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
-            for who, text, wrap in b.itertuples(index=False):
+            for who, text, wrap in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 pos, code, low = words(text or "", bool(wrap))
                 if positions:
-                    out = pd.DataFrame({"name": who, "pos": pos, "code": code, "low": low})
+                    out = (pos.astype(np.int64), code, low)
                 else:
                     code, first, n = np.unique(code, return_index=True, return_counts=True)
-                    out = pd.DataFrame({"name": who, "code": code, "n": n, "low": low[first]})
-                if len(out):
-                    yield out
-
-    rows = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"), (F.col(circular) if circular else F.lit(False)).alias("wrap"))
-    return rows.mapInPandas(run, "name string, pos long, code long, low boolean" if positions else "name string, code long, n long, low boolean")
+                    out = (code, n.astype(np.int64), low[first])
+                if len(code):
+                    held.append((pa.repeat(pa.scalar(who, pa.string()), len(code)), *map(pa.array, out)))
+                    rows += len(code)
+                if rows >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], columns)
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], columns)
+
+    seqs = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"), (F.col(circular) if circular else F.lit(False)).alias("wrap"))
+    return seqs.mapInArrow(run, "name string, pos long, code long, low boolean" if positions else "name string, code long, n long, low boolean")
 
 
 def kmer_word(code: Column, k: int) -> Column:
