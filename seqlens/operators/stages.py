@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,22 +48,65 @@ def experiments(spark: SparkSession, pairs: DataFrame, coverages: list[float], r
     return out
 
 
-def abundances(sources: list[str], samples: list[str], mode: str = "independent", sigma: float = 1.0, seed: int = 17) -> list[tuple[str, str, float]]:
-    """(sample, source, abundance) summing to 1 a sample; numbers are drawn in one order whatever the mode."""
+def abundances(sources: list[str], samples: int, mode: str = "independent", base: float = 10.0, sigma: float = 1.0, seed: int = 17) -> list[tuple[str, str, float]]:
+    """(biological_sample, accession, coverage): log-normal around base.
+
+    A sample draws one shared number, then one for each source, whatever the mode uses of them; in sparse mode
+    every third source of a sample, shifted by the sample's number, is absent.
+    """
     if mode not in ("independent", "correlated", "constant", "sparse"):
         raise ValueError("unknown abundance mode")
     rng, out = random.Random(seed), []
-    for sample in samples:
-        shared, values = rng.gauss(0, sigma), {}
-        for i, source in enumerate(sources):
-            noise = rng.gauss(0, sigma)
-            power = {"independent": noise, "correlated": shared + 0.1 * noise, "constant": 0.0, "sparse": noise}[mode]
-            values[source] = 0.0 if mode == "sparse" and (i + samples.index(sample)) % 2 and len(sources) > 1 else 2.718281828459045**power
-        total = sum(values.values())
-        out += [(sample, s, v / total) for s, v in values.items()]
+    for sample in range(samples):
+        shared = rng.gauss(0, sigma)
+        for place, source in enumerate(sources):
+            own = rng.gauss(0, sigma)
+            power = {"constant": 0.0, "correlated": shared}.get(mode, own)
+            absent = mode == "sparse" and (place + sample) % 3 == 0
+            out.append((f"b{sample}", source, 0.0 if absent else base * math.exp(power)))
     return out
 
 
+def ablation(variant: str) -> tuple[str, tuple[str, ...]]:
+    """Proposal policy and required methods of a variant of the correction."""
+    if variant not in ("baseline", "simple", "nmf", "structure", "combined", "multiview"):
+        raise ValueError("unknown variant")
+    if variant == "combined":
+        return "require_all", ("nmf", "structural_lineage")
+    return ("annotate" if variant == "baseline" else "require_any"), ()
+
+
+def random_cuts(cuts: DataFrame, seqs: DataFrame, seed: int = 20260905) -> DataFrame:
+    """(contig, cut): as many distinct inner cuts of each contig as cuts (contig, cut) has, at random places.
+
+    One stream of random numbers runs over the contigs in order of ord: a control for one assembly.
+    """
+    import pandas as pd
+
+    rows = cuts.groupBy("contig").agg(F.countDistinct("cut").alias("n")).join(seqs.select(F.col("name").alias("contig"), "ord", F.length("seq").alias("length")), "contig")
+
+    def draw(g: pd.DataFrame) -> pd.DataFrame:
+        rng = random.Random(seed)
+        found = [(r.contig, c) for r in g.sort_values("ord").itertuples() for c in rng.sample(range(1, int(r.length)), int(r.n))]
+        return pd.DataFrame(found, columns=["contig", "cut"])
+
+    return rows.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(draw, "contig string, cut long")
+
+
+def read_origins(reads: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(read_id, accession, start, strand, wraps_origin) of simulated reads (read_id, accession, pos, strand, read_length) on circular sources."""
+    rows = reads.join(lengths.select(F.col("name").alias("accession"), "length"), "accession")
+    start = F.col("pos") % F.col("length")
+    return rows.select("read_id", "accession", start.alias("start"), "strand", (start + F.col("read_length") > F.col("length")).alias("wraps_origin"))
+
+
+def realized_coverage(origins: DataFrame, lengths: DataFrame, read_length: int) -> DataFrame:
+    """(accession, coverage): bases of an accession's mates over its length; 0 without reads."""
+    n = origins.groupBy("accession").agg(F.count(F.lit(1)).alias("n"))
+    rows = lengths.select(F.col("name").alias("accession"), "length").join(n, "accession", "left")
+    return rows.select("accession", (F.coalesce("n", F.lit(0)) * read_length / F.col("length")).alias("coverage"))
+
+
 def quality(contigs: DataFrame, summary: DataFrame) -> DataFrame:
     """Every contig with its reported results, and not_reported where there is none.
 

@@ -266,9 +266,11 @@ def test_quality_completion(frame):
 def test_designs(spark, frame):
     pairs = frame([(1,), (2,), (3,)], "pair int")
     assert T.experiments(spark, pairs, [10.0], [1.0], [1, 2, 3]).count() == 27
-    for mode in ("independent", "correlated", "constant", "sparse"):
-        rows = T.abundances(["a", "b"], ["s", "t"], mode)
-        assert sum(v for s, _, v in rows if s == "s") == pytest.approx(1)
+    rows = {m: T.abundances(["a", "b", "c"], 2, m) for m in ("independent", "correlated", "constant", "sparse")}
+    assert {v for *_, v in rows["constant"]} == {10.0} and len({v for s, _, v in rows["correlated"]}) == 2
+    assert [v == 0 for *_, v in rows["sparse"]] == [True, False, False, False, False, True]
+    assert [v for *_, v in rows["sparse"] if v] == [v for (*_, v), (*_, w) in zip(rows["independent"], rows["sparse"], strict=True) if w]
+    assert T.ablation("combined")[0] == "require_all" and T.ablation("baseline")[0] == "annotate"
     assert {r.status for r in T.reconcile(frame([("A",)], "accession string"), frame([("B",)], "accession string")).collect()} == {"missing", "unexpected"}
 
 
@@ -312,3 +314,14 @@ def test_coordinate_map(frame):
     row = frame([("c", ["1+", "3+", "4+"], ["1+", "2+", "4+"], 0, 2)], "name string, path array<string>, original array<string>, left int, right int")
     got = [(r.output_start, r.output_end, r.original_start, r.operation) for r in P.coordinate_map(row, segs, links).orderBy("output_start").collect()]
     assert got == [(0, 100, 0, "retained"), (100, 200, None, "graph_replacement"), (200, 280, 200, "retained")]
+
+
+def test_random_cuts_and_origins(frame):
+    seqs = frame([(0, "a", "A" * 50), (1, "b", "C" * 20)], "ord long, name string, seq string")
+    got = T.random_cuts(frame([("a", 5), ("a", 9), ("a", 9), ("b", 3)], "contig string, cut int"), seqs).collect()
+    rng = random.Random(20260905)
+    assert [(r.contig, r.cut) for r in got] == [("a", c) for c in rng.sample(range(1, 50), 2)] + [("b", c) for c in rng.sample(range(1, 20), 1)]
+    lengths = frame([("a", 50), ("b", 20)], "name string, length int")
+    origins = T.read_origins(frame([("r/1", "a", 95, "+", 10), ("r/2", "a", 3, "-", 10)], "read_id string, accession string, pos int, strand string, read_length int"), lengths)
+    assert {(r.read_id, r.start, r.wraps_origin) for r in origins.collect()} == {("r/1", 45, True), ("r/2", 3, False)}
+    assert {r.accession: r.coverage for r in T.realized_coverage(origins, lengths, 10).collect()} == {"a": 0.4, "b": 0.0}
