@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.operators.design import n50
-from seqlens.operators.intervals import union_length
+from seqlens.operators.intervals import merge_intervals, union_length
 
 
 def aligned_columns(hits: DataFrame) -> DataFrame:
@@ -36,13 +36,34 @@ def contig_calls(contigs: DataFrame, bases: DataFrame, minimum: int = 150, expla
     """
     support = bases.groupBy("contig", "source", "q").agg(F.max("match").alias("match"))
     exact = support.where("match").groupBy("contig", "q").agg(F.min("source").alias("only"), F.count(F.lit(1)).alias("n")).where("n = 1").select("contig", "q", "only")
-    per = support.groupBy("contig", "source").agg(F.count(F.lit(1)).alias("bases")).join(contigs, "contig")
-    whole = per.where(F.col("bases") / F.col("length") >= explained).groupBy("contig").agg(F.count(F.lit(1)).alias("complete"), F.min("source").alias("full"))
-    has = exact.select("contig", F.col("only").alias("full")).distinct().withColumn("unique", F.lit(True))
     w = Window.partitionBy("contig", "source").orderBy("q")
     runs = support.join(exact, ["contig", "q"], "left").withColumn("island", F.col("q") - F.row_number().over(w))
     own = F.col("only") == F.col("source")
     blocks = runs.groupBy("contig", "source", "island").agg(F.min("q").alias("start"), (F.max("q") + 1).alias("end"), F.min(F.when(own, F.col("q"))).alias("u0"), F.max(F.when(own, F.col("q"))).alias("u1"))
+    return _calls_of(contigs, blocks, minimum, explained)
+
+
+def interval_calls(contigs: DataFrame, runs: DataFrame, minimum: int = 150, explained: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """contig_calls from runs (contig, source, start, end) in which every base matches, without a row a base.
+
+    A running sum over the ends of a contig's blocks counts the sources on a stretch; where it is 1, the running
+    sum of block numbers is the number of the only block.
+    """
+    blocks = merge_intervals(runs, ["contig", "source"]).withColumn("block", F.row_number().over(Window.partitionBy("contig").orderBy("start", "source")).cast("long"))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))
+    steps = blocks.select("contig", "block", ends.alias("e")).groupBy("contig", "e.at").agg(F.sum("e.step").alias("step"), F.sum(F.col("e.step") * F.col("block")).alias("shift"))
+    w = Window.partitionBy("contig").orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    pieces = steps.select("contig", "at", F.lead("at").over(w).alias("to"), F.sum("step").over(so_far).alias("depth"), F.sum("shift").over(so_far).alias("block")).where("depth = 1")
+    own = pieces.groupBy("contig", "block").agg(F.min("at").alias("u0"), (F.max("to") - 1).alias("u1"))
+    return _calls_of(contigs, blocks.join(own, ["contig", "block"], "left").drop("block"), minimum, explained)
+
+
+def _calls_of(contigs: DataFrame, blocks: DataFrame, minimum: int, explained: float) -> tuple[DataFrame, DataFrame]:
+    """(calls, breakpoints) from blocks (contig, source, start, end, u0, u1), u0 and u1 the first and last position only that source matches."""
+    per = blocks.groupBy("contig", "source").agg(F.sum(F.col("end") - F.col("start")).alias("bases")).join(contigs, "contig")
+    whole = per.where(F.col("bases") / F.col("length") >= explained).groupBy("contig").agg(F.count(F.lit(1)).alias("complete"), F.min("source").alias("full"))
+    has = blocks.where("u0 IS NOT NULL").select("contig", F.col("source").alias("full")).distinct().withColumn("unique", F.lit(True))
     blocks = blocks.where((F.col("end") - F.col("start") >= minimum) & F.col("u0").isNotNull())
     o = Window.partitionBy("contig").orderBy("u0", "u1", "source")
     nxt = {c: F.lead(c).over(o) for c in ("source", "start", "u0")}

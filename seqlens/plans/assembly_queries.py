@@ -108,11 +108,10 @@ def path_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    h = hits(spark, sf_dir).where("query % 50 = 0").select(F.col("query").alias("contig"), F.concat(F.lit("s"), "target").alias("source"), "pident", (F.col("qstart") - 1).alias("a"), F.col("qend").alias("b"), (F.col("qend") - F.col("qstart") + 1).alias("length"))
+    h = hits(spark, sf_dir).select(F.col("query").alias("contig"), F.concat(F.lit("s"), "target").alias("source"), "pident", (F.col("qstart") - 1).alias("a"), F.col("qend").alias("b"), (F.col("qend") - F.col("qstart") + 1).alias("length"))
     h = V.accepted(h, 98.0, 50).where("a >= 0")
-    contigs = hits(spark, sf_dir).where("query % 50 = 0").groupBy(F.col("query").alias("contig")).agg(F.max("qend").alias("length"))
-    bases = h.select("contig", "source", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("q")).withColumn("match", F.lit(True))
-    calls, breaks = V.contig_calls(contigs, bases, 50, 0.9)
+    contigs = hits(spark, sf_dir).groupBy(F.col("query").alias("contig")).agg(F.max("qend").alias("length"))
+    calls, breaks = V.interval_calls(contigs, h.select("contig", "source", F.col("a").alias("start"), F.col("b").alias("end")), 50, 0.9)
     return calls, breaks, h, contigs
 
 

@@ -27,3 +27,53 @@ def test_sweep_atlas_sweeps_all_events(spark):
                 want.add((user, a, b, ";".join(sorted(members))))
     got = [tuple(r) for r in catalog.queries()["sweep_atlas"](spark, SF).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def _loop_calls() -> tuple[dict, set, dict]:
+    """(calls by contig, breakpoints, hits by contig) over every order, base by base."""
+    hits, length = defaultdict(list), defaultdict(int)
+    for r in _table("lineitem").itertuples():
+        a, size = r.l_partkey % 300 - 1, int(r.l_quantity) * 6 + 1
+        length[r.l_orderkey] = max(length[r.l_orderkey], a + size)
+        if 100 - round(float(r.l_tax) * 25, 6) >= 98 and size >= 50 and a >= 0:
+            hits[r.l_orderkey].append((f"s{r.l_suppkey % 5}", a, a + size))
+    calls, breaks = {}, set()
+    for contig, n in length.items():
+        cover = defaultdict(set)
+        for s, a, b in hits[contig]:
+            cover[s] |= set(range(a, b))
+        alone = {s: c - set().union(*(x for t, x in cover.items() if t != s)) for s, c in cover.items()}
+        full = sorted(s for s, c in cover.items() if len(c) / n >= 0.9)
+        blocks = []
+        for s, c in cover.items():
+            for a in sorted(q for q in c if q - 1 not in c):
+                b = next(q for q in range(a, n + 2) if q not in c)
+                if (u := alone[s] & set(range(a, b))) and b - a >= 50:
+                    blocks.append((min(u), max(u), s, a, b))
+        found = []
+        for (_, u1, s, _, e), (r0, _, t, a, _) in zip(sorted(blocks), sorted(blocks)[1:]):
+            if s != t and u1 < r0 and a - e <= 10 and not full:
+                found.append((contig, s, t, u1 + 1, r0))
+        breaks |= set(found)
+        status = "unaligned" if not cover else "ambiguous" if len(full) > 1 or full and not alone[full[0]] else "consistent" if full else "chimeric" if found else "ambiguous"
+        calls[contig] = (contig, n, status, full[0] if status == "consistent" else None, len(found))
+    return calls, breaks, hits
+
+
+def test_chimera_calls_and_metrics_cover_all_orders(spark):
+    calls, breaks, hits = _loop_calls()
+    q = catalog.queries()
+    assert {r.contig: tuple(r) for r in q["chimera_calls"](spark, SF).collect()} == calls
+    assert sorted(tuple(r) for r in q["breakpoints"](spark, SF).collect()) == sorted(breaks)
+    for r in q["assembly_metrics"](spark, SF).collect():
+        kept = {c: x for c, x in calls.items() if x[1] >= r.cutoff}
+        covered = {(s, p) for c in kept for s, a, b in hits[c] for p in range(a, b)}
+        run, total, n50 = 0, sum(x[1] for x in kept.values()), 0
+        for n in sorted((x[1] for x in kept.values()), reverse=True):
+            run += n
+            if run * 2 >= total:
+                n50 = n
+                break
+        assert (r.contigs, r.chimeric_contigs, r.ambiguous_contigs, r.wrong_connections) == (len(kept), *(sum(x[2] == s for x in kept.values()) for s in ("chimeric", "ambiguous")), sum(x[4] for x in kept.values()))
+        assert (r.total_contig_bp, r.n50, r.longest_aligned_block_bp) == (total, n50, max(b - a for c in kept for _, a, b in hits[c]))
+        assert abs(r.genome_recovery - len(covered) / 3000) < 1e-5 and abs(r.chimera_rate - r.chimeric_contigs / len(kept)) < 1e-5
