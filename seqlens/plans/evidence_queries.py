@@ -137,7 +137,7 @@ def domain_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    q = F.substring(F.regexp_replace("text", "[^!-~]", ""), 1, 150)
+    q = F.regexp_replace("text", "[^!-~]", "")
     rows = d.select("doc_id", q.alias("q"))
     mean, n = X.mean_phred(F.col("q")), X.n_fraction(F.col("q"))
     poor = F.when(F.length("q") < 50, "short").when(mean < 60, "low_quality").when(n > 0.1, "ambiguous").otherwise("pass")

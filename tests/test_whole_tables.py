@@ -77,3 +77,16 @@ def test_chimera_calls_and_metrics_cover_all_orders(spark):
         assert (r.contigs, r.chimeric_contigs, r.ambiguous_contigs, r.wrong_connections) == (len(kept), *(sum(x[2] == s for x in kept.values()) for s in ("chimeric", "ambiguous")), sum(x[4] for x in kept.values()))
         assert (r.total_contig_bp, r.n50, r.longest_aligned_block_bp) == (total, n50, max(b - a for c in kept for _, a, b in hits[c]))
         assert abs(r.genome_recovery - len(covered) / 3000) < 1e-5 and abs(r.chimera_rate - r.chimeric_contigs / len(kept)) < 1e-5
+
+
+def test_read_qc_reads_whole_texts(spark):
+    got = {r.doc_id: r for r in catalog.queries()["read_qc"](spark, SF).collect()}
+    docs = _table("documents")
+    assert len(got) == len(docs) and docs.text.str.len().max() > 150
+    for d in docs.itertuples():
+        q = [c for c in d.text if "!" <= c <= "~"]
+        mean = sum(ord(c) - 33 for c in q) / len(q) if q else 0.0
+        n = sum(c in "nN" for c in q) / len(q) if q else 0.0
+        r = got[d.doc_id]
+        assert abs(r.mean_phred - mean) < 1e-5 and abs(r.n_fraction - n) < 1e-5
+        assert r.reason == ("short" if len(q) < 50 else "low_quality" if mean < 60 else "ambiguous" if n > 0.1 else "pass")
