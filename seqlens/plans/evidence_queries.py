@@ -87,7 +87,7 @@ def split_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _summary(spark, sf_dir, 0)
+    return _summary(table(spark, sf_dir, "lineitem"), _labels(spark, sf_dir))
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +95,9 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("target", F.when(F.col("target") % 3 == 0, "viral").when(F.col("target") % 3 == 1, "cellular").otherwise("uncertain").alias("origin"), F.concat(F.lit("L"), F.col("target") % 4).alias("lineage"), F.concat(F.lit("F"), F.col("target") % 5).alias("family"), F.when(F.col("target") % 2 == 0, "true").otherwise("no").alias("hallmark"))
 
 
-def _summary(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 2 == parity)
+def _summary(li: DataFrame, labels: DataFrame) -> DataFrame:
     h = li.select(F.col("l_orderkey").alias("query"), F.col("l_suppkey").alias("target"), (1 - F.col("l_tax") * 4).alias("fident"), (F.lit(0.4) + F.col("l_discount") * 6).alias("qcov"), F.lit(0.9).alias("tcov"), F.when(F.col("l_quantity") > 10, 1e-5).otherwise(1.0).alias("evalue"), F.col("l_extendedprice").alias("bits"))
-    return E.hit_summary(h, _labels(spark, sf_dir), fraction=0.5)
+    return E.hit_summary(h, labels, fraction=0.5)
 
 
 def orf_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +107,10 @@ def orf_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     orfs = o.select(F.col("o_orderkey").alias("orf_id"), F.col("o_orderkey").alias("protein_id"), (F.col("o_custkey") % 50).alias("contig"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 9).alias("end"))
-    return E.orf_profiles(orfs, _summary(spark, sf_dir, 0), _summary(spark, sf_dir, 1))
+    li, labels = table(spark, sf_dir, "lineitem"), _labels(spark, sf_dir)
+    # odd and even lines stand for the two searches, by sequence and by structure
+    even, odd = (_summary(li.where(F.col("l_linenumber") % 2 == parity), labels) for parity in (0, 1))
+    return E.orf_profiles(orfs, even, odd)
 
 
 def contig_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,22 @@ def test_read_qc_reads_whole_texts(spark):
         r = got[d.doc_id]
         assert abs(r.mean_phred - mean) < 1e-5 and abs(r.n_fraction - n) < 1e-5
         assert r.reason == ("short" if len(q) < 50 else "low_quality" if mean < 60 else "ambiguous" if n > 0.1 else "pass")
+
+
+def test_hit_summary_takes_odd_and_even_lines(spark):
+    known = {t for t in _table("supplier").s_suppkey if t % 11}
+    hits = defaultdict(list)
+    for r in _table("lineitem").itertuples():
+        qcov = 0.4 + float(r.l_discount) * 6
+        if r.l_quantity > 10 and min(qcov, 0.9) >= 0.5:
+            hits[r.l_orderkey].append((float(r.l_extendedprice), r.l_suppkey, qcov, 1 - float(r.l_tax) * 4))
+    got = {r["query"]: r for r in catalog.queries()["hit_summary"](spark, SF).collect()}
+    assert set(got) == set(hits)
+    for q, own in hits.items():
+        rivals = [h for h in own if h[0] >= max(own)[0] * 0.5]
+        origins = {("viral", "cellular", "uncertain")[t % 3] if t in known else "uncertain" for _, t, _, _ in rivals}
+        lines = {f"L{t % 4}" if t in known else "" for _, t, _, _ in rivals}
+        sure = len(origins) == 1 and origins != {"uncertain"}
+        assert got[q].origin == (min(origins) if sure else "uncertain") and got[q].lineage == (min(lines) if len(lines) == 1 else "")
+        assert abs(got[q].confidence - (min(h[2] for h in rivals) if sure else 0)) < 1e-9
+        assert got[q].close == any(f >= 0.8 and c >= 0.8 for _, _, c, f in own)
