@@ -57,6 +57,12 @@ def drop_shared(*tables: DataFrame) -> None:
         _delete(t.sparkSession, t._shared_path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files of an operator's own; release() deletes it."""
+    _written.append(f"{shared_dir(spark)}/seqlens/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return the table read back: lineage ends there.
 
@@ -64,9 +70,8 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     from the source. Column pruning and statistics of Parquet apply to every reader.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/seqlens/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._shared_path = path
     return table
