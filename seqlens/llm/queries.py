@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -16,7 +15,7 @@ from seqlens.llm.sharding import shard_rows
 from seqlens.llm.spotsigs import edited_fingerprints
 from seqlens.llm.url_filter import url_verdicts
 from seqlens.llm.vector_dups import near_vectors
-from seqlens.session import shared_dir
+from seqlens.session import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +69,7 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/seqlens/token-store-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "token-store")
     token_store.write_store(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return token_store.read_store(spark, path)
 
@@ -89,7 +88,7 @@ def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/seqlens/warc-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "warc")
     warc.write_archive(warc.plan_records(_table(spark, sf_dir, "pages")), path)
     return warc.read_records(spark, path)
 

@@ -269,7 +269,8 @@ def test_token_store_round_trip(spark, hard, none, tmp_path):
 
     name = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(name)
-    tok.encode_special_tokens = True
+    more = [(200, "hello <|endoftext|> there"), (201, "<|endoftext|>"), (2**62 + 1, "a large id"), (None, "x" * 5000 + " tail"), (202, "don't  say 'tis  5's\xa0 or\u3000 é\u0301 ×2 ²\r\n\n x \n")]
+    hard = hard.unionByName(spark.createDataFrame([(d, t, None, None, None, 1, "c", "c") for d, t in more], SCHEMA)).withColumns({c: F.lit(7) for c in ("start", "ids", "kind", "rid")})
     token_store.write_store(hard, str(tmp_path / "s"), name)
     got = token_store.read_store(spark, str(tmp_path / "s"), with_ids=True).orderBy("start").collect()
     streams = Counter((r.doc_id, tuple(tok.encode(r.text or "", add_special_tokens=False).ids + [0])) for r in hard.collect())
@@ -283,19 +284,44 @@ def test_token_store_round_trip(spark, hard, none, tmp_path):
     pack = spark.read.parquet(str(tmp_path / "s" / "pack")).collect()
     stored = [d for p in pack for i, d in enumerate(p.digests) if p.part is None or i not in p.part]
     assert len(stored) == len(set(map(bytes, stored))) < sum(len(p.digests) for p in pack)
+    files = [[r.start for r in spark.read.parquet(str(f)).select("start").collect()] for f in sorted((tmp_path / "s" / "pack").glob("*.parquet"))]
+    assert sum(files, []) == sorted(sum(files, []))
     token_store.write_store(none, str(tmp_path / "e"), name)
     assert token_store.read_store(spark, str(tmp_path / "e")).count() == 0
 
 
+@pytest.mark.parametrize("part", [50, 1 << 21])
+def test_runs_equal_the_library(part, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from seqlens.llm import run_encoder
+
+    monkeypatch.setattr(run_encoder, "PART", part)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    plain, encoder = Tokenizer.from_str(definition), run_encoder.RunEncoder(definition, 0, most=200)
+    rng = random.Random(part)
+    signs = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "don't", "'ll", "12", "é", "×", "日本", "。", "...", "<|endoftext|>", "\x1c", "\x85", "\xa0", "　", "“", "…", "🙂", "word", " the", "½", "²", "\u0301", "Привет", "\u200b", "\0", "\r\n", ",'s", "longlonglonglongword", "क्ष"]
+    for _ in range(400):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.choice([0, 1, 5, 300]))) for _ in range(rng.choice([1, 4]))]
+        flat, starts = encoder.encode([t.encode() for t in texts])
+        assert [flat[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [plain.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+
+
 def test_token_store_notices_damage(spark, hard, tmp_path):
     name = public_tokenizers.path("byte_bpe_50k.json")
     token_store.write_store(hard.where("doc_id in (5, 9)"), str(tmp_path / "s"), name)
-    pack = spark.read.parquet(str(tmp_path / "s" / "pack"))
+    pack, said = spark.read.parquet(str(tmp_path / "s" / "pack")), spark.read.parquet(str(tmp_path / "s" / "manifest"))
     digests = pack.where("doc_id = 9").first().digests
     wrong = F.when(F.col("doc_id") == 9, F.array(*[F.lit(bytes(d)) for d in reversed(digests)])).otherwise(F.col("digests"))
     pack.withColumn("digests", wrong).write.parquet(str(tmp_path / "t" / "pack"))
+    said.write.parquet(str(tmp_path / "t" / "manifest"))
     with pytest.raises(Exception, match="digest"):
         token_store.read_store(spark, str(tmp_path / "t")).collect()
+    pack.where("doc_id = 9").write.parquet(str(tmp_path / "u" / "pack"))
+    said.write.parquet(str(tmp_path / "u" / "manifest"))
+    with pytest.raises(ValueError, match="manifest"):
+        token_store.read_store(spark, str(tmp_path / "u"))
 
 
 def test_cut_points_follow_content():
