@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlens.session import shared_table
+from seqlens.operators.skew import hot_join
+from seqlens.session import drop_shared, shared_table
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 40) -> DataFrame:
@@ -13,8 +14,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Each round halves path lengths, so rounds grow with the logarithm of the
     longest chain. Minima are taken with map-side partial aggregation, never by
-    gathering a neighbourhood; a hub's rows spread over tasks by AQE's skew split.
-    Self loops keep isolated nodes. Null nodes are ignored.
+    gathering a neighbourhood; a hub's rows stay spread, for hubs are joined by broadcast.
+    Self loops keep isolated nodes. Null nodes are ignored. Each round's tables are dropped
+    once the next round's are written.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -23,13 +25,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     seen = None
     for _ in range(max_rounds):
         both = tree.select("u", "v").unionByName(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        mins = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(mins, "u").select(F.col("v").alias("x"), "u", "m")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        low = shared_table(low, "cclow")
+        large = hot_join(both, low, ["u"], "n", 2 * tree.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = shared_table(large.where("u <> v").distinct(), "cclarge")
+        mins = shared_table(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "ccmins")
+        small = hot_join(large, mins, ["u"], "n", large.count()).select(F.col("v").alias("x"), "u", "m")
         small = small.select(F.explode(F.array("x", "u")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        tree = shared_table(small, "cc")
+        last, tree = tree, shared_table(small, "cc")
+        drop_shared(last, low, large, mins)
         state = tree.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break
