@@ -26,7 +26,7 @@ X, L, N, P, A, S, W, E = range(8)
 #: Bytes that no text holds: the end of a text, and of a part of a long one.
 END, BREAK = b"\xff", b"\xfe"
 #: Bytes encoded at once, runs a generation holds, and the longest run that is remembered.
-PART, MOST, LONG = 1 << 21, 1 << 20, 256
+PART, MOST, LONG = 1 << 20, 1 << 19, 256
 _SURE = re.compile(rb" [A-Za-z0-9]")
 
 
@@ -68,8 +68,8 @@ class RunTable:
     def __init__(self, dtype, bits: int):
         self.bits, self.count, self.used = bits, 0, 0
         self.slots = np.full(1 << bits, -1, dtype=np.int32)
-        self.k1, self.k2, self.n = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
-        self.off, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1 << 14, dtype)
+        self.k1, self.k2, self.n = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64), np.zeros(1024, np.uint8)
+        self.off, self.size, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(1 << 14, dtype)
 
     def _at(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -214,7 +214,7 @@ class RunEncoder:
         if len(lacking):
             self._learn(data, cls, starts, k1, k2, n, h, lacking)
             found[lacking] = self.young.find(k1[lacking], k2[lacking], n[lacking], h[lacking])
-        off, size = self.young.off[found], self.young.size[found]
+        off, size = self.young.off[found], self.young.size[found].astype(np.int64)
         far = np.flatnonzero(~keyed)
         if len(far):
             ids = self._remembered(data, cls, starts[far], n[far].astype(np.int64))
@@ -234,7 +234,7 @@ class RunEncoder:
         if self.old is not None:
             back = self.old.find(k1[new], k2[new], n[new], h[new])
             again, back = new[back >= 0], back[back >= 0]
-            self.young.add(k1[again], k2[again], n[again], h[again], gather(self.old.pool, self.old.off[back], self.old.size[back]), self.old.size[back])
+            self.young.add(k1[again], k2[again], n[again], h[again], gather(self.old.pool, self.old.off[back], self.old.size[back].astype(np.int64)), self.old.size[back])
             new = np.setdiff1d(new, again, assume_unique=True)
         if not len(new):
             return

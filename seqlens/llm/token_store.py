@@ -20,8 +20,7 @@ Defined results: null text is the empty text, whose stream is the end id alone;
 come last; a very long text is encoded in parts and chunked like any other; rows with equal
 ids are ordered by content, and repeated rows each get a start of their own and share their
 chunks; further columns, whatever their names, are not read; an empty table makes an empty
-store. Hot chunks: the at most HEAVY chunks that make up more than 1 / HEAVY of all uses
-each are joined by broadcast, all others by shuffles.
+store. Chunks that very many documents share are joined by broadcast, at most HOT_KEYS of them.
 """
 
 from __future__ import annotations
@@ -39,10 +38,10 @@ from pyspark.sql import functions as F
 
 from seqlens.llm.run_encoder import RunEncoder
 from seqlens.operators.positions import with_prefix_sums
+from seqlens.operators.skew import hot_join
 from seqlens.session import drop_shared, shared_table
 
 WINDOW, SHORTEST, LONGEST, MASK = 16, 64, 4096, np.uint64(511)
-HEAVY = 1000
 #: Documents whose starts agree above these bits are children of one node of the manifest's tree; of nodes, 2**10.
 LEAF_BITS, NODE_BITS = 16, 10
 
@@ -88,6 +87,13 @@ def _digest(chunk) -> bytes:
     return hashlib.sha256(chunk).digest()[:16]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: rows become Python objects a slice at a time."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c[0], c[1]) for c in columns.values()], list(columns))
 
@@ -100,32 +106,23 @@ def stage_ids(docs: DataFrame, tokenizer_path: str, end_id: int, text: str, doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pack = _encoder(definition.value, end_id), zstandard.ZstdCompressor(level=3).compress
         width = encoder.dtype.itemsize
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                flat, starts = encoder.encode([t or b"" for t in part.column("t").to_pylist()])
-                cuts, data = cut_points(flat, starts), memoryview(flat).cast("B")
-                digests = [[_digest(data[(s + a) * width : (s + b) * width]) for a, b in zip([0, *c], c)] for s, c in zip(starts.tolist(), cuts)]
-                ids = [pack(data[a * width : b * width]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
-                yield _batch(
-                    {
-                        "doc_id": part.column("id"), "n_tokens": (np.diff(starts), pa.int64()), "width": ([width] * len(ids), pa.int32()), "root": ([merkle_root(d) for d in digests], pa.binary()),
-                        "digests": (digests, pa.list_(pa.binary())), "lens": ([np.diff([0, *c]) for c in cuts], pa.list_(pa.int32())), "ids": (ids, pa.binary()),
-                    }
-                )
+        for part in _parts(batches, 256):
+            flat, starts = encoder.encode([t or b"" for t in part.column("t").to_pylist()])
+            cuts, data = cut_points(flat, starts), memoryview(flat).cast("B")
+            digests = [[_digest(data[(s + a) * width : (s + b) * width]) for a, b in zip([0, *c], c)] for s, c in zip(starts.tolist(), cuts)]
+            ids = [pack(data[a * width : b * width]) for a, b in zip(starts.tolist(), starts[1:].tolist())]
+            yield _batch(
+                {
+                    "doc_id": part.column("id"), "n_tokens": (np.diff(starts), pa.int64()), "width": ([width] * len(ids), pa.int32()), "root": ([merkle_root(d) for d in digests], pa.binary()),
+                    "digests": (digests, pa.list_(pa.binary())), "lens": ([np.diff([0, *c]) for c in cuts], pa.list_(pa.int32())), "ids": (ids, pa.binary()),
+                }
+            )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.encode(F.col(text), "UTF-8").alias("t"))
     staged = rows.mapInArrow(run, "doc_id long, n_tokens long, width int, root binary, digests array<binary>, lens array<int>, ids binary")
     return shared_table(staged.withColumn("rid", F.monotonically_increasing_id()), "staged")
 
 
-def _split_hot(rows: DataFrame, owners: DataFrame, on: list[str], uses: int) -> DataFrame:
-    """rows joined with owners (n: uses of each): the few hot owners by broadcast, so that none is one task's."""
-    hot = F.broadcast(owners.where(F.col("n") * HEAVY > uses))
-    light = rows.join(F.broadcast(owners.where(F.col("n") * HEAVY > uses).select(*on)), on, "left_anti").join(owners.where(F.col("n") * HEAVY <= uses), on)
-    return light.unionByName(rows.join(hot, on))
-
-
 def manifest_of(pack: DataFrame) -> DataFrame:
     """One row: documents, ids, chunks, and the Merkle root over documents by start."""
     rows = pack.select("start", "n_tokens", F.size("digests").alias("chunks"), F.sha2(F.concat_ws(" ", F.hex("root"), "start", "n_tokens"), 256).alias("h"))
@@ -159,7 +156,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     uses = shared_table(uses, "chunkuses")
     owner = uses.groupBy("digest").agg(F.min(F.struct("start", "part")).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
     owner = shared_table(owner.select("digest", F.col("o.start").alias("at"), F.col("o.part").alias("at_part"), "n"), "chunkowners")
-    foreign = _split_hot(uses, owner, ["digest"], uses.count()).where("start <> at OR part <> at_part")
+    foreign = hot_join(uses, owner, ["digest"], "n", uses.count()).where("start <> at OR part <> at_part")
     foreign = foreign.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("part", "at", "at_part"))).alias("f"))
     lent = owner.groupBy(F.col("at").alias("start")).agg(F.sort_array(F.collect_list(F.struct(F.col("at_part").alias("part"), "n"))).alias("l"))
     recipes = keyed.join(foreign, "start", "left").join(lent, "start", "left")
@@ -172,7 +169,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
         recipe = None
-        for b in batches:
+        for b in _parts(batches):
             out = []
             for row in b.to_pylist():
                 if not row["kind"]:
@@ -201,7 +198,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in _parts(batches):
             got = []
             for row in b.to_pylist():
                 gone, want, place, ids, width = set(row["part"] or ()), dict(zip(row["lent"], row["lent_n"])), 0, unpack(row["ids"]), row["width"]
@@ -218,7 +215,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
     chunks = shared_table(chunks, "lentchunks")
     lacking = pack.where("part IS NOT NULL")
     calls = lacking.select("start", F.explode(F.arrays_zip("part", "at", "at_part")).alias("f")).select("start", "f.*")
-    fetched = _split_hot(calls, chunks, ["at", "at_part"], said["chunks"]).groupBy("start").agg(F.collect_list(F.struct("part", "chunk")).alias("more"))
+    fetched = hot_join(calls, chunks, ["at", "at_part"], "n", said["chunks"]).groupBy("start").agg(F.collect_list(F.struct("part", "chunk")).alias("more"))
     fetched = fetched.select(F.col("start").alias("s"), "more.part", "more.chunk")
     base = ["doc_id", "start", "n_tokens", "width", "root", "digests", "lens", "ids"]
     whole = pack.where("part IS NULL").select(*base, F.lit(None).cast("array<int>").alias("got"), F.lit(None).cast("array<binary>").alias("chunk"))
@@ -226,7 +223,7 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = False) -> DataFr
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in _parts(batches):
             crc, streams = [], []
             for start, n, width, root, digests, lens, ids, got, chunk in zip(*(b.column(c).to_pylist() for c in [*base[1:], "got", "chunk"])):
                 more = {} if got is None else dict(zip(got, chunk))

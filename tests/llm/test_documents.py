@@ -131,10 +131,26 @@ def test_estimate_is_close(spark):
     assert abs(df.select(near_dups.estimate(F.col("a"), F.col("b")).alias("e")).first().e - 450 / 550) < 0.15
 
 
-def test_drop_near_duplicates_keeps_one(hard, none):
-    got = near_dups.drop_near_duplicates(hard, 5, 80)
+@pytest.mark.parametrize("ids", [None, 7])
+def test_near_duplicates_of_rows_that_share_an_id(spark, ids):
+    rng = random.Random(3)
+    rows = []
+    for i in range(1000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(ids, " ".join(words)), (ids, " ".join([*words[:-1], f"other{i}"]))]
+    rows += [(ids, "same words here again")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dups.near_duplicates(docs, 4, 80).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter([(ids, 37, ids)] * 2000 + [(ids, 1, ids)] * 50)
+    assert near_dups.drop_near_duplicates(docs, 4, 80).count() == 1001
+
+
+def test_drop_near_duplicates_keeps_one(spark, hard, none):
+    got = near_dups.drop_near_duplicates(hard.withColumns({"k1": F.lit(1), "comp": F.lit("c")}), 5, 80)
     ids = Counter(r.doc_id for r in got.collect())
-    assert got.columns == hard.columns and ids[6] == 0 and ids[5] == 1 and ids[3] + ids[4] == 1
+    assert got.columns == [*hard.columns, "k1", "comp"] and ids[6] == 0 and ids[5] == 1 and ids[3] + ids[4] == 1
+    # of the rows without id, the copy of 5 goes; the empty one and the one of its own stay
+    assert sorted(r.text or "" for r in got.where("doc_id IS NULL").collect()) == ["", "hello there"]
     assert near_dups.drop_near_duplicates(none, 5, 80).count() == 0
 
 
