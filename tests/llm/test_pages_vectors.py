@@ -126,6 +126,29 @@ def _links(ids, vectors, t):
     return Counter((ids[i], sum(link[i]), name.get(comp[i], ids[i])) for i in range(n))
 
 
+@pytest.mark.parametrize("tile", [5, 512])
+def test_block_links_equal_brute_force(tile, monkeypatch):
+    monkeypatch.setattr(vector_dups, "TILE", tile)
+    rng = np.random.default_rng(tile)
+    centre = rng.normal(size=(4, 10))
+    v = np.stack([centre[i % 4] + rng.normal(size=10) * 0.2 * (i % 3) for i in range(60)])
+    axes, copies, eps = np.linalg.qr(rng.normal(size=(10, 10)))[0], rng.integers(1, 4, 60), np.sqrt(0.2)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    pos = rng.permutation(60) * 3
+    make = lambda s: vector_dups.Tiles(v[s], pos[s], copies[s], axes)
+    one = vector_dups.block_links(make(slice(0, 60)), None, eps, 0.9)
+    assert dict(zip(one[0], one[1], strict=True)) == {p: n for p, n in zip(pos, link @ copies, strict=True) if n}
+    two = vector_dups.block_links(make(slice(0, 25)), make(slice(25, 60)), eps, 0.9)
+    cross = link.copy()
+    cross[:25, :25] = cross[25:, 25:] = False
+    assert dict(zip(two[0], two[1], strict=True)) == {p: n for p, n in zip(pos, cross @ copies, strict=True) if n}
+    for got, mask in ((one, link), (two, cross)):
+        reach = np.linalg.matrix_power(mask.astype(float) + np.eye(60), 60) > 0
+        assert dict(zip(got[0], got[2], strict=True)) == {p: pos[r].min() for p, r, m in zip(pos, reach, mask, strict=True) if m.any()}
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_dups, "BLOCK", 16)
     rng = np.random.default_rng(2)
@@ -147,11 +170,21 @@ def test_blocks_are_pruned_without_loss(spark):
     axes, eps = vector_dups.principal_axes(df, 4), 0.1
     placed = vector_dups._grid_order(df.select("v", "rep", "copies"), axes, eps).withColumn("block", F.floor(F.col("pos") / 20).cast("long"))
     placed = placed.persist()
-    pairs = {(r.a, r.b) for r in vector_dups.near_blocks(placed, axes.shape[1], eps).collect()}
+    pairs = {(r.a, r.b) for r in vector_dups.near_blocks(vector_dups.pack_blocks(placed, axes), eps).collect()}
     rows = placed.collect()
     units = [(r.block, np.array(r.v) / np.linalg.norm(r.v)) for r in rows]
     need = {tuple(sorted((a, b))) for i, (a, x) in enumerate(units) for b, y in units[:i] if np.linalg.norm(x - y) <= eps}
-    assert need <= pairs and len(pairs) < 20 * 21 / 2
+    assert need <= pairs and len(pairs) < 0.4 * 20 * 21 / 2
+
+
+def test_few_pairs_without_structure_are_computed_in_full(spark):
+    """No box rules out blocks of vectors without structure; the bound within tiles leaves few pairs."""
+    m = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], dtype=np.float64)
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    _, axes = np.linalg.eigh(np.cov(u.T))
+    t = vector_dups.Tiles(m, np.arange(len(m)), np.ones(len(m), int), np.ascontiguousarray(axes[:, ::-1]))
+    may = t.lead @ t.lead.T + np.multiply.outer(t.rest, t.rest) >= 0.9 - vector_dups.SLACK
+    assert may.sum() - len(m) < 0.001 * may.size
 
 
 def test_sql_twins(spark):
