@@ -1,19 +1,28 @@
 """URL filters by a path-template tree; DataFrame functions only.
 
-Method: each host has a tree over path segments. At a node, segments that hold less than
-MIN_SHARE of its pages or fewer than MIN_PAGES are variable and become one wildcard; the others
-are branches, at most 1/MIN_SHARE of them. Branches whose labelled rates do not differ by
-more than Z standard errors, and whose tails are of like length, are merged, so {en|fr} is one
-branch. A page's template is its path through the tree. A template is rejected when its
-labelled purity (share of blocked among labelled pages), smoothed towards the host's share,
-which is smoothed towards the whole table's, reaches REJECT. Labels are the verdicts of rules.
-
-Tree levels are aggregates with map-side partial sums; only rows of a node's branches (at most
-1/MIN_SHARE) meet in a window. Segments from DEPTH on form one tail.
+Method: each host has a tree over path segments. All that is below a node begins with the same
+segments as far as its smallest and its largest remainder agree, so they are taken at once. Of the
+segments that follow, those with fewer than MIN_PAGES pages are variable and become one
+wildcard; all others are branches. Branches of a node whose labelled rates do not differ from the
+node's pooled rate by more than Z standard errors (or all lie above it, or all below), and whose
+remainders are of like length, are merged, {de|fr} say; branches without labels merge among
+themselves. A node with fewer than MIN_PAGES pages is not split further: each segment left is a
+wildcard. A page's template is its way through the tree, at any depth.
+
+A template's purity is its share of blocked among labelled pages, smoothed towards the labelled share of
+its host, which is smoothed towards that of the whole table. Labels are the verdicts of rules. A
+template is rejected when its purity reaches REJECT and it has labels that speak for it: at least
+MIN_LABELS, and on at least COVER of its pages.
+
+Pages with equal host and path are one row with a count before the tree grows, since their labels
+are equal. Levels are aggregates with map-side partial sums, no group is gathered, and hot
+hosts, nodes and paths are joined by broadcast (hot_join).
 
 Defined results: null urls and urls without :// have empty host and path and form a template of
-their own; repeated rows count each; null page ids are carried along; an empty table gives an
-empty result; further columns are kept by url_verdicts, those named like its results replaced.
+their own; very long paths cost a level only where branches differ; repeated rows count each; null
+page ids are carried along; ties need no order; the signs * { } | of a segment are written %2A %7B
+%7D %7C in templates; an empty table gives an empty result; further columns are kept by
+url_verdicts, those named like its results replaced.
 """
 
 from __future__ import annotations
@@ -23,12 +32,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqlens.session import shared_table
+from seqlens.operators.skew import hot_join
+from seqlens.session import drop_shared, shared_table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: verdict, host, path; a rule is written host then path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DEPTH, MIN_SHARE, MIN_PAGES = 4, 0.04, 8
+MIN_PAGES, MIN_LABELS, COVER = 8, 4, 0.2
 Z, SMOOTH, REJECT = 2.58, 4.0, 0.8
 
 
@@ -52,66 +62,109 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return (none, none) if name is None else (name, verdict)
 
 
-def _branches(pages: DataFrame, depth: int) -> DataFrame:
-    """(host, node, seg, branch) of the segments that stay branches below each node at this depth."""
-    seg = F.get("segs", F.lit(depth))
-    blocked, labelled = F.count_if(F.col("label") == 1), F.count("label")
-    per = pages.where(seg.isNotNull()).groupBy("host", "node", seg.alias("seg")).agg(F.count(F.lit(1)).alias("n"), blocked.alias("blocked"), labelled.alias("labelled"), F.avg(F.size("segs")).alias("tail"))
-    whole = per.groupBy("host", "node").agg(F.sum("n").alias("total"), F.sum("blocked").alias("all_blocked"), F.sum("labelled").alias("all_labelled"))
-    kept = per.join(whole, ["host", "node"]).where((F.col("n") >= MIN_PAGES) & (F.col("n") >= F.col("total") * MIN_SHARE))
-    prior = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
-    weight = F.col("labelled") + SMOOTH
-    kept = kept.withColumn("rate", (F.col("blocked") + prior * SMOOTH) / weight).withColumn("weight", weight).withColumn("known", (F.col("labelled") > 0).cast("int"))
-    w = Window.partitionBy("host", "node").orderBy("known", "rate", "tail", "seg")
-    before = {c: F.lag(c).over(w) for c in ("rate", "weight", "tail", "known")}
-    pooled = (F.col("rate") * F.col("weight") + before["rate"] * before["weight"]) / (F.col("weight") + before["weight"])
-    error = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-4)) * (1 / F.col("weight") + 1 / before["weight"]))
-    alike = (F.abs(F.col("rate") - before["rate"]) <= error * Z) & (F.abs(F.col("tail") - before["tail"]) <= 1) & (F.col("known") == before["known"])
-    kept = kept.withColumn("group", F.sum(F.when(alike, 0).otherwise(1)).over(w))
-    names = kept.groupBy("host", "node", "group").agg(F.sort_array(F.collect_list("seg")).alias("names"))
-    branch = F.when(F.size("names") > 1, F.concat(F.lit("{"), F.array_join("names", "|"), F.lit("}"))).otherwise(F.col("names")[0])
-    return names.select(F.col("host").alias("bh"), F.col("node").alias("bn"), F.explode("names").alias("bs"), branch.alias("branch"))
-
-
-def path_templates(pages: DataFrame) -> DataFrame:
-    """pages (host, path, label: 1 block, 0 allow, null) with their template."""
-    segs = F.filter(F.split("path", "/", -1), lambda s: s != "")
-    tail = F.array_join(F.slice(segs, DEPTH, 1_000_000), "/")
-    segs = F.when(F.size(segs) < DEPTH, segs).otherwise(F.array_append(F.slice(segs, 1, DEPTH - 1), tail))
-    tree = shared_table(pages.withColumn("segs", segs).withColumn("node", F.lit("")), "urltree")
-    for depth in range(DEPTH):
-        seg = F.get("segs", F.lit(depth))
-        found = _branches(tree, depth)
-        joined = tree.join(found, (F.col("host") == F.col("bh")) & (F.col("node") == F.col("bn")) & (seg == F.col("bs")), "left")
-        step = F.when(seg.isNull(), F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
-        tree = joined.withColumn("node", F.concat("node", step)).drop("bh", "bn", "bs", "branch")
-        tree = shared_table(tree, "urltree")
-    return tree.withColumnRenamed("node", "template").drop("segs")
-
-
-def template_purity(labelled: DataFrame) -> DataFrame:
-    """(host, template, purity): smoothed share of blocked among labelled pages, from pages with templates."""
-    per = labelled.groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("blocked"), F.count("label").alias("labelled"))
-    whole = per.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("blocked").alias("hb"))
-    pages, blocked = whole.agg(F.sum("hn"), F.sum("hb")).first()
-    base = ((blocked or 0) + 0.5) / ((pages or 0) + 1.0)
-    # pages without a label count in the host's share as not blocked: few labels don't speak for a host
-    host = whole.select("host", ((F.col("hb") + F.lit(base * SMOOTH)) / (F.col("hn") + SMOOTH)).alias("prior"))
+def _written(segment: Column) -> Column:
+    """A segment as a template shows it: signs that templates use are escaped."""
+    for sign in "*{}|":
+        segment = F.replace(segment, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return segment
+
+
+def _joined(segments: Column) -> Column:
+    """Segments as a piece of a template, a slash before each."""
+    return F.array_join(F.transform(segments, lambda s: F.concat(F.lit("/"), s)), "")
+
+
+def _nodes(live: DataFrame) -> DataFrame:
+    """(host, node, paths, total, blocked, labelled, common, step, split): what all below a node share, and whether it is split after that."""
+    sums = [F.sum(c).alias(a) for c, a in (("n", "total"), ("blocked", "all_blocked"), ("labelled", "all_labelled"))]
+    per = live.groupBy("host", "node").agg(F.count(F.lit(1)).alias("paths"), *sums, F.min("tail").alias("lo"), F.max("tail").alias("hi"))
+    differs = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+    common = F.when(differs > 0, differs - 1).otherwise(F.size("lo")).cast("int")
+    per = per.withColumn("common", common).withColumn("step", _joined(F.transform(F.slice("lo", F.lit(1), F.col("common")), _written)))
+    return per.withColumn("split", (F.col("total") >= MIN_PAGES) & (F.col("lo") != F.col("hi"))).drop("lo", "hi")
+
+
+def _branches(pages: DataFrame) -> DataFrame:
+    """(host, node, seg, paths, branch) of every segment that follows a node: its branch's name, or the wildcard."""
+    sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
+    keep = [F.max(c).alias(c) for c in ("all_blocked", "all_labelled")]
+    per = pages.groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("paths"), *sums, *keep, (F.sum(F.size("tail") * F.col("n")) / F.sum("n")).alias("deep"))
+    per = shared_table(per, "urlsegments")
+    big = per.where(F.col("n") >= MIN_PAGES)
+    pooled = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
+    off = F.col("blocked") / F.col("labelled") - pooled
+    error = F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
+    side = F.when(F.col("labelled") == 0, 2).when(off > error * Z, 1).when(off < -error * Z, -1).otherwise(0)
+    big = big.select("host", "node", "seg", side.alias("side"), F.round("deep").alias("deep"))
+    group = big.groupBy("host", "node", "side", "deep").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("z"))
+    first, last = _written(F.col("a")), _written(F.col("z"))
+    name = F.when(F.col("k") == 1, first).when(F.col("k") == 2, F.concat(F.lit("{"), first, F.lit("|"), last, F.lit("}")))
+    name = name.otherwise(F.concat(F.lit("{"), first, F.lit("|"), (F.col("k") - 2).cast("string"), F.lit(" more|"), last, F.lit("}")))
+    group = shared_table(group.withColumn("branch", name), "urlgroups")
+    named = hot_join(big, group, ["host", "node", "side", "deep"], "k", per.count()).select("host", "node", "seg", "branch")
+    found = per.select("host", "node", "seg", "paths").join(named, ["host", "node", "seg"], "left").withColumn("branch", F.coalesce("branch", F.lit("*")))
+    found = shared_table(found, "urlbranches")
+    drop_shared(per, group)
+    return found
+
+
+def path_templates(paths: DataFrame) -> DataFrame:
+    """(host, path, n, blocked, labelled, template) of distinct paths (host, path, n, blocked, labelled)."""
+    base = ["host", "path", "n", "blocked", "labelled"]
+    tail = F.filter(F.split("path", "/", -1), lambda s: s != "")
+    live = shared_table(paths.select(*base, tail.alias("tail"), F.lit("").alias("node")), "urltree")
+    done = live.where("size(tail) = 0").select(*base, F.col("node").alias("template"))
+    live = live.where("size(tail) > 0")
+    while not live.isEmpty():
+        total = live.count()
+        nodes = shared_table(_nodes(live), "urlnodes")
+        rows = hot_join(live, nodes, ["host", "node"], "paths", total)
+        rest = F.slice("tail", F.col("common") + 1, F.greatest(F.size("tail") - F.col("common"), F.lit(0)))
+        rows = rows.withColumn("node", F.concat("node", "step")).withColumn("tail", rest)
+        rows = rows.select(*base, "tail", "node", (F.col("split") & (F.size("tail") > 0)).alias("split"), "all_blocked", "all_labelled")
+        rows = shared_table(rows, "urltree")
+        stars = _joined(F.transform("tail", lambda s: F.lit("*")))
+        done = done.unionByName(rows.where(~F.col("split")).select(*base, F.concat("node", stars).alias("template")))
+        open_ = rows.where("split").withColumn("seg", F.col("tail")[0])
+        found = _branches(open_)
+        moved = hot_join(open_, found, ["host", "node", "seg"], "paths", total)
+        moved = moved.select(*base, F.expr("slice(tail, 2, size(tail))").alias("tail"), F.concat("node", F.lit("/"), "branch").alias("node"))
+        moved = shared_table(moved, "urltree")
+        done = done.unionByName(moved.where("size(tail) = 0").select(*base, F.col("node").alias("template")))
+        live = moved.where("size(tail) > 0")
+        drop_shared(nodes, found)
+    return shared_table(done, "urltemplates")
+
+
+def template_purity(paths: DataFrame) -> DataFrame:
+    """(host, template, purity, rejected, paths) of paths with templates, from labelled pages only."""
+    per = paths.groupBy("host", "template").agg(F.count(F.lit(1)).alias("paths"), *[F.sum(c).alias(c) for c in ("n", "blocked", "labelled")])
+    per = shared_table(per, "urlpurity")
+    host = per.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("blocked").alias("hb"), F.count(F.lit(1)).alias("templates"))
+    blocked, labelled = per.agg(F.sum("blocked"), F.sum("labelled")).first()
+    base = ((blocked or 0) + 0.5) / ((labelled or 0) + 1.0)
+    prior = (F.col("hb") + F.lit(base * SMOOTH)) / (F.col("hl") + SMOOTH)
+    host = shared_table(host.select("host", "templates", prior.alias("prior")), "urlhosts")
     purity = (F.col("blocked") + F.col("prior") * SMOOTH) / (F.col("labelled") + SMOOTH)
-    return per.join(host, "host").select("host", "template", purity.alias("purity"))
+    spoken = (F.col("labelled") >= MIN_LABELS) & (F.col("labelled") >= F.col("n") * COVER)
+    rows = hot_join(per, host, ["host"], "templates", per.count()).withColumn("purity", purity)
+    return rows.select("host", "template", "purity", (spoken & (F.col("purity") >= REJECT)).alias("rejected"), "paths")
 
 
 def url_verdicts(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, template, purity and verdict of each url."""
-    names = ("host", "path", "rule", "template", "purity", "verdict", "label")
+    names = ("host", "path", "rule", "template", "purity", "verdict")
     kept = [c for c in pages.columns if c not in names]
     host, path = split_url(F.col(url))
-    rows = pages.select(*kept, host.alias("host"), path.alias("path"))
+    own = [F.col(c).alias(f"__{i}") for i, c in enumerate(kept)]
+    rows = pages.select(*own, host.alias("host"), path.alias("path"))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", ruled)
-    rows = rows.withColumn("label", F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0))
-    rows = path_templates(rows)
-    purity = template_purity(rows).select(F.col("host").alias("ph"), F.col("template").alias("pt"), "purity")
-    rows = rows.join(purity, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")), "left")
-    verdict = F.coalesce("ruled", F.when(F.col("purity") >= REJECT, "block").otherwise("allow"))
-    return rows.select(*kept, "host", "path", "rule", "template", "purity", verdict.alias("verdict"))
+    per = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("blocked", F.when(ruled == "block", F.col("n")).otherwise(0)).withColumn("labelled", F.when(ruled.isNotNull(), F.col("n")).otherwise(0))
+    paths = path_templates(per)
+    purity = shared_table(template_purity(paths), "urlpurity")
+    judged = hot_join(paths, purity, ["host", "template"], "paths", paths.count()).select("host", "path", "n", "template", "purity", "rejected")
+    judged = shared_table(judged, "urljudged")
+    rows = hot_join(rows, judged, ["host", "path"], "n", pages.count())
+    verdict = F.coalesce(ruled, F.when(F.col("rejected"), "block").otherwise("allow"))
+    return rows.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(kept)], "host", "path", rule.alias("rule"), "template", "purity", verdict.alias("verdict"))

@@ -62,6 +62,99 @@ def test_templates_learn_from_labels(spark):
     assert got == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def _trees(paths):
+    """(host, path) -> template, by recursion; paths: (host, path) -> (pages, blocked, labelled)."""
+    esc = lambda s: "".join(f"%{ord(c):02X}" if c in "*{}|" else c for c in s)
+    out, lowest = {}, url_filter.MIN_PAGES
+
+    def grow(items, name):
+        tails = [t for _, t in items]
+        if not all(tails):
+            out.update((k, name) for k, t in items if not t)
+            items = [(k, t) for k, t in items if t]
+            return grow(items, name) if items else None
+        low, high = min(tails), max(tails)
+        k = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+        name += "".join("/" + esc(s) for s in low[:k])
+        if sum(paths[key][0] for key, _ in items) < lowest or low == high:
+            out.update((key, name + "/*" * (len(t) - k)) for key, t in items)
+            return None
+        out.update((key, name) for key, t in items if len(t) == k)
+        items = [(key, t[k:]) for key, t in items if len(t) > k]
+        add = lambda it: [sum(x) for x in zip(*(paths[key] for key, _ in it), strict=True)]
+        segments = {s: [(key, t) for key, t in items if t[0] == s] for s in {t[0] for _, t in items}}
+        _, blocked, labelled = add(whole)
+        pooled, groups = (blocked + 0.5) / (labelled + 1), {}
+        for s, it in segments.items():
+            n, b, m = add(it)
+            if n < lowest:
+                groups.setdefault("*", []).append(s)
+                continue
+            deep = sum(paths[key][0] * len(t) for key, t in it) / n
+            off, error = (b / m - pooled, (pooled * (1 - pooled) / m) ** 0.5 * url_filter.Z) if m else (0, 0)
+            groups.setdefault((2 if not m else 1 if off > error else -1 if off < -error else 0, int(deep + 0.5)), []).append(s)
+        for g, names in groups.items():
+            a, z = esc(min(names)), esc(max(names))
+            branch = "*" if g == "*" else a if len(names) == 1 else f"{{{a}|{z}}}" if len(names) == 2 else f"{{{a}|{len(names) - 2} more|{z}}}"
+            below = [(key, t[1:]) for s in names for key, t in segments[s]]
+            out.update((key, f"{name}/{branch}") for key, t in below if not t)
+            more.setdefault(f"{name}/{branch}", []).extend((key, t) for key, t in below if t)
+        return None
+
+    for host in {h for h, _ in paths}:
+        more = {"": [((h, p), [s for s in p.split("/") if s]) for h, p in paths if h == host]}
+        empty = [key for key, t in more[""] if not t]
+        out.update((key, "") for key in empty)
+        more[""] = [(key, t) for key, t in more[""] if t]
+        while more:
+            name, whole = more.popitem()
+            if whole:
+                grow(whole, name)
+    return out
+
+
+def test_templates_and_purity_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    urls = [f"http://h{rng.randrange(2)}.x/" + "/".join(rng.choice(["de", "fr", "en", "*", "{a|b}", str(rng.randrange(99)), "deep"]) for _ in range(rng.randrange(7))) for _ in range(900)]
+    urls += ["http://h0.x/" + "same/" * 40 + f"{i % 3}" for i in range(30)] + ["http://h1.x/a/b/c"] * 20 + [None, "none"]
+    rules = [("block", "h0.x", "/de/"), ("allow", "h0.x", "/fr/d"), ("block", "h1.x", "/en/deep"), ("block", "x", "/deep"), ("allow", "x", "/same/")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.url_verdicts(pages, rules).collect()
+    paths, split = {}, {}
+    for r in got:
+        n, b, m = paths.get((r.host, r.path), (0, 0, 0))
+        kind = dict((d + p, k) for k, d, p in rules).get(r.rule)
+        paths[r.host, r.path] = (n + 1, b + (kind == "block"), m + (kind is not None))
+    want = _trees(paths)
+    assert {(r.host, r.path): r.template for r in got} == want
+    for key, (n, b, m) in paths.items():
+        for name in ((key[0], want[key]), (key[0],), ()):
+            x = split.setdefault(name, [0, 0, 0])
+            split[name] = [x[0] + n, x[1] + b, x[2] + m]
+    smooth = url_filter.SMOOTH
+    base = (split[()][1] + 0.5) / (split[()][2] + 1)
+    blocked = 0
+    for r in got:
+        n, b, m = split[r.host, r.template]
+        prior = (split[r.host,][1] + base * smooth) / (split[r.host,][2] + smooth)
+        purity = (b + prior * smooth) / (m + smooth)
+        assert r.purity == pytest.approx(purity)
+        if r.rule is None:
+            reject = purity >= url_filter.REJECT and m >= url_filter.MIN_LABELS and m >= n * url_filter.COVER
+            assert r.verdict == ("block" if reject else "allow")
+            blocked += reject
+    assert len({r.template.count("/") for r in got}) > 5
+
+
+def test_a_learned_template_is_blocked_under_the_rules_of_the_query(spark, tmp_path):
+    urls = [f"https://a.example.com/{'de' if i < 7 else f's{i}'}/{i}" for i in range(20)] + [f"https://b.example.com/{'de' if i < 9 else f's{i}'}/{i}" for i in range(90)]
+    spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = Q.op4_url_filter(spark, str(tmp_path)).where("rule IS NULL").collect()
+    assert {(r.host, r.verdict) for r in got} == {("a.example.com", "block"), ("b.example.com", "allow")}
+
+
 def test_warc_round_trip(spark, pages, none, tmp_path):
     warc.write_archive(warc.plan_records(pages), str(tmp_path / "w"), chunk=1000)
     rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
