@@ -1,30 +1,39 @@
 """Document fingerprints by spot signatures; DataFrame functions only.
 
-Method: common words are anchors; the CHAIN content words after an anchor (other common words
-skipped, within REACH words) and the anchor form a spot signature. A fingerprint is the set
-of a text's signatures, written as sorted 8-digit hexadecimal hashes. Likeness is the Jaccard
-similarity of two sets, pruned first by their sizes: beyond the threshold of a search, sets
-whose size ratio is lower can't be alike. A search partitions sets by length so that only
-equal and neighbouring partitions meet, and within them only sets that share one of their
-rarest signatures (as many as the threshold leaves).
-
-A text without any signature (no anchor, or too short) takes its single words as signatures;
-one without words has the empty fingerprint. Two empty fingerprints have likeness 1.
-
-Defined results: null text is the empty text; equal texts have equal fingerprints; the next
-document follows by doc_id (nulls last), then text; repeated rows (same id and text) count
-once in that order and each get the same result; an empty table gives an empty result.
+Method: common words are anchors, all others are content words. An anchor and the CHAIN content
+words that follow it, however far (fewer at the text's end, but one at least), form a spot
+signature. A content word that is in no spot's chain starts a signature of its own, of as many
+content words and no anchor, so stretches without common words are covered in every text alike;
+in a text of common words only, each is one signature. A fingerprint is the set of a text's
+signatures, written as sorted 8-digit hexadecimal hashes. Likeness is the Jaccard similarity of two
+sets, pruned by their sizes: lengths fall into partitions that grow by 1/FLOOR, sets that are in
+neither the same nor neighbouring partitions, or whose size ratio is under FLOOR, have likeness 0
+without a look at their signatures (their Jaccard similarity is under FLOOR). A search
+partitions sets by length in the same way with its own threshold, so that only equal and neighbouring
+partitions meet, and within them only sets that share one of their rarest signatures (as many
+as the threshold leaves).
+
+Texts without words have the empty fingerprint; two empty fingerprints have likeness 1.
+
+Defined results: null text is the empty text; very long texts are read whole; equal texts have
+equal fingerprints; the next document follows by doc_id (nulls last), then by a hash of its text;
+repeated rows (same id and text) count once in that order and each get the same result; further
+columns, whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.operators.positions import with_positions
 from seqlens.session import shared_table
 
-CHAIN, REACH = 2, 12
+CHAIN = 2
+#: Sets whose size ratio is lower are not compared: their likeness is 0.
+FLOOR = 0.1
 #: Common words of English, German, French and Spanish.
 ANCHORS = tuple(
     "a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
@@ -41,16 +50,30 @@ def words_of(text: Column) -> Column:
 def signatures(text: Column) -> Column:
     """The set of spot signatures of a text as a sorted array of ints."""
 
-    def chain(words: Column) -> Column:
-        def spot(word: Column, i: Column) -> Column:
-            rest = F.filter(F.slice(words, i + 2, REACH), lambda w: ~w.isin(*ANCHORS))
-            full = F.when(F.size(rest) >= CHAIN, F.hash(word, *[rest[k] for k in range(CHAIN)]))
-            return F.when(word.isin(*ANCHORS), full)
+    def of_words(words: Column) -> Column:
+        return _once(F.transform(words, lambda w: w.isin(*ANCHORS)), lambda common: of_marked(words, common))
+
+    def of_marked(words: Column, common: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(words) - 1)
+        anchors, content = F.filter(at, lambda i: common[i]), F.filter(at, lambda i: ~common[i])
+        return _once(anchors, lambda p: _once(content, lambda q: spots(words, p, q)))
+
+    def chain(words: Column, q: Column, first: Column) -> list[Column]:
+        return [F.get(words, F.get(q, first + k)) for k in range(CHAIN)]
 
-        found = F.filter(F.transform(words, spot), lambda s: s.isNotNull())
-        return F.when(F.size(found) > 0, found).otherwise(F.transform(words, lambda w: F.hash(w)))
+    def spots(words: Column, p: Column, q: Column) -> Column:
+        # p[j] - j content words stand before the j-th anchor
+        led = F.transform(p, lambda i, j: F.when(i - j < F.size(q), F.hash(words[i], F.lit(1), *chain(words, q, i - j))))
+        # a content word with an anchor right before it begins a chain, which covers CHAIN words
+        free = F.transform(q, lambda i, r: F.when(~F.greatest(*[begins(q, r - k) for k in range(CHAIN)]), F.hash(F.lit(2), *chain(words, q, r))))
+        bare = F.when(F.size(q) == 0, F.transform(words, lambda w: F.hash(w))).otherwise(F.array().cast("array<int>"))
+        return F.sort_array(F.array_distinct(F.array_compact(F.concat(led, free, bare))))
 
-    return F.sort_array(F.array_distinct(_once(words_of(F.coalesce(text, F.lit(""))), chain)))
+    def begins(q: Column, r: Column) -> Column:
+        return F.coalesce(F.get(q, r) - F.coalesce(F.get(q, r - 1), F.lit(-1)) > 1, F.lit(False))
+
+    words = words_of(F.coalesce(text, F.lit("")))
+    return _once(words, lambda w: F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(of_words(w)))
 
 
 def _once(value: Column, use) -> Column:
@@ -63,11 +86,17 @@ def written(sigs: Column) -> Column:
     return F.array_join(F.transform(sigs, lambda s: F.lpad(F.lower(F.hex(s.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0")), "")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two signature sets; no overlap is looked for when one is empty."""
+def length_partition(n: Column, t: float) -> Column:
+    """The partition of sets of n signatures: sizes of partners at likeness t differ by at most one partition."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / t)))
+
+
+def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
+    """Jaccard similarity of two signature sets; 0 where their sizes hold it under floor."""
     na, nb = F.size(a), F.size(b)
+    apart = (F.abs(length_partition(na, floor) - length_partition(nb, floor)) > 1) | (F.least(na, nb) < F.greatest(na, nb) * floor)
     shared = F.size(F.array_intersect(a, b))
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(shared / (na + nb - shared))
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0) | apart, 0.0).otherwise(shared / (na + nb - shared))
 
 
 def neighbours(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -121,12 +150,12 @@ def spot_links(docs: DataFrame, percent: int = 80, text: str = "text", doc_id: s
     rarity = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     ranked = spread.join(rarity, "sig").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("r"))
     depth = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / t)))
+    part = length_partition(F.col("n"), t)
     prefix = ranked.select("id", "n", part.alias("part"), F.explode(F.slice("r", F.lit(1), depth.cast("int"))).alias("x")).select("id", "n", "part", "x.sig")
     left = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
     right = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "part")
     fits = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
     pairs = left.join(right, ["sig", "part"]).where(fits & (F.col("na") * 100 >= F.col("nb") * percent)).select("a", "b").distinct()
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    like = likeness(F.col("sa"), F.col("sb"))
+    like = likeness(F.col("sa"), F.col("sb"), t)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), like.alias("likeness")).where(F.col("likeness") >= t)

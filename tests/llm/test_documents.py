@@ -202,31 +202,59 @@ def test_toxic_spans_and_hard_rows(spark, hard, none):
     assert not empty.trained
 
 
-def test_spot_signatures(spark, hard, none):
-    docs = hard.select("doc_id", "text", "size")
-    got = spotsigs.edited_fingerprints(docs).collect()
-    assert len(got) == docs.count()
-    distinct = sorted({(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None})
-    by_id = defaultdict(set)
-    for d, t in distinct:
-        by_id[d].add(t)
-    single = [d for d, _ in distinct if len(by_id[d]) == 1]
-    texts = dict(distinct)
-    fingerprint = {}
+def _spots(text):
+    """Signatures of a text as tuples, by loops."""
+    import re
+
+    words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    if not content:
+        return {(w,) for w in words}
+    out, covered = set(), set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS and (after := [(k, c) for k, c in content if k > i][: spotsigs.CHAIN]):
+            out.add((w, *(c for _, c in after)))
+            if i + 1 == after[0][0]:
+                covered |= {k for k, _ in after}
+    for r, (k, _) in enumerate(content):
+        if k not in covered:
+            out.add(("", *(c for _, c in content[r : r + spotsigs.CHAIN])))
+    return out
+
+
+def test_fingerprints_equal_a_loop(spark, none):
+    rng = random.Random(6)
+    pool = ["the", "of", "und", "la", "con", "fox", "hill", "Stein", "río", "blau", "x1", "42", "tree"]
+    texts = ["", None, "the", "the of la", "fox", "the fox", "fox the", "fox hill", " ,; ", "the " * 40 + "fox", "no-one; THE\tHill"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(40)]
+    texts += [" ".join(rng.choice(pool[5:]) for _ in range(30)) + " the fox", "fox " * 200, texts[20]]
+    rows = [(i * 3, t, 1, "clash") for i, t in enumerate(texts)] + [(9, texts[3], 1, "repeated")]
+    got = spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, h long, fingerprint string")).collect()
+    assert len(got) == len(rows)
+    name, sizes = {}, {}
+
+    def jaccard(a, b):
+        if not a or not b:
+            return float(not a and not b)
+        return 0.0 if min(len(a), len(b)) < spotsigs.FLOOR * max(len(a), len(b)) else len(a & b) / len(a | b)
+
     for r in got:
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        if r.doc_id in single:
-            t = texts[r.doc_id]
-            assert fingerprint.setdefault(t, r.fingerprint) == r.fingerprint and r.n_chars == len(t)
-            at = [x for x, _ in distinct].index(r.doc_id)
-            if at + 1 < len(distinct):
-                q = len(t) // 4
-                want = t[: len(t) - q] + distinct[at + 1][1][:q]
-                assert r.edited_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        at = r.doc_id // 3
+        text, after = texts[at] or "", texts[(at + 1) % len(texts)] or ""
+        q = len(text) // 4
+        edited = text[: len(text) - q] + after[:q]
+        for t, f in ((text, r.fingerprint), (edited, r.edited_fingerprint)):
+            want = frozenset(_spots(t))
+            assert len(f) == 8 * len(want) and name.setdefault(want, f) == f and sizes.setdefault(f, want) == want
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.near_edited == pytest.approx(jaccard(_spots(text), _spots(edited))) and r.near_next == pytest.approx(jaccard(_spots(text), _spots(after)))
     assert spotsigs.edited_fingerprints(none).count() == 0
     one = spark.createDataFrame([(1, "the quick fox of hills", None)], "doc_id long, text string, size int")
-    row = spotsigs.edited_fingerprints(one).first()
-    assert row.near_next == 1.0 and len(row.fingerprint) % 8 == 0 and row.fingerprint
+    assert spotsigs.edited_fingerprints(one).first().near_next == 1.0
+
+
+def test_fingerprints_hard_rows(hard):
+    got = spotsigs.edited_fingerprints(hard).collect()
+    assert len(got) == hard.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
 def test_spot_links_equal_brute_force(hard):
@@ -354,24 +382,52 @@ def test_cut_points_follow_content():
 
 def test_shards(spark, hard, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").unionByName(hard.select("doc_id", "text", "lang", "source", "n_chars"))
-    rows = sharding.shard_rows(docs).collect()
+    rows = sharding.shard_rows(docs.withColumns({"digest": F.lit(1), "shard": F.lit("clash")})).collect()
     assert len(rows) == docs.count() and {r.law for r in rows} == {"bytes"} and {r.grown_shard for r in rows} == {None}
-    size, slots = Counter(), defaultdict(list)
+    size, slots, homes = Counter(), defaultdict(list), defaultdict(set)
     for r in rows:
         size[r.shard] += r.size
         slots[r.shard].append(r.slot)
+        homes[r.size, r.text_crc32].add(r.shard)
     assert set(size) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(len(h) == 1 for h in homes.values())
     mean = sum(size.values()) / 24
-    assert max(abs(v - mean) for v in size.values()) <= 0.02 * mean + max(r.size for r in rows)
+    assert max(abs(v - mean) for v in size.values()) <= 0.02 * mean + max(r.size for r in rows if r.size <= 0.005 * mean)
     want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
     assert sharding.shard_rows(none).count() == 0
 
 
+def test_tree_equals_a_sort(spark):
+    """Each node is cut along its widest dimension where a sort by (value, tie) reaches the left shards' weight."""
+    rng = random.Random(2)
+    points = [(str(i), rng.randrange(1, 50), rng.choice([0.1, 0.4]), rng.random() * 0.8, 0.5, rng.choice([0.0, 0.9]), rng.random()) for i in range(400)]
+    room = [5.0, 1.0, 3.0, 3.0, 2.0]
+    df = spark.createDataFrame(points, "digest string, bytes long, d0 double, d1 double, d2 double, d3 double, tie double")
+    grown, number = sharding.grow_tree(df, room)
+    got = {r.digest: number[r.node] for r in grown.collect()}
+
+    def split(rows, lo, hi):
+        if hi - lo == 1:
+            return {p[0]: lo for p in rows}
+        mid = (lo + hi) // 2
+        d = max(range(2, 6), key=lambda k: max(p[k] for p in rows) - min(p[k] for p in rows))
+        need, run, left = sum(p[1] for p in rows) * sum(room[lo:mid]) / sum(room[lo:hi]), 0, []
+        rows = sorted(rows, key=lambda p: (p[d], p[6]))
+        while run + rows[len(left)][1] < need:
+            run += rows[len(left)][1]
+            left.append(rows[len(left)])
+        return split(left, lo, mid) | split(rows[len(left) :], mid, hi)
+
+    assert got == split(points, 0, len(room))
+
+
 def test_hot_group_is_spread(spark):
-    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "copy " * 20).otherwise(F.concat(F.lit("own text "), F.col("id"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
-    size = Counter()
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2000, "copy " * 20).when(F.col("id") < 2050, "small group " * 9).otherwise(F.concat(F.lit("own text "), F.col("id"))).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    size, homes = Counter(), defaultdict(set)
     for r in sharding.shard_rows(docs).collect():
         size[r.shard] += r.size
+        homes[r.text_crc32].add(r.shard)
     mean = sum(size.values()) / 24
     assert max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
+    assert homes[zlib.crc32(b"small group " * 9)] and len(homes[zlib.crc32(b"small group " * 9)]) == 1 and len(homes[zlib.crc32(b"copy " * 20)]) > 6
