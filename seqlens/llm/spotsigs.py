@@ -118,17 +118,17 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """
     link = shared_table(neighbours(docs, text, doc_id), "nextdoc")
     t = F.coalesce(F.col(text), F.lit(""))
-    # one exchange of the texts, with their own signatures, serves givers and takers alike
-    rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select(F.xxhash64("id", "t").alias("k"), F.xxhash64("t").alias("h"), "t", signatures(F.col("t")).alias("s"))
+    # one exchange of the texts serves givers and takers alike; signatures are larger than what they cost to find again
+    rows = docs.select(F.col(doc_id).alias("id"), t.alias("t")).select(F.xxhash64("id", "t").alias("k"), F.xxhash64("t").alias("h"), "t")
     wanted = link.select("id", F.col("k").alias("to_k"), F.col("h").alias("to_h"), F.floor(F.col("n") / 4).cast("int").alias("take"), "next_k", "next_h")
     given = rows.join(wanted, (F.col("k") == F.col("next_k")) & (F.col("h") == F.col("next_h")))
-    given = given.select("id", "to_k", "to_h", F.substring(F.col("t"), F.lit(1), F.col("take")).alias("head"), F.col("s").alias("next_sigs"))
+    given = given.select("id", "to_k", "to_h", F.substring(F.col("t"), F.lit(1), F.col("take")).alias("head"), signatures(F.col("t")).alias("next_sigs"))
     # repeated rows give the same
     given = given.groupBy("to_k", "to_h").agg(F.any_value("id").alias("id"), F.any_value("head").alias("head"), F.any_value("next_sigs").alias("next_sigs"))
     both = rows.join(given, (F.col("k") == F.col("to_k")) & (F.col("h") == F.col("to_h")))
     keep = F.length("t") - F.floor(F.length("t") / 4).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), keep), F.col("head"))
-    both = both.select("id", F.length("t").cast("long").alias("n_chars"), edited.alias("e"), "s", "next_sigs")
+    both = both.select("id", F.length("t").cast("long").alias("n_chars"), edited.alias("e"), signatures(F.col("t")).alias("s"), "next_sigs")
     both = both.select("id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), "s", signatures(F.col("e")).alias("es"), "next_sigs")
     return both.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", written(F.col("s")).alias("fingerprint"), written(F.col("es")).alias("edited_fingerprint"),
