@@ -163,8 +163,8 @@ s AS (SELECT block, feature, count(value) >= 2 AND max(value) - min(value) > 1e-
 _EDGE = "e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4)"
 _LINK = "l(src, dst) AS (VALUES " + ", ".join(f"('{a}+', '{b}+')" for a, b in LINKS) + "), k AS (SELECT src, dst FROM l UNION SELECT replace(dst, '+', '-'), replace(src, '+', '-') FROM l)"
 _SEG = "g(id, s) AS (VALUES " + ", ".join(f"('{i}', '{'ACGTTGCAAC'[: 3 + i % 5] * (1 + i % 3)}')" for i in range(1, 10)) + "), n AS (SELECT id || '+' AS node, s FROM g UNION ALL SELECT id || '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM g)"
-_CALL = f"""h AS MATERIALIZED (SELECT query AS contig, 's' || target AS source, qstart - 1 AS a, qend AS b, qend - qstart + 1 AS length FROM ({HIT_SQL}) WHERE query % 50 = 0 AND pident >= 98.0 AND qend - qstart + 1 >= 50 AND qstart >= 1),
-c AS MATERIALIZED (SELECT query AS contig, max(qend) AS length FROM ({HIT_SQL}) WHERE query % 50 = 0 GROUP BY query),
+_CALL = f"""h AS MATERIALIZED (SELECT query AS contig, 's' || target AS source, qstart - 1 AS a, qend AS b, qend - qstart + 1 AS length FROM ({HIT_SQL}) WHERE pident >= 98.0 AND qend - qstart + 1 >= 50 AND qstart >= 1),
+c AS MATERIALIZED (SELECT query AS contig, max(qend) AS length FROM ({HIT_SQL}) GROUP BY query),
 p AS MATERIALIZED (SELECT DISTINCT contig, source, unnest(range(a, b)) AS q FROM h),
 x AS MATERIALIZED (SELECT contig, q, min(source) AS o FROM p GROUP BY ALL HAVING count(*) = 1),
 per AS (SELECT contig, source, count(*) AS n, any_value(length) AS length FROM p JOIN c USING (contig) GROUP BY ALL),

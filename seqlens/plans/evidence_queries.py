@@ -168,13 +168,13 @@ _SUM = """(SELECT query, CASE WHEN len(o) = 1 AND o[1] IN ('viral', 'cellular')
     bool_and(coalesce(hallmark, '') = 'true') FILTER (rival) AS hm, min(qcov) FILTER (rival) AS c, bool_or(fident >= 0.8 AND qcov >= 0.8) AS close
   FROM (SELECT h.*, bits >= max(bits) OVER (PARTITION BY query) * 0.5 AS rival FROM (
     SELECT l_orderkey AS query, l_suppkey AS target, 1 - l_tax * 4 AS fident, 0.4::DOUBLE + l_discount * 6 AS qcov, l_extendedprice AS bits FROM lineitem
-    WHERE l_linenumber % 2 = {parity} AND l_quantity > 10 AND least(0.4::DOUBLE + l_discount * 6, 0.9::DOUBLE) >= 0.5) h) LEFT JOIN lab USING (target) GROUP BY query))"""
+    WHERE {lines} l_quantity > 10 AND least(0.4::DOUBLE + l_discount * 6, 0.9::DOUBLE) >= 0.5) h) LEFT JOIN lab USING (target) GROUP BY query))"""
 _LAB = """lab AS (SELECT s_suppkey AS target, CASE s_suppkey % 3 WHEN 0 THEN 'viral' WHEN 1 THEN 'cellular' ELSE 'uncertain' END AS origin, 'L' || (s_suppkey % 4) AS lineage,
   'F' || (s_suppkey % 5) AS family, CASE WHEN s_suppkey % 2 = 0 THEN 'true' ELSE 'no' END AS hallmark FROM supplier WHERE s_suppkey % 11 <> 0)"""
 _PROF = f"""{_LAB}, p0 AS (SELECT o_orderkey AS orf_id, o_custkey % 50 AS contig, o_orderkey * 10 AS start, o_orderkey * 10 + 9 AS "end",
   q.query IS NOT NULL AS qrel, t.query IS NOT NULL AS trel, coalesce(q.origin, 'uncertain') AS qo, coalesce(t.origin, 'uncertain') AS tor, q.lineage AS ql, t.lineage AS tl, coalesce(q.family, '') AS qf, coalesce(t.family, '') AS tf,
   coalesce(q.hallmark, FALSE) AS qh, coalesce(t.hallmark, FALSE) AS th, q.confidence AS qc, t.confidence AS tc, coalesce(q.close, FALSE) AS qcl
-  FROM orders LEFT JOIN {_SUM.format(parity=0)} q ON q.query = o_orderkey LEFT JOIN {_SUM.format(parity=1)} t ON t.query = o_orderkey
+  FROM orders LEFT JOIN {_SUM.format(lines='l_linenumber % 2 = 0 AND')} q ON q.query = o_orderkey LEFT JOIN {_SUM.format(lines='l_linenumber % 2 = 1 AND')} t ON t.query = o_orderkey
 ), prof AS MATERIALIZED (SELECT orf_id, contig, start, "end", origin, CASE WHEN origin <> 'uncertain' AND len(ls) = 1 THEN ls[1] ELSE '' END AS lineage, qf AS sequence_family, tf AS structure_family,
   qrel AS sequence_related, qcl AS sequence_close, trel AS structural_related, trel AND NOT qrel AS structural_only,
   origin = 'viral' AND ((qo <> 'uncertain' AND qh) OR (tor <> 'uncertain' AND th)) AS hallmark, coalesce(least(CASE WHEN qo <> 'uncertain' THEN qc END, CASE WHEN tor <> 'uncertain' THEN tc END), 0.0) AS confidence
@@ -197,7 +197,7 @@ y AS ({_MERGED.format(src="x")}) SELECT split_part(accession, chr(9), 1) AS acce
     "joint_bases": f"""WITH iv AS ({IV_SQL}) SELECT *, classification <> 'unknown' AND assembly <> 'unknown' AS known FROM (
 SELECT CASE id % 3 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'informative' ELSE 'unknown' END AS classification, CASE WHEN id % 5 < 2 THEN 'chimeric' WHEN id % 5 < 4 THEN 'consistent' ELSE 'unknown' END AS assembly, sum("end" - start)::BIGINT AS bases FROM iv GROUP BY ALL)""",
     "observation_overlaps": f"""WITH iv AS ({IV_SQL}) SELECT accession, kind, count(*) AS n FROM (SELECT *, max("end") OVER (PARTITION BY accession, kind ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM iv) WHERE start < r GROUP BY ALL""",
-    "sweep_atlas": f"""WITH iv AS (SELECT * FROM ({IV_SQL}) WHERE id % 7 = 0), b AS (SELECT accession, start AS p FROM iv UNION SELECT accession, "end" FROM iv),
+    "sweep_atlas": f"""WITH iv AS ({IV_SQL}), b AS (SELECT accession, start AS p FROM iv UNION SELECT accession, "end" FROM iv),
 s AS (SELECT accession, p AS seg_start, lead(p) OVER (PARTITION BY accession ORDER BY p) AS seg_end FROM b)
 SELECT s.accession, seg_start, seg_end, array_to_string(list_sort(list(DISTINCT kind)), ';') AS members FROM s JOIN iv ON iv.accession = s.accession AND iv.start <= seg_start AND iv."end" >= seg_end WHERE seg_end IS NOT NULL GROUP BY ALL""",
     "coverage_long": f'SELECT contig, "window", sample, biological_sample, round(value, 6) AS value FROM ({COV_SQL})',
@@ -224,7 +224,7 @@ SELECT contig, cut, cur AS current, alt AS alternative, methods, rd AS read_deci
     "split_map": f"""WITH s AS ({SEQ_SQL}), c AS (SELECT DISTINCT name, p FROM (SELECT name, unnest([0, 100, 700, 701, length(seq)]) AS p, length(seq) AS n FROM s) WHERE p IN (0, n) OR p < n),
 k AS (SELECT name, p AS start, lead(p) OVER w AS "end", row_number() OVER w AS part FROM c WINDOW w AS (PARTITION BY name ORDER BY p))
 SELECT name, part, start, "end", md5(substr(seq, start::INTEGER + 1, ("end" - start)::INTEGER)) AS digest FROM k JOIN s USING (name) WHERE "end" IS NOT NULL""",
-    "hit_summary": f"WITH {_LAB} SELECT * FROM {_SUM.format(parity=0)}",
+    "hit_summary": f"WITH {_LAB} SELECT * FROM {_SUM.format(lines='')}",
     "orf_profiles": f'WITH {_PROF} SELECT * EXCLUDE (start, "end") FROM prof',
     "contig_novelty": f"""WITH {_PROF}, n AS (SELECT contig, count_if(origin = 'viral') AS viral_orfs, count_if(origin = 'cellular') AS cellular_orfs, count_if(hallmark) AS hallmark_orfs, count_if(sequence_close) AS sequence_close_orfs,
   count_if(structural_only AND origin = 'viral') AS structural_rescue_orfs FROM prof GROUP BY contig)
@@ -241,7 +241,7 @@ SELECT orf_id, CASE WHEN seq THEN 'supported' ELSE 'unsupported' END AS sequence
   CASE WHEN seq THEN 'sequence_supported' WHEN c.fold THEN 'remote_fold_candidate' WHEN motif = 'supported' THEN 'motif_only_candidate' WHEN motif = 'unsupported' AND context = 'supported' THEN 'dark_context_candidate' ELSE 'unresolved' END AS novelty FROM c""",
     "domain_projection": """SELECT l_orderkey AS orf_id, l_linenumber AS hit, CASE WHEN o_custkey % 2 = 0 THEN o_orderkey * 3 + 3 * (l_partkey % 100) ELSE o_orderkey * 3 + 600 - 3 * (l_partkey % 100 + 20) END AS nt_start,
   CASE WHEN o_custkey % 2 = 0 THEN o_orderkey * 3 + 3 * (l_partkey % 100 + 20) ELSE o_orderkey * 3 + 600 - 3 * (l_partkey % 100) END AS nt_end FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
-    "read_qc": """WITH q AS (SELECT doc_id, substr(regexp_replace(text, '[^!-~]', '', 'g'), 1, 150) AS q FROM documents),
+    "read_qc": """WITH q AS (SELECT doc_id, regexp_replace(text, '[^!-~]', '', 'g') AS q FROM documents),
 m AS (SELECT doc_id, length(q) AS n, CASE WHEN length(q) > 0 THEN list_sum([ascii(c) - 33 FOR c IN string_split(q, '')]) / length(q)::DOUBLE ELSE 0 END AS p, CASE WHEN length(q) > 0 THEN length(regexp_replace(upper(q), '[^N]', '', 'g')) / length(q)::DOUBLE ELSE 0 END AS f FROM q)
 SELECT doc_id, round(p, 6) AS mean_phred, round(f, 6) AS n_fraction, CASE WHEN n < 50 THEN 'short' WHEN p < 60 THEN 'low_quality' WHEN f > 0.1 THEN 'ambiguous' ELSE 'pass' END AS reason FROM m""",
     "external_hits_max": f"SELECT query, target, max(bits) AS score FROM ({HIT_SQL}) GROUP BY ALL",
