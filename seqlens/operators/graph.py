@@ -104,28 +104,33 @@ def repeat_candidates(paths: DataFrame, segments: DataFrame, links: DataFrame, m
     return rows.withColumn("key", F.concat_ws("\t", "name", "cut")).join(body.select(F.col("name").alias("key"), F.length("seq").alias("repeat_length")), "key").select(F.col("name").alias("contig"), "cut", "current", "alternatives", "repeat_length")
 
 
-def lineage(nodes: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+def lineage(nodes: DataFrame, start: DataFrame, max_depth: int | None = None, loops: bool = True) -> DataFrame:
     """(id, depth, node, rank): the walk from each start (id, node) to the root over nodes (node, parent, rank).
 
-    Walks advance together, one join a step; a walk longer than max_depth is a cycle and raises.
+    Walks advance together, one join a step, to any depth. A node that names itself as parent ends its walk (with
+    loops=False it is a circle); a walk that meets a node twice, or goes beyond max_depth if given, raises.
     """
-    here = start.select("id", F.lit(0).alias("depth"), "node")
     steps = nodes.select("node", "parent", "rank")
-    out = here.join(steps, "node", "left")
-    found = out.select("id", "depth", "node", "rank")
-    for depth in range(1, max_depth + 1):
-        here = out.where("parent IS NOT NULL AND parent <> node").select("id", F.lit(depth).alias("depth"), F.col("parent").alias("node"))
-        here = shared_table(here, "walk")
-        if not here.limit(1).count():
+    on = F.col("parent").isNotNull() & (F.col("parent") != F.col("node")) if loops else F.col("parent").isNotNull()
+    out = start.select("id", F.lit(0).alias("depth"), "node", F.array("node").alias("seen")).join(steps, "node", "left")
+    found, depth = out.select("id", "depth", "node", "rank"), 0
+    while True:
+        depth += 1
+        on_way = out.where(on).select("id", F.lit(depth).alias("depth"), F.col("parent").alias("node"), "seen")
+        here = shared_table(on_way.withColumn("again", F.array_contains("seen", F.col("node"))), "walk")
+        state = here.agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).first()
+        if not state.n:
             return found
-        out = here.join(steps, "node", "left")
+        if state.again or (max_depth is not None and depth > max_depth):
+            raise ValueError("a parent chain does not end")
+        out = here.select("id", "depth", "node", F.concat("seen", F.array("node")).alias("seen")).join(steps, "node", "left")
         found = found.unionByName(out.select("id", "depth", "node", "rank"))
-    raise ValueError("a parent chain does not end")
 
 
-def ranks_of(walk: DataFrame, ranks: list[str]) -> DataFrame:
-    """(id, one column a rank): the nearest ancestor of each rank, null where there is none."""
-    return walk.groupBy("id").agg(*[F.min_by(F.when(F.col("rank") == r, F.col("node")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in ranks])
+def ranks_of(walk: DataFrame, ranks: list[str], nearest: bool = True) -> DataFrame:
+    """(id, one column a rank): the nearest (else the farthest) ancestor of each rank, null where there is none."""
+    pick = F.min_by if nearest else F.max_by
+    return walk.groupBy("id").agg(*[pick(F.when(F.col("rank") == r, F.col("node")), F.when(F.col("rank") == r, F.col("depth"))).alias(r) for r in ranks])
 
 
 def local_templates(candidates: DataFrame, segments: DataFrame, links: DataFrame, context: int = 600, max_paths: int = 128) -> DataFrame:

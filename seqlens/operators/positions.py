@@ -40,3 +40,17 @@ def with_prefix_sums(df: DataFrame, order: list[Column], value: str, out: str, n
     inner = laid.withColumn("__in", F.coalesce(F.sum(value).over(w), F.lit(0)))
     joined = inner.join(F.broadcast(_offsets(per, "__n")), F.col(_PID) == F.col("__opid"))
     return joined.withColumn(out, (F.col("__base") + F.col("__in")).cast("long")).drop(_PID, _ROW, "__opid", "__base", "__in")
+
+
+def carried(df: DataFrame, place: str, column: str) -> DataFrame:
+    """df with each null of column replaced by the last value before it; place is a monotonically_increasing_id.
+
+    Values are filled within a partition; what a partition inherits comes from one row each, so no task sorts all.
+    """
+    pid = F.shiftright(place, 33)
+    rows = df.withColumn(_PID, pid)
+    last = rows.groupBy(_PID).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(place))).alias("__last"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    heirs = last.select(_PID, F.last("__last", ignorenulls=True).over(before).alias("__heir"))
+    here = F.last(column, ignorenulls=True).over(Window.partitionBy(_PID).orderBy(place))
+    return rows.join(F.broadcast(heirs), _PID).withColumn(column, F.coalesce(here, F.col("__heir"))).drop(_PID, "__heir")

@@ -9,16 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlens.functions.sequence import count_of, mean_phred, n_fraction
+from seqlens.sources.readers import refuse, unique
 
 #: The standard genetic code in the order T, C, A, G of each position; * is a stop.
 _CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {a + b + c: _CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
+#: What an independent host search says of a fragment.
+HOST = ("host_supported", "ambiguous", "nonhost", "unclassified")
 _PAIR = str.maketrans("ACGTRYMKBDHVN", "TGCAYRKMVHDBN")
 
 
+def defects(seq, qual, min_length: int = 50, min_phred: float = 20, max_n: float = 0.1):
+    """All reasons why a mate fails quality control, as an array."""
+    if min_length < 1 or not 0 <= min_phred <= 93 or not 0 <= max_n <= 1:
+        raise ValueError("invalid quality limits")
+    told = [F.when(F.length(seq) < min_length, "short"), F.when(mean_phred(qual) < min_phred, "low_quality"), F.when(n_fraction(seq) > max_n, "excess_N")]
+    return F.array_compact(F.array(*told))
+
+
 def poor(seq, qual, min_length: int = 50, min_phred: float = 20, max_n: float = 0.1):
-    """Why a mate fails quality control; null if it doesn't."""
-    return F.when(F.length(seq) < min_length, "short").when(mean_phred(qual) < min_phred, "low_quality").when(n_fraction(seq) > max_n, "ambiguous_bases")
+    """The first reason why a mate fails quality control; null if it doesn't."""
+    return F.get(defects(seq, qual, min_length, min_phred, max_n), F.lit(0))
 
 
 def invalid_reads(reads: DataFrame) -> DataFrame:
@@ -28,24 +39,34 @@ def invalid_reads(reads: DataFrame) -> DataFrame:
     return reads.where(bad).select("id").unionByName(twice).distinct()
 
 
-def prepare_pairs(r1: DataFrame, r2: DataFrame, host: DataFrame | None = None, **limits) -> DataFrame:
-    """(fragment, destination, reason, host_status) of pairs joined on their position; ids must agree.
+def prepare_pairs(r1: DataFrame, r2: DataFrame, host: DataFrame | None = None, remove_host: bool = False, **limits) -> DataFrame:
+    """(fragment, destination, reason, host_status) of pairs joined on their position.
 
-    r1, r2: ord, id, seq, qual. host: fragment, status (host, nonhost, ambiguous). A host fragment is removed,
-    a fragment with a poor mate is filtered, all else retained; unknown host status stays unknown.
+    r1, r2: ord, id, seq, qual. host: fragment, status (one of HOST). A fragment with a poor mate is filtered, with all
+    reasons of both mates; else one with host support is removed, if asked for; all others are retained. Ambiguity
+    alone removes nothing, and a fragment without a call is not_assessed. Mates out of order or with the
+    other side's suffix, repeated fragments, and repeated, invalid or foreign calls are errors.
     """
-    a = r1.select("ord", F.col("id").alias("fragment"), F.col("seq").alias("s1"), F.col("qual").alias("q1"))
-    b = r2.select("ord", F.col("id").alias("id2"), F.col("seq").alias("s2"), F.col("qual").alias("q2"))
-    rows = a.join(b, "ord", "full")
-    same = F.coalesce(F.col("fragment") == F.col("id2"), F.lit(False))
-    rows = rows.withColumn("fragment", F.when(same, F.col("fragment")).otherwise(F.raise_error(F.lit("mates differ in order"))))
-    if host is None:
-        rows = rows.withColumn("host_status", F.lit("not_assessed"))
-    else:
-        rows = rows.join(host.select("fragment", F.col("status").alias("host_status")), "fragment", "left").fillna("unknown", ["host_status"])
-    reason = F.coalesce(poor(F.col("s1"), F.col("q1"), **limits), poor(F.col("s2"), F.col("q2"), **limits))
-    where = F.when(F.col("host_status") == "host", "host_removed").when(reason.isNotNull(), "quality_filtered").otherwise("retained")
-    return rows.select("fragment", where.alias("destination"), F.when(F.col("host_status") == "host", "host").otherwise(F.coalesce(reason, F.lit("pass"))).alias("reason"), "host_status")
+    if remove_host and host is None:
+        raise ValueError("host removal needs calls")
+    side = lambda r, i: r.select("ord", F.col("id").alias(f"id{i}"), F.col("seq").alias(f"s{i}"), F.col("qual").alias(f"q{i}"))
+    bare = lambda c: F.regexp_replace(c, "/[12]$", "")
+    rows = side(r1, 1).join(side(r2, 2), "ord", "full")
+    refuse(rows.where(~F.coalesce(bare("id1") == bare("id2"), F.lit(False))).select("ord", "id1", "id2"), "mates are missing or out of order")
+    refuse(rows.where(F.col("id1").endswith("/2") | F.col("id2").endswith("/1")).select("id1", "id2"), "mate suffix of the other side")
+    rows = rows.withColumn("fragment", bare("id1"))
+    unique(rows, ["fragment"], "fragment")
+    calls = rows.select("fragment").limit(0).withColumn("status", F.lit("")) if host is None else host.select("fragment", "status")
+    if host is not None:
+        refuse(calls.where(~F.coalesce(F.col("status").isin(*HOST), F.lit(False))), "invalid host call")
+        unique(calls, ["fragment"], "host call")
+        refuse(calls.join(rows, "fragment", "left_anti"), "host call of an unknown fragment")
+    rows = rows.join(calls.withColumnRenamed("status", "host_status"), "fragment", "left").fillna("not_assessed", ["host_status"])
+    rows = rows.withColumn("why", F.array_sort(F.array_union(defects(F.col("s1"), F.col("q1"), **limits), defects(F.col("s2"), F.col("q2"), **limits))))
+    gone = F.lit(remove_host) & (F.col("host_status") == "host_supported")
+    where = F.when(F.size("why") > 0, "quality_filtered").when(gone, "host_removed").otherwise("retained")
+    rows = rows.withColumn("destination", where)
+    return rows.select("fragment", "destination", F.when(F.col("destination") == "host_removed", "explicit_host_support").otherwise(F.array_join("why", ";")).alias("reason"), "host_status")
 
 
 def pools(reads: DataFrame, membership: DataFrame, samples: DataFrame, max_groups: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:

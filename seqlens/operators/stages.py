@@ -10,22 +10,47 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import evidence as E
 from seqlens.operators import intervals as I
-from seqlens.sources.readers import known
+from seqlens.sources.readers import refuse, unique
 
 
-def correction(candidates: DataFrame, support: DataFrame, proposals: DataFrame, seqs: DataFrame, policy: str = "annotate", required: tuple[str, ...] = (), minimum: int = 3, fraction: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(evidence, parts): each candidate's decision, and contigs split at accepted cuts.
+def correction(candidates: DataFrame, support: DataFrame, proposals: DataFrame, seqs: DataFrame, policy: str = "annotate", required: tuple[str, ...] = (), minimum: int = 3, fraction: float = 0.9, templates: DataFrame | None = None, max_fragment: int = 600) -> tuple[DataFrame, DataFrame]:
+    """(evidence, parts): each candidate's decision with its reason, and contigs split at accepted cuts.
 
-    candidates: candidate, contig, cut. support: candidate, template, support; template path_0 is the contig's own
-    path, and only the best of path_1.. is its alternative: entrances compete but don't count.
+    candidates: candidate, contig, cut, alternatives (array of the candidate's own). support: candidate, template,
+    support; path_0 is the contig's own path and path_1 to path_n its n alternatives, of which one alone must reach
+    the minimum; higher numbers are entrances, which compete for reads but never count. With templates
+    (graph.local_templates) a candidate without any has too many paths, and one whose anchors lie further apart
+    than a fragment reaches is refused; both stay unresolved, without support. A null array has no alternative.
     """
-    own = F.max(F.when(F.col("template") == "path_0", F.col("support")))
-    other = F.max(F.when(F.col("template").rlike("^path_[1-9]"), F.col("support")))
-    counts = support.groupBy("candidate").agg(F.coalesce(own, F.lit(0)).alias("current"), F.coalesce(other, F.lit(0)).alias("alternative"))
-    rows = E.gated_decisions(candidates.join(counts, "candidate", "left").fillna(0, ["current", "alternative"]), proposals, policy, required, minimum=minimum, fraction=fraction)
+    index = F.regexp_extract("template", r"^path_(\d+)$", 1).try_cast("int")
+    rows = candidates.withColumn("n_alternatives", F.greatest(F.size("alternatives"), F.lit(0)))
+    counts = support.select("candidate", index.alias("index"), "support").join(rows.select("candidate", "n_alternatives"), "candidate").groupBy("candidate").agg(
+        F.max(F.when(F.col("index") == 0, F.col("support"))).alias("current"), F.max(F.when(F.col("index").between(1, F.col("n_alternatives")), F.col("support"))).alias("alternative")
+    )
+    rows = rows.join(counts, "candidate", "left").fillna(0, ["current", "alternative"])
+    refused = F.lit(None).cast("string")
+    if templates is not None:
+        spans = templates.groupBy("candidate").agg(F.max(F.when(F.col("template") == "path_0", F.col("right") - F.col("left") + 40)).alias("span"))
+        rows = rows.join(spans.withColumn("listed", F.lit(True)), "candidate", "left")
+        refused = F.when(F.col("listed").isNull(), "too_many_competing_paths").when(F.col("span") > max_fragment, "repeat_exceeds_fragment_span")
+    rows = rows.withColumn("refused", refused)
+    for c in ("current", "alternative"):
+        rows = rows.withColumn(c, F.when(F.col("refused").isNull(), F.col(c)).otherwise(0))
+    rows = E.gated_decisions(rows, proposals, policy, required, minimum=minimum, fraction=fraction)
+    told = F.when(F.col("decision") == "split", "alternative_fragment_support").when(F.col("decision") == "retain", "current_support").when(F.col("read_decision") == "split", "proposal_gate_not_met").otherwise("insufficient_discriminating_evidence")
+    rows = rows.withColumn("reason", F.coalesce("refused", told)).drop("n_alternatives", "refused", "span", "listed")
     return rows, I.split_at_cuts(seqs, rows.where("decision = 'split'").select(F.col("contig").alias("name"), "cut"))
 
 
+def proposal_audit(evidence: DataFrame, proposals: DataFrame) -> DataFrame:
+    """One row (proposals, matched, unmatched): proposals that hold the cut of a candidate of their contig, and others."""
+    p = proposals.select(F.col("contig").alias("pc"), "start", "end")
+    cuts = evidence.select("contig", "cut").distinct()
+    hit = p.join(cuts, (F.col("pc") == F.col("contig")) & F.col("cut").between(F.col("start"), F.col("end")), "left_semi")
+    total, found = p.agg(F.count(F.lit(1)).alias("proposals")), hit.agg(F.count(F.lit(1)).alias("matched"))
+    return total.crossJoin(found).withColumn("unmatched", F.col("proposals") - F.col("matched"))
+
+
 def replacements(support: DataFrame, minimum: int = 3, fraction: float = 0.9) -> DataFrame:
     """(candidate, template, support, decision) of candidates (candidate, contig, template, index, support).
 
@@ -108,17 +133,28 @@ def realized_coverage(origins: DataFrame, lengths: DataFrame, read_length: int)
 
 
 def quality(contigs: DataFrame, summary: DataFrame) -> DataFrame:
-    """Every contig with its reported results, and not_reported where there is none.
+    """Every contig with its reported candidates, and not_reported where there is none; scores are no completeness.
 
-    Result names of integrated elements end in |provirus_START_END (1-based, inclusive).
+    contigs: contig, seq. summary: seq_name, length, coordinates, virus_score, topology, taxonomy. Names of integrated
+    elements end in |provirus_START_END (1-based, inclusive) and agree with coordinates START-END; other rows leave
+    coordinates empty, NA or null. Rows that fit no contig, with another length, a score outside 0..1 or a repeated
+    name are refused.
     """
-    element = r"^(.*)\|provirus_(\d+)_(\d+)$"
-    rows = summary.withColumn("whole", F.regexp_extract("result_id", element, 1))
-    rows = rows.withColumn("contig", F.when(F.col("whole") != "", F.col("whole")).otherwise(F.col("result_id")))
-    at = lambda i: F.when(F.col("whole") != "", F.regexp_extract("result_id", element, i).try_cast("long"))
-    rows = rows.withColumn("start", at(2) - 1).withColumn("end", at(3)).drop("whole")
-    joined = contigs.select("contig", F.length("seq").alias("n")).join(rows, "contig", "left")
-    return joined.select("contig", "result_id", F.coalesce("start", F.when(F.col("result_id").isNotNull(), F.lit(0))).alias("start"), F.coalesce("end", F.when(F.col("result_id").isNotNull(), F.col("n"))).alias("end"), F.when(F.col("result_id").isNull(), "not_reported").otherwise("reported").alias("status"), *[c for c in summary.columns if c != "result_id"])
+    element = r"^(.+)\|provirus_(\d+)_(\d+)$"
+    unique(summary, ["seq_name"], "sequence name")
+    part = lambda i: F.regexp_extract("seq_name", element, i)
+    whole = F.coalesce(F.col("coordinates"), F.lit("")).isin("", "NA")
+    rows = summary.withColumn("__whole", whole).withColumn("contig", F.when(F.col("__whole"), F.col("seq_name")).otherwise(part(1)))
+    refuse(rows.where(~F.col("__whole") & ((part(1) == "") | (F.col("coordinates") != F.concat_ws("-", part(2), part(3))))).select("seq_name", "coordinates"), "element whose name and coordinates differ")
+    sizes = contigs.select("contig", F.length("seq").cast("long").alias("__n"))
+    rows = rows.join(sizes, "contig", "left")
+    rows = rows.withColumn("start", F.when(F.col("__whole"), F.lit(0)).otherwise(part(2).try_cast("long") - 1)).withColumn("end", F.when(F.col("__whole"), F.col("__n")).otherwise(part(3).try_cast("long")))
+    score = F.col("virus_score").cast("double")
+    fits = (F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.col("__n")) & (F.col("end") - F.col("start") == F.col("length").cast("long")) & score.between(0, 1) & ~F.isnan(score)
+    refuse(rows.where(~F.coalesce(fits, F.lit(False))).select("seq_name", "length", "virus_score"), "result that does not fit its contig")
+    told = rows.select("contig", F.col("seq_name").alias("result_id"), "start", "end", F.lit("reported_viral_candidate").alias("status"), score.alias("virus_score"), "topology", "taxonomy")
+    silent = sizes.join(told, "contig", "left_anti").select("contig", F.lit("").alias("result_id"), F.lit(0).cast("long").alias("start"), F.col("__n").alias("end"), F.lit("not_reported").alias("status"), F.lit(None).cast("double").alias("virus_score"), F.lit("").alias("topology"), F.lit("").alias("taxonomy"))
+    return told.unionByName(silent).withColumn("completeness", F.lit(None).cast("double")).withColumn("provirus_is_chimera", F.lit(False))
 
 
 def reconcile(wanted: DataFrame, got: DataFrame) -> DataFrame:
@@ -128,19 +164,29 @@ def reconcile(wanted: DataFrame, got: DataFrame) -> DataFrame:
 
 
 def resolve_taxonomy(mapping: DataFrame, nodes: DataFrame, merged: DataFrame, deleted: DataFrame, ranks: list[str]) -> DataFrame:
-    """(accession, taxid, resolved_taxid, status, one column a rank) of a mapping (accession, taxid)."""
+    """(accession, taxid, resolved_taxid, status, one column a rank) of a mapping (accession, taxid).
+
+    Merged ids are followed to their end, whatever lies there: deleted, known or unknown. The walk to the root stops
+    before a deleted ancestor, and of several ancestors of one rank the farthest counts. Repeated accessions or
+    nodes, circles and invalid ranks are errors.
+    """
     from seqlens.operators.graph import lineage, ranks_of
 
-    redirect = lineage(merged.select(F.col("old").alias("node"), F.col("new").alias("parent"), F.lit("").alias("rank")), mapping.select(F.col("taxid").alias("id"), F.col("taxid").alias("node")).distinct())
+    if not ranks or len(set(ranks)) < len(ranks) or set(ranks) & {"accession", "taxid", "resolved_taxid", "status"}:
+        raise ValueError("invalid taxonomy ranks")
+    unique(mapping, ["accession"], "accession")
+    unique(nodes, ["node"], "node")
+    redirect = lineage(merged.select(F.col("old").alias("node"), F.col("new").alias("parent"), F.lit("").alias("rank")), mapping.select(F.col("taxid").alias("id"), F.col("taxid").alias("node")).distinct(), loops=False)
     last = redirect.groupBy("id").agg(F.max_by("node", "depth").alias("resolved"))
-    rows = mapping.join(last, F.col("taxid") == F.col("id"), "left").drop("id").withColumn("resolved", F.coalesce("resolved", "taxid"))
+    rows = mapping.select("accession", "taxid").join(last, F.col("taxid") == F.col("id"), "left").drop("id").withColumn("resolved", F.coalesce("resolved", "taxid"))
     gone = deleted.select(F.col("taxid").alias("resolved")).distinct().withColumn("deleted", F.lit(True))
     rows = rows.join(gone, "resolved", "left").join(nodes.select(F.col("node").alias("resolved"), F.lit(True).alias("there")), "resolved", "left")
-    status = F.when(F.col("deleted"), "deleted").when(F.col("there").isNull(), "unknown").when(F.col("resolved") != F.col("taxid"), "merged").otherwise("current")
-    live = rows.where("deleted IS NULL AND there").select(F.col("resolved").alias("id"), F.col("resolved").alias("node")).distinct()
-    wide = ranks_of(lineage(nodes, live), ranks)
-    out = rows.withColumn("status", status).join(wide, F.col("resolved") == F.col("id"), "left")
-    return out.select("accession", "taxid", F.when(F.col("status").isin("current", "merged"), F.col("resolved")).alias("resolved_taxid"), "status", *[known(F.col(r).cast("string")).alias(r) for r in ranks])
+    status = F.when(F.col("deleted"), "deleted").when(F.col("there"), "known").otherwise("unknown")
+    rows = rows.withColumn("status", status)
+    left = nodes.join(gone, F.col("node") == F.col("resolved"), "left_anti")
+    live = rows.where("status = 'known'").select(F.col("resolved").alias("id"), F.col("resolved").alias("node")).distinct()
+    out = rows.join(ranks_of(lineage(left, live), ranks, nearest=False), F.col("resolved") == F.col("id"), "left")
+    return out.select("accession", "taxid", F.col("resolved").alias("resolved_taxid"), "status", *[F.col(r).cast("string").alias(r) for r in ranks])
 
 
 def method_report(metrics: DataFrame, baseline: str) -> DataFrame:
@@ -200,40 +246,61 @@ def alignment_atlas(columns: DataFrame, seqs: DataFrame, taxonomy: DataFrame, ra
     return rows.select("accession", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.lit(rank).alias("rank"), F.size("taxa").alias("taxa_count"), F.array_join("taxa", ";").alias("taxa"), F.array_join("members", ";").alias("accessions"), "unknown_taxonomy", low_complexity(piece).alias("low_complexity"), F.concat_ws(":", F.lit("alignment"), "accession", "seg_start", "seg_end").alias("evidence_id"))
 
 
-def latent_switches(profiles: DataFrame, rank: int = 2, seeds: tuple[int, ...] = (17, 29, 43), min_loading: float = 0.7, min_change: float = 0.5, min_stability: float = 0.8) -> DataFrame:
-    """(contig, start, end, method, score) where the leading component of window profiles changes.
+def latent_switches(profiles: DataFrame, rank: int | str = 2, seeds: tuple[int, ...] = (17, 29, 43), min_loading: float = 0.7, min_change: float = 0.5, min_stability: float = 0.85, max_rank: int = 6, rank_penalty: float = 0.02, max_iter: int = 2000) -> DataFrame:
+    """(contig, start, end, method, score, detail) where the leading component of window profiles changes.
 
-    profiles: (window_id, contig, start, end, sample, value). Rows are scaled to sum 1; windows without coverage break
-    the chain. The best of the seeded fits counts; fits that disagree give no proposals. One fit
-    sees all windows of the run, so it is for the windows of one assembly.
+    profiles: (window_id, contig, start, end, sample, value); sample is a biological one, and three of them need
+    coverage. Rows are scaled to sum 1; windows without coverage break the chain. Rank auto takes, from 2 to
+    max_rank, the least relative error plus rank_penalty a component. The best of the seeded fits counts, and unless
+    it converged and the others agree with it there are no proposals. score is the change alone. One fit sees all
+    windows of the run, so it is for the windows of one assembly.
     """
     import numpy as np
     import pandas as pd
 
     from seqlens.operators.design import factorize, loadings, stability
 
+    if len(set(seeds)) < 2:
+        raise ValueError("use at least two distinct seeds")
     places = profiles.select("window_id", "contig", "start", "end").distinct()
 
+    def trial(rows: np.ndarray, k: int) -> dict:
+        runs = []
+        for s in seeds:
+            w, h, _, steps = factorize(rows, np.ones_like(rows), k, s, max_iter)
+            runs.append((float(np.linalg.norm(rows - w @ h) / np.linalg.norm(rows)), steps < max_iter, w, h))
+        runs.sort(key=lambda r: r[0])
+        return {"rank": k, "cost": runs[0][0] + rank_penalty * k, "same": stability([r[3].T for r in runs]), "settled": runs[0][1], "w": runs[0][2]}
+
     def fit(g: pd.DataFrame) -> pd.DataFrame:
         wide = g.pivot(index="window_id", columns="sample", values="value").fillna(0.0).sort_index()
         x = wide.to_numpy()
+        if not np.isfinite(x).all() or (x < 0).any():
+            raise ValueError("coverage must be finite and not negative")
+        if (x.sum(axis=0) > 0).sum() < 3:
+            raise ValueError("three biological samples need coverage")
         live = x.sum(axis=1) > 0
         rows = x[live] / x[live].sum(axis=1, keepdims=True)
         if len(rows) < 2 or np.max(np.std(rows, axis=0)) < 1e-8:
             raise ValueError("no variable profiles")
-        fits = sorted((factorize(rows, np.ones_like(rows), rank, s)[:3] for s in seeds), key=lambda f: f[2])
-        same = stability([f[1].T for f in fits])
-        shares = np.zeros((len(x), rank))
-        shares[live] = loadings(fits[0][0])
-        return pd.DataFrame({"window_id": wide.index, "v": [list(r) if ok else None for r, ok in zip(shares, live, strict=True)], "stability": same})
+        tried = range(2, min(max_rank, *rows.shape) + 1) if rank == "auto" else [int(rank)]
+        best = min((trial(rows, k) for k in tried), key=lambda t: (t["cost"], t["rank"]))
+        shares = np.zeros((len(x), best["rank"]))
+        shares[live] = loadings(best["w"])
+        return pd.DataFrame({"window_id": wide.index, "v": [list(r) if ok else None for r, ok in zip(shares, live, strict=True)], "p": list(map(list, x)), "stability": best["same"], "settled": best["settled"]})
 
-    model = profiles.select("window_id", "sample", "value").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "window_id string, v array<double>, stability double")
+    model = profiles.select("window_id", "sample", "value").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "window_id string, v array<double>, p array<double>, stability double, settled boolean")
     w = Window.partitionBy("contig").orderBy("start")
-    rows = places.join(model, "window_id").withColumn("nv", F.lead("v").over(w)).withColumn("ns", F.lead("start").over(w)).withColumn("ne", F.lead("end").over(w))
-    dot = F.aggregate(F.zip_with("v", "nv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    change = 1 - dot / (norm("v") * norm("nv"))
+    rows = places.join(model, "window_id")
+    rows = rows.select("*", *[F.lead(c).over(w).alias("n_" + c) for c in ("window_id", "start", "end", "v", "p")])
+
+    def change(a: str, b: str):
+        dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda t, x: t + x * x))
+        return 1 - F.coalesce(F.try_divide(dot, norm(a) * norm(b)), F.lit(0.0))
+
     lead = lambda c: F.array_position(F.col(c), F.array_max(c))
-    least = F.least(F.array_max("v"), F.array_max("nv"))
-    ok = (F.col("ns") <= F.col("end")) & F.col("v").isNotNull() & F.col("nv").isNotNull() & (lead("v") != lead("nv")) & (least >= min_loading) & (change >= min_change) & (F.col("stability") >= min_stability)
-    return rows.where(ok).select("contig", F.least("start", "ns").alias("start"), F.greatest("end", "ne").alias("end"), F.lit("latent").alias("method"), F.least(F.lit(1.0), change * least).alias("score"))
+    least = F.least(F.array_max("v"), F.array_max("n_v"))
+    ok = (F.col("n_start") <= F.col("end")) & F.col("v").isNotNull() & F.col("n_v").isNotNull() & F.col("settled") & (lead("v") != lead("n_v")) & (least >= min_loading) & (F.col("score") >= min_change) & (F.col("stability") >= min_stability)
+    detail = F.to_json(F.struct(F.col("window_id").alias("left"), F.col("n_window_id").alias("right"), change("p", "n_p").alias("coverage_distance"), "stability"))
+    return rows.withColumn("score", change("v", "n_v")).where(ok).select("contig", F.least("start", "n_start").alias("start"), F.greatest("end", "n_end").alias("end"), F.lit("nmf").alias("method"), "score", detail.alias("detail"))

@@ -110,20 +110,29 @@ def gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def contig_paths(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path) of a contig paths file: a name line, then oriented nodes; a line ending in ; leaves a null gap."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("i", "line")).where(F.trim("line") != "")
-    node_line = F.col("line").rlike(r"^(\S+[+-][,;]?)+$") & F.col("line").rlike(r"^\d|^[^,;]+[+-]([,;]|$)")
-    w = Window.orderBy("i")
-    rows = lines.withColumn("name", F.last(F.when(~node_line, F.trim("line")), ignorenulls=True).over(w)).where(node_line)
-    nodes = F.split(F.regexp_replace("line", ";", ",;,"), ",")
-    nodes = F.transform(F.filter(nodes, lambda x: x != ""), lambda x: F.when(x != ";", x))
-    per = rows.groupBy("name").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", nodes.alias("n")))), lambda x: x["n"])).alias("path"))
-    last = F.element_at("path", -1)
-    return per.where(~F.col("name").endswith("'")).select("name", F.when(last.isNull(), F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path")).alias("path"))
-
-
-def fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(ord, id, seq, plus, qual) of four-line records, placed without a single-task sort; strict refuses malformed ones."""
+    """(name, path) of one contig paths file: a name line, then lines of oriented nodes.
+
+    A gap, null, stands for a semicolon inside a line and between lines: neighbours across it are no link. A name
+    without nodes has an empty path, and of a repeated name the last counts. Nodes before any name are an error.
+    """
+    from seqlens.operators.positions import carried
+
+    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "\r", "")).alias("line"), F.monotonically_increasing_id().alias("i")).where("line <> ''")
+    is_nodes = F.col("line").rlike(r"^[0-9]+[+-]([,;][0-9]+[+-])*;?$")
+    rows = carried(lines.withColumn("head", F.when(~is_nodes, F.struct("i", F.col("line").alias("name")))), "i", "head")
+    refuse(rows.where("head IS NULL").select("line"), "path before a contig name")
+    nodes = F.transform(F.split(F.regexp_replace(F.regexp_replace("line", ";+$", ""), ";", ",;,"), ","), lambda x: F.when(x != ";", x))
+    step = F.when(F.col("i") != F.col("head.i"), F.struct("i", F.concat(F.array(F.lit(None).cast("string")), nodes).alias("n")))
+    per = rows.groupBy("head").agg(F.flatten(F.transform(F.sort_array(F.collect_list(step)), lambda x: x["n"])).alias("path"))
+    whole = F.when(F.size("path") > 1, F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.col("path"))
+    return per.groupBy("head.name").agg(F.max_by(whole, F.col("head.i")).alias("path"))
+
+
+def fastq(spark: SparkSession, path: str, strict: bool = True, suffix: bool = False) -> DataFrame:
+    """(ord, id, seq, plus, qual) of four-line records, placed without a single-task sort; strict refuses malformed ones.
+
+    id is without /1 or /2, which suffix=True keeps.
+    """
     from seqlens.operators.positions import with_positions
 
     lines = spark.read.text(path).withColumn("m", F.monotonically_increasing_id())
@@ -133,8 +142,11 @@ def fastq(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     rows = per.agg(at(0).alias("head"), at(1).alias("seq"), at(2).alias("plus"), at(3).alias("qual"))
     if strict:
         bad = ~F.col("head").startswith("@") | ~F.col("plus").startswith("+") | F.col("qual").isNull() | (F.length("seq") != F.length("qual")) | ~F.col("qual").rlike("^[!-~]*$") | ~F.upper("seq").rlike("^[ACGTRYSWKMBDHVN]*$")
+        again = F.regexp_extract("plus", r"^\+\s*(\S*)", 1)
+        name = F.regexp_extract("head", r"^@\s*(\S*)", 1)
+        bad = bad | (F.length("seq") == 0) | (name == "") | (again != "") & (again != name)
         refuse(rows.where(F.coalesce(bad, F.lit(True))), "malformed read")
-    return rows.select("ord", F.regexp_replace(F.regexp_extract("head", r"^@(\S*)", 1), "/[12]$", "").alias("id"), "seq", "plus", "qual")
+    return rows.select("ord", F.regexp_replace(F.regexp_extract("head", r"^@\s*(\S*)", 1), "$^" if suffix else "/[12]$", "").alias("id"), "seq", "plus", "qual")
 
 
 def dump_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -144,12 +156,58 @@ def dump_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def genbank(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, definition, length, topology, organism, completeness, seq) of sequence records in XML."""
-    rows = spark.read.format("xml").option("rowTag", "GBSeq").load(path)
-    has = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
-    definition = has("GBSeq_definition")
-    whole = F.when(definition.rlike("(?i)complete (genome|sequence|segment)"), "complete").when(definition.rlike("(?i)partial"), "partial").otherwise("unknown")
-    return rows.select(has("GBSeq_accession-version").alias("accession"), definition.alias("definition"), has("GBSeq_length").cast("long").alias("length"), has("GBSeq_topology").alias("topology"), has("GBSeq_organism").alias("organism"), whole.alias("completeness"), F.upper(has("GBSeq_sequence")).alias("seq"))
+    """(accession, length, organism, taxonomy, taxid, molecule, topology, segment, completeness, definition, seq) of records in XML.
+
+    length is that of the sequence; taxid and segment come from source features, several joined by semicolons. Only
+    the definition can say complete, else it is unknown. A record without accession or sequence, or a repeated
+    accession, is an error.
+    """
+    pair = "struct<GBQualifier_name:string,GBQualifier_value:string>"
+    features = f"struct<GBFeature:array<struct<GBFeature_key:string,GBFeature_quals:struct<GBQualifier:array<{pair}>>>>>"
+    plain = {"accession": "accession-version", "organism": "organism", "taxonomy": "taxonomy", "molecule": "moltype", "topology": "topology", "definition": "definition", "raw": "sequence"}
+    schema = ", ".join(f"`GBSeq_{c}` string" for c in plain.values()) + f", `GBSeq_feature-table` {features}"
+    raw = spark.read.format("xml").schema(schema).options(rowTag="GBSeq", mode="FAILFAST").load(path)
+    source = F.filter(F.col("`GBSeq_feature-table`.GBFeature"), lambda f: f["GBFeature_key"] == "source")
+    quals = F.flatten(F.transform(source, lambda f: F.coalesce(f["GBFeature_quals"]["GBQualifier"], F.array().cast(f"array<{pair}>"))))
+    rows = raw.select(*[F.col(f"`GBSeq_{c}`").alias(n) for n, c in plain.items()], F.coalesce(quals, F.array().cast(f"array<{pair}>")).alias("quals"))
+    rows = rows.withColumn("seq", F.upper(F.regexp_replace(F.coalesce("raw", F.lit("")), r"\s", "")))
+    refuse(rows.where(F.coalesce(F.trim("accession"), F.lit("")).isin("") | (F.col("seq") == "")).select("accession"), "record without accession or sequence")
+    unique(rows, ["accession"], "accession")
+    named = lambda key: F.transform(F.filter("quals", lambda q: q["GBQualifier_name"] == key), lambda q: F.coalesce(q["GBQualifier_value"], F.lit("")))
+    taxa = F.transform(F.filter(named("db_xref"), lambda v: v.startswith("taxon:")), lambda v: F.substring(v, 7, 1_000_000))
+    whole = F.when(F.col("definition").rlike("(?i)complete (genome|sequence)"), "complete").otherwise("unknown")
+    return rows.select(
+        "accession", F.length("seq").cast("long").alias("length"), "organism", "taxonomy", F.array_join(taxa, ";").alias("taxid"), "molecule", "topology",
+        F.array_join(named("segment"), ";").alias("segment"), whole.alias("completeness"), F.coalesce("definition", F.lit("")).alias("definition"), "seq",
+    )
+
+
+def accessions(spark: SparkSession, path: str) -> DataFrame:
+    """(accession): the distinct versioned nucleotide accessions of a list, a line each; others, and an empty list, are errors."""
+    rows = spark.read.text(path).select(F.regexp_replace("value", r"^\uFEFF|^\s+|\s+$", "").alias("accession")).where("accession <> ''").distinct()
+    refuse(rows.where(~F.col("accession").rlike(r"^(NC|AC|NZ|NM|NR|XM|XR)_[0-9]+\.[0-9]+$")), "accession without a version")
+    if not rows.limit(1).count():
+        raise ValueError("empty accession list")
+    return rows
+
+
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> None:
+    """Raise ValueError unless both tables hold the same keys, each once."""
+    for df in (left, right):
+        unique(df, keys, what)
+    for a, b, lost in ((left, right, "missing"), (right, left, "unexpected")):
+        refuse(a.select(*keys).join(b.select(*keys), keys, "left_anti"), f"{lost} {what}")
+
+
+def matrix(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """(keys..., sample, value): a wide table, a column a sample, in long form; values must be finite and not negative."""
+    wide = tsv(spark, path)
+    samples = [c for c in wide.columns if c not in keys]
+    if not samples or set(keys) - set(wide.columns):
+        raise ValueError("a matrix needs its keys and a sample")
+    out = wide.unpivot([F.col(f"`{k}`") for k in keys], [F.col(f"`{c}`") for c in samples], "sample", "cell").withColumn("value", F.col("cell").try_cast("double"))
+    refuse(out.where(~F.coalesce((F.col("value") >= 0) & (F.col("value") < float("inf")), F.lit(False))), "matrix cell that is no coverage")
+    return out.drop("cell")
 
 
 def known(value: Column) -> Column:

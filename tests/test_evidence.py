@@ -219,11 +219,20 @@ def test_switch_proposals(frame):
 
 def test_read_pairs(frame):
     good, bad = "I" * 60, "#" * 60
-    r1 = frame([(0, "a", "A" * 60, good), (1, "b", "A" * 60, good), (2, "c", "A" * 60, bad)], "ord int, id string, seq string, qual string")
-    r2 = r1.withColumn("qual", F.lit(good))
-    host = frame([("a", "host"), ("b", "ambiguous")], "fragment string, status string")
-    got = {r.fragment: r.destination for r in R.prepare_pairs(r1, r2, host).collect()}
-    assert got == {"a": "host_removed", "b": "retained", "c": "quality_filtered"}
+    kind = "ord int, id string, seq string, qual string"
+    r1 = frame([(0, "host/1", "A" * 60, good), (1, "ambiguous/1", "A" * 60, good), (2, "poor/1", "A" * 60, bad), (3, "many/1", "AN", "#!")], kind)
+    r2 = r1.withColumn("qual", F.when(F.col("ord") == 3, "II").otherwise(F.lit(good))).withColumn("id", F.regexp_replace("id", "1$", "2"))
+    calls = "fragment string, status string"
+    host = frame([("host", "host_supported"), ("ambiguous", "ambiguous"), ("poor", "host_supported")], calls)
+    got = {r.fragment: (r.destination, r.reason, r.host_status) for r in R.prepare_pairs(r1, r2, host, True).collect()}
+    many = ("quality_filtered", "excess_N;low_quality;short", "not_assessed")
+    assert got == {"host": ("host_removed", "explicit_host_support", "host_supported"), "ambiguous": ("retained", "", "ambiguous"), "poor": ("quality_filtered", "low_quality", "host_supported"), "many": many}
+    assert {r.fragment for r in R.prepare_pairs(r1, r2, host).where("destination = 'retained'").collect()} == {"host", "ambiguous"}
+    assert {r.host_status for r in R.prepare_pairs(r1, r2).collect()} == {"not_assessed"}
+    twice = frame([(0, "a", "A", "I"), (1, "a", "A", "I")], kind)
+    for a, b, h in ((r1, r1, None), (r1, r2.where("ord < 3"), None), (twice, twice, None), (r1, r2, frame([("x", "nonhost")], calls)), (r1, r2, frame([("host", "host")], calls))):
+        with pytest.raises(ValueError):
+            R.prepare_pairs(a, b, h)
     assert {r.id for r in R.invalid_reads(frame([("x", "AC", "I"), ("y", "A!", "II"), ("z", "A", "I")], "id string, seq string, qual string")).collect()} == {"x", "y"}
 
 
@@ -238,11 +247,24 @@ def test_orfs_on_both_strands(frame):
 
 
 def test_taxonomy_redirects(frame):
-    mapping = frame([("A", "12"), ("B", "99"), ("C", "77")], "accession string, taxid string")
-    nodes = frame([("1", "1", "root"), ("10", "1", "genus"), ("11", "10", "species")], "node string, parent string, rank string")
-    got = T.resolve_taxonomy(mapping, nodes, frame([("12", "11")], "old string, new string"), frame([("99",)], "taxid string"), ["species", "genus", "family"])
-    rows = {r.accession: (r.status, r.species, r.genus, r.family) for r in got.collect()}
-    assert rows == {"A": ("merged", "11", "10", None), "B": ("deleted", None, None, None), "C": ("unknown", None, None, None)}
+    mapping = frame([("A", "13"), ("B", "99"), ("C", "77"), ("D", "21")], "accession string, taxid string")
+    nodes = frame([("1", "1", "root"), ("9", "1", "family"), ("10", "9", "genus"), ("11", "10", "species"), ("20", "9", "genus"), ("21", "20", "species")], "node string, parent string, rank string")
+    merged, gone = frame([("12", "11"), ("13", "12")], "old string, new string"), frame([("99",), ("20",)], "taxid string")
+    got = T.resolve_taxonomy(mapping, nodes, merged, gone, ["species", "genus", "family"])
+    rows = {r.accession: (r.resolved_taxid, r.status, r.species, r.genus, r.family) for r in got.collect()}
+    # the walk from 21 stops before 20, which is deleted
+    assert rows == {"A": ("11", "known", "11", "10", "9"), "B": ("99", "deleted", None, None, None), "C": ("77", "unknown", None, None, None), "D": ("21", "known", "21", None, None)}
+    circle = frame([("13", "14"), ("14", "13")], "old string, new string")
+    for bad in ((mapping.unionByName(mapping), merged, ["species"]), (mapping, circle, ["species"]), (mapping, merged, ["status"])):
+        with pytest.raises(ValueError):
+            T.resolve_taxonomy(bad[0], nodes, bad[1], gone, bad[2])
+
+
+def test_long_parent_chain(frame):
+    nodes = frame([(str(i), str(max(0, i - 1)), "x" if i % 50 else "mark") for i in range(101)], "node string, parent string, rank string")
+    walk = P.lineage(nodes, frame([("i", "100")], "id string, node string"))
+    assert walk.count() == 101
+    assert (P.ranks_of(walk, ["mark"]).first().mark, P.ranks_of(walk, ["mark"], nearest=False).first().mark) == ("100", "0")
 
 
 def test_parent_cycle_raises(frame):
@@ -257,10 +279,46 @@ def test_replacement_rules(frame):
     assert {r.candidate: r.decision for r in got.collect()} == {"c1": "replace", "c2": "retain", "c3": "retain"}
 
 
+SUMMARY = "seq_name string, length int, coordinates string, virus_score double, topology string, taxonomy string"
+
+
 def test_quality_completion(frame):
-    contigs = frame([("a", "ACGT"), ("b", "AC")], "contig string, seq string")
-    got = T.quality(contigs, frame([("a|provirus_2_4", 0.9)], "result_id string, virus_score double"))
-    assert {r.contig: (r.start, r.end, r.status) for r in got.collect()} == {"a": (1, 4, "reported"), "b": (None, None, "not_reported")}
+    contigs = frame([("host", "ACGT" * 25), ("other", "ACGT"), ("whole", "AC")], "contig string, seq string")
+    rows = [("host|provirus_11_30", 20, "11-30", 0.95, "Provirus", "Viruses;"), ("whole", 2, "NA", 0.5, "DTR", "")]
+    got = {r.contig: r for r in T.quality(contigs, frame(rows, SUMMARY)).collect()}
+    assert (got["host"].start, got["host"].end, got["host"].status, got["host"].provirus_is_chimera) == (10, 30, "reported_viral_candidate", False)
+    assert (got["other"].start, got["other"].end, got["other"].status, got["other"].virus_score, got["other"].result_id) == (0, 4, "not_reported", None, "")
+    assert (got["whole"].start, got["whole"].end, got["whole"].completeness, got["whole"].topology) == (0, 2, None, "DTR")
+
+
+@pytest.mark.parametrize("row", [("c|provirus_2_4", 3, "2-5", 0.9), ("c|provirus_2_9", 8, "2-9", 0.9), ("c", 3, "", 0.9), ("c", 4, "", 1.5), ("x", 4, "", 0.9), ("c", 4, "", None)])
+def test_quality_refuses(frame, row):
+    with pytest.raises(ValueError):
+        T.quality(frame([("c", "ACGT")], "contig string, seq string"), frame([(*row, "", "")], SUMMARY))
+
+
+def test_correction_counts_alternatives_only(frame):
+    # path_2 of x is an entrance: one alternative, so its reads never cut
+    cand = [("x", "c1", 10, [["a"]]), ("y", "c2", 5, [["a"], ["b"]]), ("z", "c3", 5, [["a"]]), ("far", "c4", 5, [["a"]]), ("many", "c5", 5, [["a"]]), ("own", "c6", 5, None)]
+    cand = frame(cand, "candidate string, contig string, cut int, alternatives array<array<string>>")
+    rows = [("x", 0, 0), ("x", 1, 0), ("x", 2, 9), ("y", 0, 0), ("y", 2, 3), ("z", 0, 10), ("z", 1, 3), ("far", 1, 9), ("many", 1, 9), ("own", 0, 3), ("own", 1, 9)]
+    support = frame([(c, f"path_{i}", n) for c, i, n in rows], "candidate string, template string, support int")
+    templates = frame([(c, "path_0", 40, 90 if c != "far" else 601) for c in ("x", "y", "z", "far", "own")], "candidate string, template string, left int, right int")
+    seqs = frame([(f"c{i}", "ACGTACGTACGTAC") for i in range(1, 7)], "name string, seq string")
+    props = frame([("c2", 4, 6, "nmf", 0.9), ("c9", 0, 9, "nmf", 0.9)], "contig string, start int, end int, method string, score double")
+    got, parts = T.correction(cand, support, props, seqs, templates=templates)
+    want = {"x": ("unresolved", "insufficient_discriminating_evidence"), "y": ("split", "alternative_fragment_support"), "z": ("retain", "current_support"), "far": ("unresolved", "repeat_exceeds_fragment_span"), "many": ("unresolved", "too_many_competing_paths"), "own": ("retain", "current_support")}
+    assert {r.candidate: (r.decision, r.reason) for r in got.collect()} == want
+    assert parts.groupBy("name").count().where("count > 1").collect()[0].name == "c2"
+    gated, _ = T.correction(cand, support, props, seqs, "require_all", ("nmf", "structural_lineage"), templates=templates)
+    assert gated.where("candidate = 'y'").first().reason == "proposal_gate_not_met"
+    assert tuple(T.proposal_audit(got, props).first()) == (2, 1, 1)
+
+
+def test_greedy_clusters_without_names(frame):
+    items = frame([("a", 5), ("b", 4), (None, 9)], "name string, length int")
+    got = G.greedy_clusters(items, frame([("a", "b"), (None, "a")], "a string, b string"))
+    assert {(r.member, r.representative) for r in got.collect()} == {("a", "a"), ("b", "a")}
 
 
 def test_designs(spark, frame):
@@ -296,7 +354,14 @@ def test_latent_switch(frame):
     for i, mix in enumerate([(9, 1, 1), (8, 1, 1), (1, 9, 9), (1, 8, 9)]):
         rows += [(f"w{i}", "mixed" if i in (1, 2) else f"c{i}", 100 * (i == 2), 100 + 100 * (i == 2), f"s{j}", float(v)) for j, v in enumerate(mix)]
     got = T.latent_switches(frame(rows, "window_id string, contig string, start int, end int, sample string, value double")).collect()
-    assert [(r.contig, r.start, r.end) for r in got] == [("mixed", 0, 200)]
+    assert [(r.contig, r.start, r.end, r.method) for r in got] == [("mixed", 0, 200, "nmf")] and 0.5 <= got[0].score <= 1
+    kind = "window_id string, contig string, start int, end int, sample string, value double"
+    searched = T.latent_switches(frame(rows, kind), rank="auto").collect()
+    assert [(r.contig, r.start, r.end) for r in searched] == [("mixed", 0, 200)]
+    assert T.latent_switches(frame(rows, kind), max_iter=2).count() == 0
+    for bad in ([r for r in rows if r[4] != "s2"], [(*r[:5], 1.0) for r in rows]):
+        with pytest.raises(Exception, match="biological samples|variable profiles"):
+            T.latent_switches(frame(bad, kind)).collect()
 
 
 def test_local_templates(frame):

@@ -61,7 +61,11 @@ def test_gfa_and_paths(spark, tmp_path):
     with pytest.raises(ValueError):
         R.gfa(spark, _file(tmp_path, "b.gfa", g.replace("2M", "3M")))
     paths = R.contig_paths(spark, _file(tmp_path, "p.paths", "NODE_1\n1+,2+;\n3-\nNODE_1'\n3+;\n2-,1-\n"))
-    assert [(r.name, r.path) for r in paths.collect()] == [("NODE_1", ["1+", "2+", None, "3-"])]
+    assert {r.name: r.path for r in paths.collect()} == {"NODE_1": ["1+", "2+", None, "3-"], "NODE_1'": ["3+", None, "2-", "1-"]}
+    more = R.contig_paths(spark, _file(tmp_path, "q.paths", "a\n1+;2-,3+\nempty\nb\n1+,2+\n3+,4-\n"))
+    assert {r.name: r.path for r in more.collect()} == {"a": ["1+", None, "2-", "3+"], "empty": [], "b": ["1+", "2+", None, "3+", "4-"]}
+    with pytest.raises(ValueError):
+        R.contig_paths(spark, _file(tmp_path, "r.paths", "1+,2+\na\n3+\n"))
 
 
 def test_fastq(spark, tmp_path):
@@ -85,6 +89,43 @@ def test_dump_genbank_and_names(spark, tmp_path):
     assert spark.range(1).select(R.known(F.lit("NA")).alias("v")).first().v is None
 
 
+GB = "<GBSeq><GBSeq_accession-version>{0}</GBSeq_accession-version><GBSeq_sequence>{1}</GBSeq_sequence>{2}</GBSeq>"
+
+
+def test_genbank_sources_and_refusals(spark, tmp_path):
+    qual = lambda k, v: f"<GBQualifier><GBQualifier_name>{k}</GBQualifier_name><GBQualifier_value>{v}</GBQualifier_value></GBQualifier>"
+    feature = "<GBFeature><GBFeature_key>{}</GBFeature_key><GBFeature_quals>{}</GBFeature_quals></GBFeature>"
+    table = feature.format("source", qual("segment", "RNA1") + qual("db_xref", "taxon:7") + qual("db_xref", "other:8")) + feature.format("CDS", qual("segment", "no"))
+    more = f"<GBSeq_topology>circular</GBSeq_topology><GBSeq_definition>v, complete segment</GBSeq_definition><GBSeq_moltype>RNA</GBSeq_moltype><GBSeq_feature-table>{table}</GBSeq_feature-table>"
+    r = R.genbank(spark, _file(tmp_path, "a.xml", "<GBSet>" + GB.format("NC_000001.1", "acgt", more) + "</GBSet>")).first()
+    assert (r.seq, r.length, r.segment, r.taxid, r.molecule, r.completeness, r.topology) == ("ACGT", 4, "RNA1", "7", "RNA", "unknown", "circular")
+    for i, bad in enumerate([GB.format("A.1", "ac", "") * 2, GB.format("", "ac", ""), GB.format("A.1", "", "")]):
+        with pytest.raises(ValueError):
+            R.genbank(spark, _file(tmp_path, f"b{i}.xml", f"<GBSet>{bad}</GBSet>"))
+
+
+def test_accessions_matrix_and_keys(spark, frame, tmp_path):
+    assert [r.accession for r in R.accessions(spark, _file(tmp_path, "a.txt", "NC_001802.1\nNC_001802.1\n")).collect()] == ["NC_001802.1"]
+    with pytest.raises(ValueError):
+        R.accessions(spark, _file(tmp_path, "b.txt", "NC_001802\n"))
+    long = R.matrix(spark, _file(tmp_path, "m.tsv", "window_id\ts1\ts2\nw\t1\t0.5\n"), ["window_id"])
+    assert {(r.window_id, r.sample, r.value) for r in long.collect()} == {("w", "s1", 1.0), ("w", "s2", 0.5)}
+    with pytest.raises(ValueError):
+        R.matrix(spark, _file(tmp_path, "n.tsv", "window_id\ts1\nw\t-1\n"), ["window_id"])
+    ab, abb, a = (frame([(x,) for x in n], "k string") for n in ("ab", "abb", "a"))
+    R.same_keys(ab, ab, ["k"], "unit")
+    for bad in (abb, a):
+        with pytest.raises(ValueError):
+            R.same_keys(ab, bad, ["k"], "unit")
+
+
+@pytest.mark.parametrize("text", ["@\nACGT\n+\nIIII\n", "@q/1\nACGT\n+other\nIIII\n", "@q\n\n+\n\n"])
+def test_fastq_identifiers(spark, tmp_path, text):
+    with pytest.raises(ValueError):
+        R.fastq(spark, _file(tmp_path, "x.fq", text))
+    assert R.fastq(spark, _file(tmp_path, "y.fq", "@q/1\nA\n+q/1\nI\n"), suffix=True).first().id == "q/1"
+
+
 def test_streaming_screen(spark, frame, tmp_path):
     from seqlens.streaming.read_qc import screen
 
