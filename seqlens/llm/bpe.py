@@ -10,7 +10,9 @@ associative. Decoding concatenates byte strings up the same kind of tree.
 
 Defined results: null text encodes as the empty text; the whole text is encoded, special
 tokens' strings as ordinary text; repeated rows are encoded alike; a text without any such
-border (one very long word) is encoded as one window; further columns are not needed.
+border (one very long word, or a script without spaces) is encoded as one window, and each level of
+the tree then encodes it again, n log n in all; further columns, whatever their names, are not read; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

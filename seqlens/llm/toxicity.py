@@ -14,7 +14,9 @@ does not grow with the data. Scoring is one narrow pass over whole texts: the ch
 batch is solved by a blocked scan of 2x2 maps, so its time does not depend on the longest text.
 
 Defined results: null and empty texts have no tokens and score low; without labelled rows of
-both classes every score is 0; repeated rows score alike; null ids are never held out.
+both classes every score is 0; repeated rows score alike, and of an id with several texts the smallest
+is learnt from; null ids are never held out; very long texts are scored whole; an empty table gives an
+empty result; a column that has the name of the result is replaced, all others are kept.
 """
 
 from __future__ import annotations
@@ -246,7 +248,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect() if r.y in (0, 1)}
     order = [F.xxhash64("id"), F.col("id")]
     sample = rows.where("y = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(rows.where("y = 0").orderBy(*order).limit(MAX_CLEAN))
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), "id")
+    # of a repeated id the smallest text counts, so that reruns learn the same model
+    texts = texts.groupBy("id").agg(F.min("y").alias("y"), F.min("t").alias("t"))
     got = sorted(texts.select("id", "y", "t").collect())
     toxic, clean = ([r.t for r in got if r.y == y] for y in (1, 0))
     return fit_tagger(toxic, clean, total.get(1, 0), total.get(0, 0))

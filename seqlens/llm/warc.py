@@ -13,7 +13,8 @@ leaves no half file in the archive.
 
 Defined results: null payload is the empty payload; repeated rows of the smallest id are all
 responses; null ids are named null, come last, and are responses unless an equal payload has an
-id; header values lose line breaks; an empty table writes an empty archive.
+id; header values lose line breaks; very long payloads are chunk rows like any other; further columns,
+whatever their names, are not read; an empty table writes an empty archive.
 """
 
 from __future__ import annotations
