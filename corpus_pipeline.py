@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
 read again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results of every stage: repeated rows are rows; very long texts are read whole; further columns, whatever
+their names (those that start with two underscores excepted), are kept as they are, by all but the last; an
+empty table gives an empty result. What null ids, texts and sources mean is said at each stage.
 """
 
 from __future__ import annotations
@@ -17,25 +21,37 @@ from seqlens.session import shared_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half.
+
+    Null and empty texts score low and stay; a null id is never learnt from but is scored; ties at one half go.
+    """
     tagger = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.score_documents(docs, tagger, out="__toxicity")
     return scored.where(F.col("__toxicity.score") < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    """One document of each group of near copies: five-word shingles, similarity 0.8.
+
+    The smallest id stays. Texts without words, null or empty, are copies of nothing and stay.
+    """
     return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, each as often as it takes it (a row for each time)."""
+    """The documents the mix takes, each as often as it takes it (a row for each time).
+
+    A null source is a source of its own, ranked last; a text without words has size 0.
+    """
     mixed = mix_sources(docs, out="__mix")
     return mixed.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__mix.repeats")))).select(*docs.columns)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and of the text decoded from them, a row for each row."""
+    """Token counts and digests of ids and of the text decoded from them, a row for each row.
+
+    A null text is the empty text; a null id stays null.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
