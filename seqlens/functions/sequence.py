@@ -99,12 +99,14 @@ def cigar_blocks(start: Column, cigar: Column) -> Column:
     return F.aggregate(cigar_ops(cigar), zero, step, lambda acc: acc["out"])
 
 
-def kmer_table(seqs: DataFrame, k: int, name: str = "name", seq: str = "seq", positions: bool = False, circular: str | None = None) -> DataFrame:
-    """Canonical k-mers made of A, C, G, T only: (name, code, n, low), or (name, pos, code, low) with positions.
+def kmer_table(seqs: DataFrame, k: int, name: str = "name", seq: str = "seq", positions: bool = False, circular: str | None = None, tag: str | None = None) -> DataFrame:
+    """Canonical k-mers made of A, C, G, T only: (name, code, n, low), or with positions (name, tag, len, pos, code, low, times, first).
 
     code packs two bits a base, so for k <= 31 it is a long whose order is that of the word
     (see kmer_word). Rolling codes of both strands are arrays over the whole sequence:
     cost is linear in its length. A circular sequence of k or more bases is read past its end.
+    With positions, tag is carried along as text, len is the sequence's length, times says how often the sequence
+    holds the word, and first marks the word's first place there, so that nothing need be counted again.
     """
     if not 1 <= k <= 31:
         raise ValueError("k must be between 1 and 31")
@@ -132,20 +134,26 @@ def kmer_table(seqs: DataFrame, k: int, name: str = "name", seq: str = "seq", po
         pos = np.flatnonzero(bad[k:] == bad[:-k])
         return pos, np.minimum(ahead, back)[pos], (h < 1.5)[pos]
 
-    columns = ("name", "pos", "code", "low") if positions else ("name", "code", "n", "low")
+    kind = "name string, tag string, len long, pos long, code long, low boolean, times long, first boolean" if positions else "name string, code long, n long, low boolean"
+    columns = [c.split()[0] for c in kind.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
-            for who, text, wrap in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for who, text, wrap, mark in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 pos, code, low = words(text or "", bool(wrap))
+                distinct, first, which, n = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
                 if positions:
-                    out = (pos.astype(np.int64), code, low)
+                    leads = np.zeros(len(code), bool)
+                    leads[first] = True
+                    out = (pos.astype(np.int64), code, low, n[which].astype(np.int64), leads)
+                    told = (pa.scalar(who, pa.string()), pa.scalar(mark, pa.string()), pa.scalar(len(text or ""), pa.int64()))
                 else:
-                    code, first, n = np.unique(code, return_index=True, return_counts=True)
-                    out = (code, n.astype(np.int64), low[first])
+                    out = (distinct, n.astype(np.int64), low[first])
+                    told = (pa.scalar(who, pa.string()),)
+                code = out[1] if positions else out[0]
                 if len(code):
-                    held.append((pa.repeat(pa.scalar(who, pa.string()), len(code)), *map(pa.array, out)))
+                    held.append((*(pa.repeat(t, len(code)) for t in told), *map(pa.array, out)))
                     rows += len(code)
                 if rows >= BATCH:
                     yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], columns)
@@ -153,8 +161,8 @@ def kmer_table(seqs: DataFrame, k: int, name: str = "name", seq: str = "seq", po
         if held:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], columns)
 
-    seqs = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"), (F.col(circular) if circular else F.lit(False)).alias("wrap"))
-    return seqs.mapInArrow(run, "name string, pos long, code long, low boolean" if positions else "name string, code long, n long, low boolean")
+    seqs = seqs.select(F.col(name).alias("name"), F.col(seq).alias("seq"), (F.col(circular) if circular else F.lit(False)).alias("wrap"), (F.col(tag) if tag else F.lit(None)).cast("string").alias("tag"))
+    return seqs.mapInArrow(run, kind)
 
 
 def kmer_word(code: Column, k: int) -> Column:
