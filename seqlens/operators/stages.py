@@ -258,17 +258,16 @@ def latent_switches(profiles: DataFrame, rank: int | str = 2, seeds: tuple[int,
     import numpy as np
     import pandas as pd
 
-    from seqlens.operators.design import factorize, loadings, stability
+    from seqlens.operators.design import fit_seeds, loadings, stability
 
     if len(set(seeds)) < 2:
         raise ValueError("use at least two distinct seeds")
     places = profiles.select("window_id", "contig", "start", "end").distinct()
 
     def trial(rows: np.ndarray, k: int) -> dict:
-        runs = []
-        for s in seeds:
-            w, h, _, steps = factorize(rows, np.ones_like(rows), k, s, max_iter)
-            runs.append((float(np.linalg.norm(rows - w @ h) / np.linalg.norm(rows)), steps < max_iter, w, h))
+        fits = fit_seeds(rows, np.ones_like(rows), k, seeds, max_iter)
+        each = zip(fits.entities, fits.features, fits.rounds, strict=True)
+        runs = [(float(np.linalg.norm(rows - w @ h) / np.linalg.norm(rows)), steps < max_iter, w, h) for w, h, steps in each]
         runs.sort(key=lambda r: r[0])
         return {"rank": k, "cost": runs[0][0] + rank_penalty * k, "same": stability([r[3].T for r in runs]), "settled": runs[0][1], "w": runs[0][2]}
 

@@ -139,7 +139,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 200").select(F.col("vec_id").cast("string").alias("entity"), F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("entity"), F.posexplode("embedding").alias("i", "v"))
     rows = e.select("entity", F.lit("e").alias("block"), F.col("i").cast("string").alias("feature"), F.abs("v").cast("double").alias("value"))
     fit = D.multiview(D.block_weights(rows, D.column_scales(rows)), 3, (0, 1, 2))
     return fit.select("seed", "entity", "component", F.round("loading", 4).alias("loading"))
