@@ -60,6 +60,21 @@ def test_circular_atlas(frame):
     assert {r.taxa_count for r in rows} == {2}
 
 
+def test_pairs_by_blocks_of_holders(frame, monkeypatch):
+    monkeypatch.setattr(S, "HOLDERS", 3)
+    rng = random.Random(3)
+    texts = {f"s{i}": "".join(rng.choices("ACGT", k=14)) for i in range(18)}
+    words = {n: Counter(min(t[i : i + 3], t[i : i + 3].translate(str.maketrans("ACGT", "TGCA"))[::-1]) for i in range(12)) for n, t in texts.items()}
+    want = {}
+    for a in words:
+        for b in words:
+            both = words[a].keys() & words[b].keys()
+            if a < b and both:
+                want[a, b] = (len(both), sum(words[a][w] > 1 or words[b][w] > 1 for w in both))
+    got = S.pair_sharing(frame(list(texts.items()), "name string, seq string"), 3, 1).collect()
+    assert len(got) == len(want) and {(r.a, r.b): (r.shared, r.repeated) for r in got} == want
+
+
 def test_unknown_taxonomy_blocks_a_mask(frame):
     seqs = frame([("A", A), ("B", A), ("C", A)], "name string, seq string")
     tax = frame([("A", "1"), ("B", "2"), ("C", None)], "name string, taxon string")
