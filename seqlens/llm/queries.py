@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlens.llm import bpe, token_store, toxicity, warc
+from seqlens.llm import bpe, packing, token_store, toxicity, warc
 from seqlens.llm.mixing import mix_sources
 from seqlens.llm.near_dups import near_duplicates
 from seqlens.llm.sharding import shard_rows
 from seqlens.llm.spotsigs import edited_fingerprints
 from seqlens.llm.url_filter import url_verdicts
+from seqlens.llm.vector_codes import vector_codes
 from seqlens.llm.vector_dups import near_vectors
 from seqlens.session import shared_folder
 
@@ -93,6 +94,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, plan = packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), size=2048, end_id=0)
+    return plan.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "place")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 OP9_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
 ), g AS (SELECT * FROM v WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
@@ -116,9 +126,40 @@ FROM d LEFT JOIN f ON f.s = d.s
 """
 
 
+def _codes_sql(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Rounds of assignment and means over parts of integer vectors; inner products of integers are exact doubles."""
+    steps = [f"""
+WITH q AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, q[part * (len(q) // {parts}) + 1:(part + 1) * (len(q) // {parts})]::DOUBLE[] AS v FROM q, range({parts}) r(part)
+), b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM p
+  WHERE vec_id IN (SELECT vec_id FROM q ORDER BY vec_id LIMIT {entries})
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, label, part, v, min(row(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), entry)) AS best
+  FROM p JOIN b{i} USING (part) GROUP BY ALL
+)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS MATERIALIZED (
+  SELECT part, entry, list(m ORDER BY i) AS m FROM (
+    SELECT part, best[2] AS entry, i, floor(sum(x) / count(*)) AS m FROM (SELECT part, best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY ALL
+  ) GROUP BY ALL
+), b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM b{i} LEFT JOIN m{i} USING (part, entry))""")
+    steps.append(f"""o AS (SELECT vec_id, label, string_agg(format('{{:02x}}', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM a{rounds} GROUP BY ALL
+), s AS (SELECT sha256(string_agg(x, ',' ORDER BY part, entry)) AS h FROM (SELECT part, entry, array_to_string(c::BIGINT[], ',') AS x FROM b{rounds})
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM o, s
+""")
+    return ", ".join(steps)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_toxicity, op4_url_filter, op5_spotsigs, op6_token_store, op7_sharding, op8_bpe, op9_vector_dups, op10_warc)}
+    return {f.__name__: f for f in (op1_mixing, op2_minhash, op3_toxicity, op4_url_filter, op5_spotsigs, op6_token_store, op7_sharding, op8_bpe, op9_vector_dups, op10_warc, op11_packing, op12_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op9_vector_dups": OP9_SQL, "op10_warc": OP10_SQL}
+    return {"op2_minhash": OP2_SQL, "op9_vector_dups": OP9_SQL, "op10_warc": OP10_SQL, "op12_vector_codes": _codes_sql()}

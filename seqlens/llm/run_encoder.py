@@ -8,6 +8,10 @@ no piece goes on from a sign into white space, and the last white space characte
 sign always begins a piece. Characters whose class differs between editions of Unicode, rare
 white space and control characters bind everything: a run just grows longer there.
 
+A tokenizer of words that drops white space (WORDS) cuts at the same ends: its normalizer composes
+across none of them, since marks bind too, and letters whose lower case or composed form is
+not a letter are made to bind. There every new run goes to the whole tokenizer.
+
 A whole batch is cut, hashed and looked up as arrays. Runs of at most 16 bytes are keys by
 value, so a lookup is exact; a run that is new goes to the library: to its merge model when it
 is one piece for certain, else to the whole tokenizer. Two generations bound the memory: a full
@@ -28,6 +32,8 @@ END, BREAK = b"\xff", b"\xfe"
 #: Bytes encoded at once, runs a generation holds, and the longest run that is remembered.
 PART, MOST, LONG = 1 << 20, 1 << 19, 256
 _SURE = re.compile(rb" [A-Za-z0-9]")
+#: Fixed value: how a tokenizer of words splits a normalized text.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _plane() -> np.ndarray:
@@ -43,6 +49,26 @@ def _plane() -> np.ndarray:
     return out
 
 
+def _steady(plane: np.ndarray) -> np.ndarray:
+    """plane, where characters that the word tokenizers' normalizer takes to another class bind."""
+    out, kinds = plane.copy(), {"L": L, "N": N, "P": P, "S": P}
+    for cp in np.flatnonzero((plane >= L) & (plane <= P)).tolist():
+        c = unicodedata.normalize("NFC", chr(cp))
+        if {kinds.get(unicodedata.category(x)[0]) for x in c + c.lower()} != {int(plane[cp])}:
+            out[cp] = X
+    return out
+
+
+def _splits_words(kind: dict) -> bool:
+    """Whether a tokenizer composes, lowers case, drops white space and then cuts by WORDS."""
+    steps = [(n.get("type"), n.get("pattern")) for n in (kind.get("normalizer") or {}).get("normalizers", ())]
+    pre = (kind.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    if steps != [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)] or len(pre) != 2:
+        return False
+    cut = [pre[0].get(k) for k in ("type", "pattern", "behavior", "invert")]
+    return cut == ["Split", {"Regex": WORDS}, "Removed", True] and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex", True)
+
+
 def _pair_ends() -> np.ndarray:
     """Whether a piece always ends between a character of one class and one of another."""
     signs, out = (L, N, P, A), np.zeros((8, 8), dtype=bool)
@@ -128,8 +154,8 @@ class RunEncoder:
     """The tokenizers library behind a bounded memory of the runs it has encoded.
 
     Runs are kept apart only for a byte-level pre-tokenizer with its own pattern, no prefix
-    space, no normalizer and a merge model; any other tokenizer encodes whole texts, and so
-    does every tokenizer a text that holds the string of an added token.
+    space, no normalizer and a merge model, and for tokenizers of words; any other tokenizer encodes
+    whole texts, and so does every tokenizer a text that holds the string of an added token.
     """
 
     def __init__(self, definition: str, end_id: int = 0, most: int = MOST):
@@ -139,18 +165,20 @@ class RunEncoder:
         self.tokenizer, kind = Tokenizer.from_str(definition), json.loads(definition)
         pre, model = kind.get("pre_tokenizer") or {}, kind.get("model") or {}
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
-        self.by_run = plain and not kind.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout")
+        merges = model.get("type") == "BPE" and not model.get("dropout")
+        self.words = merges and _splits_words(kind)
+        self.by_run = merges and plain and not kind.get("normalizer") or self.words
         self.added = [t["content"].encode() for t in kind.get("added_tokens") or ()]
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
         self.end, self.most, self.bits = end_id, most, max(12, (4 * most - 1).bit_length())
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
         self.spell = {b: spelled.pre_tokenize_str(chr(b))[0][0] for b in range(128)} if self.by_run else {}
-        if self.by_run:
+        if self.spell:
             # two-byte characters name the other bytes: their leading and their continuing byte
             for cp in range(128, 0x800):
                 lead, rest = chr(cp).encode()
                 self.spell[lead], self.spell[rest] = spelled.pre_tokenize_str(chr(cp))[0][0]
-        self.plane, self.ends = _plane(), _pair_ends()
+        self.plane, self.ends = _steady(_plane()) if self.words else _plane(), _pair_ends()
         self.bytes = np.where(np.arange(256) < 128, self.plane[:256], np.where(np.arange(256) >= 254, E, X)).astype(np.uint8)
         self.young, self.old = self._table(), None
         self.long: tuple[dict[bytes, np.ndarray], dict[bytes, np.ndarray]] = {}, {}
@@ -223,6 +251,8 @@ class RunEncoder:
         return gather(self.young.pool, off, size), np.cumsum(size)[raw[starts] == END[0]]
 
     def _one_piece(self, cls: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+        if self.words:
+            return np.zeros(len(starts), dtype=bool)
         binding = np.flatnonzero((cls == X) | (cls == A))
         return np.searchsorted(binding, starts) == np.searchsorted(binding, starts + n)
 
