@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.functions.sequence import cigar_blocks
+from seqlens.operators.guards import ensure, within
 from seqlens.operators.intervals import merge_intervals, overlaps
+from seqlens.session import shared_table
 
 
-def accepted_pairs(sam: DataFrame, min_mapq: int = 20) -> DataFrame:
-    """Primary records of fragments that are valid, unique pairs.
+def fragment_calls(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., qname, reason): what keeps each fragment from being a valid, unique pair; null if nothing does.
 
     sam: qname, flag, rname, pos (1-based), mapq, cigar, score (AS), other (XS), both null if absent.
     Any supplementary placement rejects a fragment; a secondary one does unless it is at the
@@ -23,26 +27,32 @@ def accepted_pairs(sam: DataFrame, min_mapq: int = 20) -> DataFrame:
     good = bit(2) & ~bit(4 | 8 | 512 | 1024) & (F.col("mapq") >= min_mapq) & (F.col("mapq") < 255)
     tie = F.col("other").isNotNull() & ~F.coalesce(F.col("other") < F.col("score"), F.lit(False))
     rows = sam.withColumn("mate", mate).withColumn("primary", primary)
-    own = Window.partitionBy("qname", "mate")
+    own = Window.partitionBy(*by, "qname", "mate")
     place = F.struct("rname", "pos", "cigar", bit(16).alias("r"))
     rows = rows.withColumn("p_place", F.max(F.when(F.col("primary"), place)).over(own)).withColumn("p_score", F.max(F.when(F.col("primary"), F.col("score"))).over(own)).withColumn("has", F.max("primary").over(own))
     rival = ~bit(4) & (bit(2048) | bit(256) & (~F.col("has") | (place != F.col("p_place")) & ~F.coalesce(F.col("score") < F.col("p_score"), F.lit(False))))
-    per = rows.groupBy("qname").agg(
-        F.count_if("primary").alias("n"), F.count_if(F.col("primary") & good & ~tie).alias("ok"), F.countDistinct(F.when(F.col("primary"), F.col("rname"))).alias("contigs"),
+    per = rows.groupBy(*by, "qname").agg(
+        F.count_if("primary").alias("n"), F.count_if(F.col("primary") & good).alias("good"), F.count_if(F.col("primary") & tie).alias("ties"), F.countDistinct(F.when(F.col("primary"), F.col("rname"))).alias("contigs"),
         F.sort_array(F.collect_set(F.when(F.col("primary"), F.col("mate")))).alias("mates"), F.max(rival).alias("rival"),
     )
-    valid = per.where((F.col("n") == 2) & (F.col("ok") == 2) & (F.col("contigs") == 1) & ~F.col("rival") & (F.col("mates") == F.array(F.lit(64), F.lit(128))))
-    return sam.where(~bit(256 | 2048)).join(valid.select("qname"), "qname", "left_semi")
+    reason = F.when(F.col("n") != 2, "not_two_primaries").when(F.col("good") < 2, "filtered_record").when((F.col("contigs") != 1) | (F.col("mates") != F.array(F.lit(64), F.lit(128))), "not_a_pair")
+    return per.select(*by, "qname", reason.when(F.col("ties") > 0, "tied_score").when(F.col("rival"), "competing_placement").alias("reason"))
 
 
-def fragment_blocks(pairs: DataFrame) -> DataFrame:
-    """(qname, contig, start, end): aligned blocks of both mates, merged, so overlapping mates count once."""
-    blocks = pairs.select("qname", F.col("rname").alias("contig"), F.explode(cigar_blocks(F.col("pos") - 1, F.col("cigar"))).alias("b")).select("qname", "contig", "b.*")
-    return merge_intervals(blocks, ["qname", "contig"])
+def accepted_pairs(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """Primary records of fragments that are valid, unique pairs (see fragment_calls)."""
+    valid = fragment_calls(sam, min_mapq, by).where("reason IS NULL").select(*by, "qname")
+    return sam.where(F.col("flag").bitwiseAND(F.lit(256 | 2048)) == 0).join(valid, [*by, "qname"], "left_semi")
 
 
-def window_depth(windows: DataFrame, blocks: DataFrame, bin_size: int = 1000) -> DataFrame:
-    """windows (window_id, contig, start, end) with depth: overlapped bases over width.
+def fragment_blocks(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., qname, contig, start, end): aligned blocks of both mates, merged, so overlapping mates count once."""
+    blocks = pairs.select(*by, "qname", F.col("rname").alias("contig"), F.explode(cigar_blocks(F.col("pos") - 1, F.col("cigar"))).alias("b")).select(*by, "qname", "contig", "b.*")
+    return merge_intervals(blocks, [*by, "qname", "contig"])
+
+
+def window_bases(windows: DataFrame, blocks: DataFrame, by: Sequence[str] = (), bin_size: int = 1000) -> DataFrame:
+    """(by..., window_id, bases): overlapped bases of the windows (window_id, contig, start, end) that blocks reach.
 
     Both sides are cut into coordinate bins, so the join is on (contig, bin), however long the contig.
     """
@@ -50,12 +60,53 @@ def window_depth(windows: DataFrame, blocks: DataFrame, bin_size: int = 1000) ->
         return F.explode(F.sequence(F.floor(F.col(a) / bin_size), F.floor((F.col(b) - 1) / bin_size)))
 
     w = windows.select("window_id", "contig", F.col("start").alias("ws"), F.col("end").alias("we")).withColumn("bin", bins("ws", "we"))
-    b = blocks.select("contig", F.col("start").alias("bs"), F.col("end").alias("be")).withColumn("bin", bins("bs", "be"))
+    b = blocks.select(*by, "contig", F.col("start").alias("bs"), F.col("end").alias("be")).withColumn("bin", bins("bs", "be"))
     lo, hi = F.greatest("ws", "bs", F.col("bin") * bin_size), F.least("we", "be", (F.col("bin") + 1) * bin_size)
-    got = w.join(b, ["contig", "bin"]).where(overlaps(F.col("ws"), F.col("we"), F.col("bs"), F.col("be"))).groupBy("window_id").agg(F.sum(F.greatest(hi - lo, F.lit(0))).alias("bases"))
+    met = w.join(b, ["contig", "bin"]).where(overlaps(F.col("ws"), F.col("we"), F.col("bs"), F.col("be")))
+    return met.groupBy(*by, "window_id").agg(F.sum(F.greatest(hi - lo, F.lit(0))).cast("long").alias("bases"))
+
+
+def window_depth(windows: DataFrame, blocks: DataFrame, bin_size: int = 1000) -> DataFrame:
+    """windows (window_id, contig, start, end) with depth: overlapped bases over width."""
+    got = window_bases(windows, blocks, (), bin_size)
     return windows.join(got, "window_id", "left").withColumn("depth", F.coalesce("bases", F.lit(0)) / (F.col("end") - F.col("start"))).drop("bases")
 
 
+def target_digest(targets: DataFrame) -> DataFrame:
+    """One row, digest: a checksum of the set of targets (name, seq) that doesn't depend on their order."""
+    h = F.xxhash64("name", "seq")
+    return targets.agg(F.concat_ws(":", F.count(F.lit(1)), F.hex(F.bit_xor(h)), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).alias("digest"))
+
+
+def library_coverage(sam: DataFrame, targets: DataFrame, libraries: DataFrame, windows: DataFrame, min_mapq: int = 20, max_libraries: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(coverage, libraries, exclusions) of alignments of several libraries against common targets.
+
+    sam: sample and the columns of fragment_calls; targets: (contig, length); libraries: (sample, biological_sample). coverage
+    has a row for each library and window, without bases too: depth, and normalized, the depth per million aligned bases of its
+    library. libraries gain accepted_fragments, excluded_fragments and aligned_bases; exclusions count the excluded
+    fragments by reason. A repeated library is an error at once; a record of an unknown library and a block outside its
+    target fail the job that reads them, so guards cost no jobs of their own.
+    """
+    names = [r.sample for r in libraries.select("sample").limit(max_libraries + 1).collect()]
+    if len(names) > max_libraries or len(set(names)) != len(names) or None in names:
+        raise ValueError("repeated, unnamed or too many libraries")
+    sam = ensure(sam, F.col("sample").isin(*names), F.concat(F.lit("unknown library "), F.coalesce("sample", F.lit("null"))))
+    calls = shared_table(fragment_calls(sam, min_mapq, ["sample"]), "fragmentcalls")
+    valid = sam.where(F.col("flag").bitwiseAND(F.lit(256 | 2048)) == 0).join(calls.where("reason IS NULL").select("sample", "qname"), ["sample", "qname"], "left_semi")
+    blocks = shared_table(within(fragment_blocks(valid, ["sample"]), targets, "contig", "length"), "fragmentblocks")
+    bases = blocks.groupBy("sample").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("aligned_bases"))
+    counts = calls.groupBy("sample").agg(F.count_if(F.col("reason").isNull()).alias("accepted_fragments"), F.count_if(F.col("reason").isNotNull()).alias("excluded_fragments"))
+    told = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("accepted_fragments", "excluded_fragments", "aligned_bases")]
+    stats = libraries.select("sample", "biological_sample").join(counts, "sample", "left").join(bases, "sample", "left").select("sample", "biological_sample", *told)
+    every = windows.withColumn("sample", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
+    met = every.join(window_bases(windows, blocks, ["sample"]), ["sample", "window_id"], "left")
+    # one row a library, at most max_libraries
+    met = met.join(F.broadcast(stats.select("sample", "aligned_bases")), "sample").withColumn("depth", F.coalesce("bases", F.lit(0)) / (F.col("end") - F.col("start")))
+    normalized = F.coalesce(F.try_divide(F.col("depth") * 1e6, F.col("aligned_bases")), F.lit(0.0))
+    exclusions = calls.where("reason IS NOT NULL").groupBy("sample", "reason").agg(F.count(F.lit(1)).alias("fragments"))
+    return met.select("sample", "window_id", "contig", "start", "end", "depth", normalized.alias("normalized")), stats, exclusions
+
+
 def normalize(values: DataFrame, key: str = "sample", value: str = "value") -> DataFrame:
     """value per million of its sample's total; 0 for an empty sample."""
     total = values.groupBy(key).agg(F.sum(value).alias("__total"))

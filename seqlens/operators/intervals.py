@@ -65,6 +65,16 @@ def sequence_windows(seqs: DataFrame, size: int = 500, step: int = 500, name: st
     return rows.select(name, "start", end.alias("end"), F.substring(F.col("__seq"), F.col("start") + 1, F.lit(size)).alias("text"))
 
 
+def target_windows(targets: DataFrame, size: int = 500, step: int = 500, name: str = "contig", length: str = "length") -> DataFrame:
+    """(window_id, contig, start, end) of targets (contig, length), as sequence_windows cuts them."""
+    if size < 1 or not 0 < step <= size:
+        raise ValueError("require 0 < step <= size")
+    n = F.col(length)
+    rows = targets.where(n > 0).select(F.col(name).alias("contig"), n.alias("__n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("start"))
+    rows = rows.where((F.col("start") == 0) | (F.col("start") - step + size < F.col("__n")))
+    return rows.select(F.concat_ws(":", "contig", "start").alias("window_id"), "contig", F.col("start").cast("int").alias("start"), F.least(F.col("start") + size, F.col("__n")).cast("int").alias("end"))
+
+
 def split_at_cuts(seqs: DataFrame, cuts: DataFrame, name: str = "name", seq: str = "seq", cut: str = "cut") -> DataFrame:
     """(name, part, start, end, text): sequences split at inner cut positions; parts count from 1."""
     n = F.length(seq)

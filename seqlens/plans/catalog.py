@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqlens.plans import assembly_queries, evidence_queries, sharing_queries, stage_queries
+from seqlens.plans import assembly_queries, evidence_queries, job_queries, sharing_queries, stage_queries
 
-_MODULES = (sharing_queries, evidence_queries, assembly_queries, stage_queries)
+_MODULES = (sharing_queries, evidence_queries, assembly_queries, stage_queries, job_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
