@@ -2,11 +2,16 @@
 
 Method: each host has a tree over path segments. All that is below a node begins with the same
 segments as far as its smallest and its largest remainder agree, so they are taken at once. Of the
-segments that follow, those with fewer than MIN_PAGES pages are variable and become one
-wildcard; all others are branches. Branches of a node whose labelled rates do not differ from the
-node's pooled rate by more than Z standard errors (or all lie above it, or all below), and whose
-remainders are of like length, are merged, {de|fr} say; branches without labels merge among
-themselves. A node with fewer than MIN_PAGES pages is not split further: each segment left is a
+segments that follow, those with fewer than MIN_PAGES pages are variable, all others are branches.
+Branches of a node are merged, {de|fr} say, if their labelled rates, and the shares of their pages that
+have labels, differ from the node's pooled ones by no more than Z standard errors (or all lie above
+them, or all below), and their remainders are of like length; branches without labels merge among
+themselves. Variable segments become wildcards by what their labels say: those without labels, those all
+blocked, those all allowed, and mixed ones are wildcards of their own, so a segment without labels takes
+nothing from labelled siblings. They are one wildcard only where the labels show that the segment does not
+matter: below a branch (not at a host's root), where at least half of the variable segments have labels, each
+segment counting once, and their smoothed share of blocked ones reaches REJECT or stays under 1 - REJECT. A node whose
+pages are alike in their labels and fewer than MIN_PAGES is not split further: each segment left is a
 wildcard. A page's template is its way through the tree, at any depth.
 
 A template's purity is its share of blocked among labelled pages, smoothed towards the labelled share of
@@ -81,30 +86,50 @@ def _nodes(live: DataFrame) -> DataFrame:
     differs = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
     common = F.when(differs > 0, differs - 1).otherwise(F.size("lo")).cast("int")
     per = per.withColumn("common", common).withColumn("step", _joined(F.transform(F.slice("lo", F.lit(1), F.col("common")), _written)))
-    return per.withColumn("split", (F.col("total") >= MIN_PAGES) & (F.col("lo") != F.col("hi"))).drop("lo", "hi")
+    unlike = F.col("all_labelled").between(1, F.col("total") - 1) | F.col("all_blocked").between(1, F.col("all_labelled") - 1)
+    return per.withColumn("split", ((F.col("total") >= MIN_PAGES) | unlike) & (F.col("lo") != F.col("hi"))).drop("lo", "hi")
+
+
+def _side(part: Column, whole: Column, pooled: Column) -> Column:
+    """Whether the share part of whole lies above (1), below (-1) or within Z standard errors of a pooled share."""
+    off, error = part / whole - pooled, F.sqrt(pooled * (1 - pooled) / whole)
+    return F.when(off > error * Z, 1).when(off < -error * Z, -1).otherwise(0)
 
 
 def _branches(pages: DataFrame) -> DataFrame:
-    """(host, node, seg, paths, branch) of every segment that follows a node: its branch's name, or the wildcard."""
+    """(host, node, seg, paths, branch) of every segment that follows a node: its branch's name, or its wildcard."""
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
-    keep = [F.max(c).alias(c) for c in ("all_blocked", "all_labelled")]
+    keep = [F.max(c).alias(c) for c in ("all_pages", "all_blocked", "all_labelled")]
     per = pages.groupBy("host", "node", "seg").agg(F.count(F.lit(1)).alias("paths"), *sums, *keep, (F.sum(F.size("tail") * F.col("n")) / F.sum("n")).alias("deep"))
     per = shared_table(per, "urlsegments")
+    total = per.count()
     big = per.where(F.col("n") >= MIN_PAGES)
-    pooled = (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)
-    off = F.col("blocked") / F.col("labelled") - pooled
-    error = F.sqrt(pooled * (1 - pooled) / F.col("labelled"))
-    side = F.when(F.col("labelled") == 0, 2).when(off > error * Z, 1).when(off < -error * Z, -1).otherwise(0)
-    big = big.select("host", "node", "seg", side.alias("side"), F.round("deep").alias("deep"))
-    group = big.groupBy("host", "node", "side", "deep").agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("z"))
+    rate = F.when(F.col("labelled") > 0, _side(F.col("blocked"), F.col("labelled"), (F.col("all_blocked") + 0.5) / (F.col("all_labelled") + 1.0)))
+    share = F.when(F.col("labelled") > 0, _side(F.col("labelled"), F.col("n"), (F.col("all_labelled") + 0.5) / (F.col("all_pages") + 1.0)))
+    big = big.select("host", "node", "seg", F.coalesce(rate, F.lit(2)).alias("side"), F.coalesce(share, F.lit(2)).alias("told"), F.round("deep").alias("deep"))
+    alike = ["host", "node", "side", "told", "deep"]
+    group = big.groupBy(*alike).agg(F.count(F.lit(1)).alias("k"), F.min("seg").alias("a"), F.max("seg").alias("z"))
     first, last = _written(F.col("a")), _written(F.col("z"))
     name = F.when(F.col("k") == 1, first).when(F.col("k") == 2, F.concat(F.lit("{"), first, F.lit("|"), last, F.lit("}")))
     name = name.otherwise(F.concat(F.lit("{"), first, F.lit("|"), (F.col("k") - 2).cast("string"), F.lit(" more|"), last, F.lit("}")))
     group = shared_table(group.withColumn("branch", name), "urlgroups")
-    named = hot_join(big, group, ["host", "node", "side", "deep"], "k", per.count()).select("host", "node", "seg", "branch")
-    found = per.select("host", "node", "seg", "paths").join(named, ["host", "node", "seg"], "left").withColumn("branch", F.coalesce("branch", F.lit("*")))
+    named = hot_join(big, group, alike, "k", total).select("host", "node", "seg", "branch")
+
+    kind = F.when(F.col("labelled") == 0, "none").when(F.col("blocked") == F.col("labelled"), "block").when(F.col("blocked") == 0, "allow").otherwise("mixed")
+    rare = per.where(F.col("n") < MIN_PAGES).select("host", "node", "seg", kind.alias("kind"))
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in ("none", "block", "allow", "mixed")]
+    node = rare.groupBy("host", "node").agg(F.count(F.lit(1)).alias("k"), F.countDistinct("kind").alias("kinds"), *counts)
+    known = F.col("k") - F.col("none")
+    # a segment is one voice, however many pages it has; SMOOTH voices are split evenly
+    voice = (F.col("block") + F.col("mixed") / 2 + SMOOTH / 2) / (known + SMOOTH)
+    one = (F.col("node") != "") & (known * 2 >= F.col("k")) & (known >= MIN_LABELS) & ((voice >= REJECT) | (voice <= 1 - REJECT))
+    node = shared_table(node.select("host", "node", "k", (one | (F.col("kinds") == 1)).alias("one")), "urlkinds")
+    star = F.when(F.col("one") | (F.col("kind") == "none"), "*").otherwise(F.concat(F.lit("{*|"), "kind", F.lit("}")))
+    wild = hot_join(rare, node, ["host", "node"], "k", total).select("host", "node", "seg", star.alias("branch"))
+    # both sides have one row a segment
+    found = per.select("host", "node", "seg", "paths").join(named.unionByName(wild), ["host", "node", "seg"])
     found = shared_table(found, "urlbranches")
-    drop_shared(per, group)
+    drop_shared(per, group, node)
     return found
 
 
@@ -121,7 +146,7 @@ def path_templates(paths: DataFrame) -> DataFrame:
         rows = hot_join(live, nodes, ["host", "node"], "paths", total)
         rest = F.slice("tail", F.col("common") + 1, F.greatest(F.size("tail") - F.col("common"), F.lit(0)))
         rows = rows.withColumn("node", F.concat("node", "step")).withColumn("tail", rest)
-        rows = rows.select(*base, "tail", "node", (F.col("split") & (F.size("tail") > 0)).alias("split"), "all_blocked", "all_labelled")
+        rows = rows.select(*base, "tail", "node", (F.col("split") & (F.size("tail") > 0)).alias("split"), F.col("total").alias("all_pages"), "all_blocked", "all_labelled")
         rows = shared_table(rows, "urltree")
         stars = _joined(F.transform("tail", lambda s: F.lit("*")))
         done = done.unionByName(rows.where(~F.col("split")).select(*base, F.concat("node", stars).alias("template")))

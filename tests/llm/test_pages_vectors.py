@@ -76,26 +76,38 @@ def _trees(paths):
         low, high = min(tails), max(tails)
         k = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
         name += "".join("/" + esc(s) for s in low[:k])
-        if sum(paths[key][0] for key, _ in items) < lowest or low == high:
+        n, blocked, labelled = (sum(x) for x in zip(*(paths[key] for key, _ in items), strict=True))
+        if n < lowest and not 0 < labelled < n and not 0 < blocked < labelled or low == high:
             out.update((key, name + "/*" * (len(t) - k)) for key, t in items)
             return None
         out.update((key, name) for key, t in items if len(t) == k)
         items = [(key, t[k:]) for key, t in items if len(t) > k]
         add = lambda it: [sum(x) for x in zip(*(paths[key] for key, _ in it), strict=True)]
         segments = {s: [(key, t) for key, t in items if t[0] == s] for s in {t[0] for _, t in items}}
-        _, blocked, labelled = add(whole)
-        pooled, groups = (blocked + 0.5) / (labelled + 1), {}
+        pages, blocked, labelled = add(whole)
+        groups, rare = {}, {}
+
+        def side(part, of, pooled):
+            off, error = part / of - pooled, (pooled * (1 - pooled) / of) ** 0.5 * url_filter.Z
+            return 1 if off > error else -1 if off < -error else 0
+
         for s, it in segments.items():
             n, b, m = add(it)
             if n < lowest:
-                groups.setdefault("*", []).append(s)
+                rare[s] = "none" if not m else "block" if b == m else "allow" if not b else "mixed"
                 continue
             deep = sum(paths[key][0] * len(t) for key, t in it) / n
-            off, error = (b / m - pooled, (pooled * (1 - pooled) / m) ** 0.5 * url_filter.Z) if m else (0, 0)
-            groups.setdefault((2 if not m else 1 if off > error else -1 if off < -error else 0, int(deep + 0.5)), []).append(s)
+            sides = (side(b, m, (blocked + 0.5) / (labelled + 1)), side(m, n, (labelled + 0.5) / (pages + 1))) if m else (2, 2)
+            groups.setdefault((*sides, int(deep + 0.5)), []).append(s)
+        kinds, smooth = list(rare.values()), url_filter.SMOOTH
+        known = len(kinds) - kinds.count("none")
+        voice = (kinds.count("block") + kinds.count("mixed") / 2 + smooth / 2) / (known + smooth)
+        one = len(set(kinds)) == 1 or name and 2 * known >= len(kinds) and known >= url_filter.MIN_LABELS and not 1 - url_filter.REJECT < voice < url_filter.REJECT
+        for s, kind in rare.items():
+            groups.setdefault("*" if one or kind == "none" else f"{{*|{kind}}}", []).append(s)
         for g, names in groups.items():
             a, z = esc(min(names)), esc(max(names))
-            branch = "*" if g == "*" else a if len(names) == 1 else f"{{{a}|{z}}}" if len(names) == 2 else f"{{{a}|{len(names) - 2} more|{z}}}"
+            branch = g if isinstance(g, str) else a if len(names) == 1 else f"{{{a}|{z}}}" if len(names) == 2 else f"{{{a}|{len(names) - 2} more|{z}}}"
             below = [(key, t[1:]) for s in names for key, t in segments[s]]
             out.update((key, f"{name}/{branch}") for key, t in below if not t)
             more.setdefault(f"{name}/{branch}", []).extend((key, t) for key, t in below if t)
@@ -148,11 +160,32 @@ def test_templates_and_purity_equal_a_loop(spark):
     assert len({r.template.count("/") for r in got}) > 5
 
 
-def test_a_learned_template_is_blocked_under_the_rules_of_the_query(spark, tmp_path):
-    urls = [f"https://a.example.com/{'de' if i < 7 else f's{i}'}/{i}" for i in range(20)] + [f"https://b.example.com/{'de' if i < 9 else f's{i}'}/{i}" for i in range(90)]
+def test_sections_without_labels_are_never_blocked_by_labelled_ones(spark, tmp_path):
+    """Hosts of example.com have rules for /de/ alone; other sections, rare or common, have no labels."""
+    urls = []
+    for listed in (1, 2, 6, 7, 8, 9, 12, 20):
+        urls += [f"https://h{k}.n{listed}.example.com/de/{i}" for k in range(3) for i in range(listed)]
+        urls += [f"https://h0.n{listed}.example.com/{s}/{i}" for s in ("fr", "es") for i in range(7)] + [f"https://h1.n{listed}.example.com/fr/{i}" for i in range(30)] + [f"https://h2.n{listed}.example.com/s{i}/{i}" for i in range(20)]
     spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = Q.op4_url_filter(spark, str(tmp_path)).where("rule IS NULL").collect()
-    assert {(r.host, r.verdict) for r in got} == {("a.example.com", "block"), ("b.example.com", "allow")}
+    got = Q.op4_url_filter(spark, str(tmp_path)).collect()
+    assert {r.verdict for r in got if r.rule is None} == {"allow"} and {r.verdict for r in got if r.rule} == {"block"}
+
+
+def test_no_learned_block_on_the_given_pages(spark):
+    """All labels there are of whole sections, so they say nothing of other ones."""
+    got = Q.op4_url_filter(spark, "/root/testdata/sf0.1")
+    assert got.where("rule IS NULL AND verdict = 'block'").count() == 0
+
+
+def test_values_below_a_blocked_branch_are_blocked_with_it(spark):
+    """Most values of a branch are listed one by one, and all are blocked: so are its other values, and no other branch."""
+    shop = [f"http://x.y/ads/{100 + i}" for i in range(40)] + [f"http://x.y/shop/{100 + i}" for i in range(40)] + [f"http://x.y/{100 + i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(shop)), "page_id long, url string")
+    rules = [("block", "x.y", f"/ads/{100 + i}") for i in range(25)] + [("block", "x.y", f"/{100 + i}") for i in range(25)]
+    got = url_filter.url_verdicts(pages, rules).where("rule IS NULL").collect()
+    assert {(r.template, r.verdict) for r in got} == {("/ads/*", "block"), ("/shop/*", "allow"), ("/*", "allow")}
+    few = url_filter.url_verdicts(pages, rules[:15]).where("rule IS NULL").collect()
+    assert {r.verdict for r in few} == {"allow"}
 
 
 def test_warc_round_trip(spark, pages, none, tmp_path):
