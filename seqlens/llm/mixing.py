@@ -6,10 +6,14 @@ and only its rows are binned again by the next bits. After LEVELS passes a sourc
 threshold on the hash prefix, and taking rows is one comparison a row: nothing is
 sorted. Thresholds are nested: a larger budget takes a superset.
 
+Rows that are equal in source, ids and text would hash alike and be taken together. They are numbered
+without gaps, in any order, and hashed with their numbers: how many of them are taken is the
+same in every run.
+
 Defined results: null text has size 0; a null source is a source of its own, ordered last;
-sources without words have target 0 and take nothing; repeated rows hash alike and are taken
-together; null ids are hashed with their text; an empty table gives an empty result. Columns
-of the input that are named like the result column are replaced.
+sources without words have target 0 and take nothing; repeated rows are taken one by one; null ids
+are hashed with their text; an empty table gives an empty result. Columns of the input that are
+named like the result column are replaced.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqlens.operators.positions import with_positions
+from seqlens.operators.skew import hot_join
 from seqlens.session import shared_table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +41,29 @@ def row_hash(ids: Sequence[str], text: str) -> Column:
     return F.xxhash64(*ids, text)
 
 
+def _numbered(rows: DataFrame, h: str, key: str) -> DataFrame:
+    """rows, written, their hash h replaced for all rows of a key but one, so that no two hash alike.
+
+    A key's rows are spread over range partitions, however many they are.
+    """
+    rows = rows.withColumn("__rid", F.monotonically_increasing_id())
+    placed = shared_table(with_positions(rows, [F.col(key), F.col("__rid")], "__pos", "copies"), "copies")
+    first = shared_table(placed.groupBy(key).agg(F.min("__pos").alias("__first"), F.count(F.lit(1)).alias("__copies")), "copies")
+    got = hot_join(placed, first, [key], "__copies", placed.count())
+    nth = F.col("__pos") - F.col("__first")
+    return got.withColumn(h, F.when(nth > 0, F.xxhash64(h, nth)).otherwise(F.col(h))).select(*[c for c in rows.columns if c != "__rid"])
+
+
+def _apart(rows: DataFrame, repeated: DataFrame | None, h: str, source: str) -> DataFrame:
+    """rows, of which those of repeated keys, if there are any, get hashes of their own; all others are passed on."""
+    if repeated is None:
+        return rows
+    keyed = rows.withColumn("__key", F.xxhash64(h, source))
+    rest = keyed.join(repeated, "__key", "left_anti")
+    copies = shared_table(keyed.join(repeated.select("__key"), "__key", "left_semi").select(*keyed.columns), "copies")
+    return rest.select(*rows.columns).unionByName(_numbered(copies, h, "__key").select(*rows.columns))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size): water-filling by weight.
 
@@ -101,6 +129,12 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", ids
     """
     h, n = row_hash(ids, text), word_count(F.col(text))
     base = shared_table(docs.select(*ids, F.col(source).alias("source"), n.alias("size"), h.alias("h")), "mixbase")
+    repeated = base.where("size > 0").groupBy(F.xxhash64("h", "source").alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = shared_table(repeated.select("__key"), "mixcopies")
+    if repeated.isEmpty():
+        repeated = None
+    else:
+        base = shared_table(_apart(base, repeated, "h", "source"), "mixbase")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = thresholds(base, source_targets(sizes, weights, share, cap))
     plan = plan.select(*[F.col(c).alias(f"__{c}") for c in plan.columns])
@@ -108,7 +142,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", ids
         rows = base.select(*ids, F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("h").alias("__h"))
         keep = list(ids)
     else:
-        rows = docs.withColumns({"__s": F.col(source), "__n": n, "__h": h})
+        rows = _apart(docs.withColumns({"__s": F.col(source), "__n": n, "__h": h}), repeated, "__h", "__s")
         keep = [c for c in docs.columns if c != out]
     more = (F.shiftrightunsigned("__h", 64 - BITS * LEVELS) < F.col("__below")).cast("int")
     repeats = F.when(F.col("__n") > 0, F.col("__whole") + F.when(F.col("__whole") < F.lit(int(cap)), more).otherwise(0)).otherwise(F.least(F.col("__whole"), F.lit(1)))

@@ -63,10 +63,10 @@ def _scaled(points: DataFrame) -> DataFrame:
 
 
 def _by_node(values: dict[int, Column]) -> Column:
-    """A column chosen by the row's node; null for other nodes."""
-    out = F.lit(None)
+    """A column chosen by the row's node; null for other nodes. One flat CASE, however many nodes."""
+    out = F.when(F.lit(False), F.lit(None))
     for n, c in values.items():
-        out = F.when(F.col("node") == n, c).otherwise(out)
+        out = out.when(F.col("node") == n, c)
     return out
 
 
@@ -163,7 +163,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, text: str = "text", doc_id
     # a light group holds less than grain of a shard, so no task gets much of one key
     out = rows.join(F.broadcast(fixed), ["digest", "piece"]).unionByName(rows.join(F.broadcast(fixed.select("digest").distinct()), "digest", "left_anti").join(light, ["digest", "piece"]))
     out = shared_table(out.select("id", "size", "crc", "shard"), "sharded")
-    drop_shared(groups, points, grown)
+    drop_shared(groups, points, *([grown] if hasattr(grown, "_shared_path") else []))
     return _slots(out, shards)
 
 

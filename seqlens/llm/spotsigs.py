@@ -4,14 +4,14 @@ Method: common words are anchors, all others are content words. An anchor and th
 words that follow it, however far (fewer at the text's end, but one at least), form a spot
 signature. A content word that is in no spot's chain starts a signature of its own, of as many
 content words and no anchor, so stretches without common words are covered in every text alike;
-in a text of common words only, each is one signature. A fingerprint is the set of a text's
-signatures, written as sorted 8-digit hexadecimal hashes. Likeness is the Jaccard similarity of two
-sets, pruned by their sizes: lengths fall into partitions that grow by 1/FLOOR, sets that are in
-neither the same nor neighbouring partitions, or whose size ratio is under FLOOR, have likeness 0
-without a look at their signatures (their Jaccard similarity is under FLOOR). A search
-partitions sets by length in the same way with its own threshold, so that only equal and neighbouring
-partitions meet, and within them only sets that share one of their rarest signatures (as many
-as the threshold leaves).
+in a text of common words only, each is one signature. A run of more than LONG letters and digits, as
+in scripts without spaces, is cut into pieces of PIECE, in every text alike, and these are its words. A
+fingerprint is the set of a text's signatures, written as sorted 8-digit hexadecimal hashes; two
+signatures may share a hash, so likeness may be overrated by that, never underrated. Likeness is the
+Jaccard similarity of two sets. A search partitions sets by length, so that only equal and
+neighbouring partitions meet, and within them only sets that share one of their rarest signatures
+(as many as the threshold leaves); pairs whose sizes hold their similarity under the threshold are
+pruned without a look at their signatures.
 
 Texts without words have the empty fingerprint; two empty fingerprints have likeness 1.
 
@@ -31,9 +31,7 @@ from pyspark.sql import functions as F
 from seqlens.operators.positions import with_positions
 from seqlens.session import shared_table
 
-CHAIN = 2
-#: Sets whose size ratio is lower are not compared: their likeness is 0.
-FLOOR = 0.1
+CHAIN, LONG, PIECE = 2, 32, 4
 #: Common words of English, German, French and Spanish.
 ANCHORS = tuple(
     "a an and are as at be by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
@@ -44,7 +42,11 @@ ANCHORS = tuple(
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """The words of a text; runs of more than LONG characters in pieces of PIECE."""
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length(w), F.lit(PIECE)), lambda i: F.substring(w, i, F.lit(PIECE)))
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    long = lambda w: F.length(w) > LONG
+    return _once(words, lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, lambda w: F.when(long(w), cut(w)).otherwise(F.array(w))))).otherwise(ws))
 
 
 def signatures(text: Column) -> Column:
@@ -91,12 +93,14 @@ def length_partition(n: Column, t: float) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(1 / t)))
 
 
-def likeness(a: Column, b: Column, floor: float = FLOOR) -> Column:
-    """Jaccard similarity of two signature sets; 0 where their sizes hold it under floor."""
+def likeness(a: Column, b: Column, t: float | None = None) -> Column:
+    """Jaccard similarity of two signature sets. With t, pairs whose sizes hold it under t are 0 without a look at them."""
     na, nb = F.size(a), F.size(b)
-    apart = (F.abs(length_partition(na, floor) - length_partition(nb, floor)) > 1) | (F.least(na, nb) < F.greatest(na, nb) * floor)
     shared = F.size(F.array_intersect(a, b))
-    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0) | apart, 0.0).otherwise(shared / (na + nb - shared))
+    like = F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0)
+    if t is not None:
+        like = like.when((F.abs(length_partition(na, t) - length_partition(nb, t)) > 1) | (F.least(na, nb) < F.greatest(na, nb) * t), 0.0)
+    return like.otherwise(shared / (na + nb - shared))
 
 
 def neighbours(docs: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -84,6 +84,25 @@ def test_mix_hard_rows(hard, none):
     assert mixing.mix_sources(none).count() == 0
 
 
+@pytest.mark.parametrize("lean", [True, False])
+def test_repeated_rows_are_taken_one_by_one(spark, lean):
+    """Sources of equal rows, under a null or one id, land within one row of their targets, and in every run alike."""
+    words = lambda n: "word " * n
+    rows = [(None, words(40), "a")] * 200 + [(7, words(10), "b")] * 300 + [(8, words(10), "b")] * 50 + [(i, words(20), "c") for i in range(100)] + [(9, None, "c")] * 5 + [(9, "", None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_sources(docs.repartition(4), lean=lean).collect()
+    again = mixing.mix_sources(docs.repartition(7, "source"), lean=lean).collect()
+    told = lambda got: Counter((r.doc_id, r.mix.size, r.mix.source_size, r.mix.repeats, r.mix.taken) for r in got)
+    assert len(mixed) == len(rows) and told(mixed) == told(again)
+    taken, target, most = Counter(), {}, Counter()
+    for r in mixed:
+        key = r.mix.source_size
+        taken[key] += r.mix.taken
+        target[key], most[key] = r.mix.target, max(most[key], r.mix.size)
+    assert set(target) == {8000, 3500, 2000, 0}
+    assert all(abs(taken[k] - target[k]) <= most[k] for k in target)
+
+
 def _components(rows, k, percent):
     sets = []
     for _, t in rows:
@@ -207,6 +226,7 @@ def _spots(text):
     import re
 
     words = [w for w in re.split(r"[^\w]+|_", text.lower()) if w]
+    words = [p for w in words for p in ([w[i : i + spotsigs.PIECE] for i in range(0, len(w), spotsigs.PIECE)] if len(w) > spotsigs.LONG else [w])]
     content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
     if not content:
         return {(w,) for w in words}
@@ -227,6 +247,9 @@ def test_fingerprints_equal_a_loop(spark, none):
     pool = ["the", "of", "und", "la", "con", "fox", "hill", "Stein", "río", "blau", "x1", "42", "tree"]
     texts = ["", None, "the", "the of la", "fox", "the fox", "fox the", "fox hill", " ,; ", "the " * 40 + "fox", "no-one; THE\tHill"] + [" ".join(rng.choice(pool) for _ in range(rng.randrange(60))) for _ in range(40)]
     texts += [" ".join(rng.choice(pool[5:]) for _ in range(30)) + " the fox", "fox " * 200, texts[20]]
+    # sets of very unlike sizes, and runs without spaces
+    many = " ".join(f"w{i}" for i in range(400))
+    texts += ["fox", many, many + " fox hill", "x1", "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(420)), "é" * 33, "é" * 32, "a" * 500]
     rows = [(i * 3, t, 1, "clash") for i, t in enumerate(texts)] + [(9, texts[3], 1, "repeated")]
     got = spotsigs.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string, h long, fingerprint string")).collect()
     assert len(got) == len(rows)
@@ -235,7 +258,7 @@ def test_fingerprints_equal_a_loop(spark, none):
     def jaccard(a, b):
         if not a or not b:
             return float(not a and not b)
-        return 0.0 if min(len(a), len(b)) < spotsigs.FLOOR * max(len(a), len(b)) else len(a & b) / len(a | b)
+        return len(a & b) / len(a | b)
 
     for r in got:
         at = r.doc_id // 3
@@ -252,6 +275,14 @@ def test_fingerprints_equal_a_loop(spark, none):
     assert spotsigs.edited_fingerprints(one).first().near_next == 1.0
 
 
+def test_runs_without_spaces_keep_their_unchanged_part(spark):
+    rng = random.Random(7)
+    text = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(420))
+    rows = spark.createDataFrame([(1, text), (2, "日本" * 5 + text[:400])], "doc_id long, text string")
+    near = {r.doc_id: r.near_edited for r in spotsigs.edited_fingerprints(rows).collect()}
+    assert 0.5 < near[1] < 0.9 and 0.5 < near[2] < 0.9
+
+
 def test_fingerprints_hard_rows(hard):
     got = spotsigs.edited_fingerprints(hard).collect()
     assert len(got) == hard.count() and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -398,6 +429,15 @@ def test_shards(spark, hard, none):
     assert sharding.shard_rows(none).count() == 0
 
 
+@pytest.mark.parametrize("shards", [1, 2])
+def test_few_shards(hard, shards):
+    rows = sharding.shard_rows(hard, shards=shards).collect()
+    assert len(rows) == hard.count() and {r.shard for r in rows} == set(range(shards))
+    for s in range(shards):
+        held = [r.slot for r in rows if r.shard == s]
+        assert sorted(held) == list(range(len(held)))
+
+
 def test_tree_equals_a_sort(spark):
     """Each node is cut along its widest dimension where a sort by (value, tie) reaches the left shards' weight."""
     rng = random.Random(2)
