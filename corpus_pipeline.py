@@ -4,12 +4,14 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 read again as the next stage's docs. All but the last return the columns of documents.
 
 Defined results of every stage: repeated rows are rows; very long texts are read whole; further columns, whatever
-their names (those that start with two underscores excepted), are kept as they are, by all but the last; an
-empty table gives an empty result. What null ids, texts and sources mean is said at each stage.
+their names, are kept as they are, by all but the last: they travel as one struct, so none meets an operator's own
+columns. An empty table gives an empty result. What null ids, texts and sources mean is said at each stage.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,14 +22,25 @@ from seqlens.llm.near_dups import drop_near_duplicates
 from seqlens.session import shared_table
 
 
+READ = ("doc_id", "text", "source")
+
+
+def _shielded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with docs' columns: the stage sees READ and a struct of all others."""
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    more = [c for c in docs.columns if c not in READ]
+    rest = [F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(more)]).alias("rest")] if more else []
+    done = stage(docs.select(*[c for c in READ if c in docs.columns], *rest))
+    return done.select(*[F.col(f"rest.c{more.index(c)}").alias(c) if c in more else F.col(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half.
 
     Null and empty texts score low and stay; a null id is never learnt from but is scored; ties at one half go.
     """
     tagger = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_documents(docs, tagger, out="__toxicity")
-    return scored.where(F.col("__toxicity.score") < 0.5).select(*docs.columns)
+    return _shielded(docs, lambda rows: toxicity.score_documents(rows, tagger, out="toxicity").where(F.col("toxicity.score") < 0.5))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +48,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The smallest id stays. Texts without words, null or empty, are copies of nothing and stay.
     """
-    return drop_near_duplicates(docs, shingle=5, percent=80)
+    return _shielded(docs, lambda rows: drop_near_duplicates(rows, shingle=5, percent=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +56,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null source is a source of its own, ranked last; a text without words has size 0.
     """
-    mixed = mix_sources(docs, out="__mix")
-    return mixed.withColumn("__times", F.explode(F.array_repeat(F.lit(0), F.col("__mix.repeats")))).select(*docs.columns)
+    return _shielded(docs, lambda rows: mix_sources(rows, out="mix").withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("mix.repeats")))))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,5 +289,5 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text", out: st
                 done.append(pd.DataFrame({"score": tagger.scores(x), "spans": found}))
             yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"score": [], "spans": []})
 
-    scored = F.pandas_udf(run, "score double, spans array<struct<start:int,end:int>>", F.PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(run, "score double, spans array<struct<start:int,end:int>>")
     return docs.withColumn(out, scored(F.col(text)))

@@ -329,7 +329,7 @@ def test_sql_twins(spark):
 
 
 def test_every_operator_is_registered():
-    assert [k.split("_")[0] for k in Q.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in Q.queries()] == [f"op{i}" for i in range(1, 13)]
 
 
 def test_pipeline(spark):
@@ -348,3 +348,76 @@ def test_pipeline(spark):
     row = final.join(docs, "doc_id").select("decoded_sha256", F.sha2("text", 256).alias("s")).first()
     assert row.decoded_sha256 == row.s
     assert P.run(spark, sf).count() == final.count()
+
+
+ODD = ("__mix", "__times", "__toxicity", "__k1", "__source", "rest", "toxicity", "mix", "times", "a.b", "c0", "k1")
+
+
+def test_pipeline_of_hard_rows(spark, monkeypatch):
+    """Every stage over null ids and texts, empty, long and repeated rows, and columns that could clash, against loops."""
+    import random
+
+    import corpus_pipeline as P
+    from seqlens.llm import toxicity
+
+    sf, rng = "/root/testdata/sf0.01", random.Random(4)
+    toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1").select("doc_id")
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    given = given.where("doc_id < 120").unionByName(given.where("doc_id >= 120").join(toxic, "doc_id", "left_semi")).collect()
+    rows = [tuple(r) for r in given] + [(None, None, None), (None, "", "a"), (None, "one two three four five six", "a"), (10**6, "", None), (10**6 + 1, " \t", "a"), (10**6 + 2, "longer " * 20_000, "b")]
+    rows += [(10**6 + 3, " ".join(f"w{rng.randrange(99)}" for _ in range(50)), "b")] * 5
+    marks = lambda i: tuple(f"{c}{i}" for c in range(len(ODD)))
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in ODD) + ", source string"
+    docs = spark.createDataFrame([(d, t, *marks(i), s) for i, (d, t, s) in enumerate(rows)], schema)
+    key = lambda r: tuple(r)
+    whole = {key(r) for r in docs.collect()}
+
+    # these rows are too few to learn from
+    assert toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet")).trained
+    tagger = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    monkeypatch.setattr(toxicity, "train", lambda *_: tagger)
+    score = {r.text: r.s for r in toxicity.score_documents(docs.select("text").distinct(), tagger, out="x").select("text", F.col("x.score").alias("s")).collect()}
+    clean = P.drop_toxic(spark, docs, sf)
+    assert clean.columns == docs.columns
+    kept = [key(r) for r in clean.collect()]
+    assert sorted(map(repr, kept)) == sorted(repr(k) for k in whole if score[k[1]] < 0.5) and len(kept) < len(whole)
+
+    single = P.drop_copies(spark, clean, sf)
+    left = [key(r) for r in single.collect()]
+    assert single.columns == docs.columns and set(left) <= set(kept) and len(set(left)) == len(left)
+
+    def shingles(text):
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ")
+        w = [x for x in w if x]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    texts = sorted({(k[0] is None, k[0] or 0, k[1] is None, k[1] or "") for k in kept})
+    sets, parent = [shingles(t[-1]) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    # of each component the smallest id stays, and of equal (id, text) one row
+    stay = {texts[root(i)][:2] for i in range(len(texts))}
+    assert {(k[0] is None, k[0] or 0) for k in left} == stay and len(left) == len({root(i) for i in range(len(texts))})
+
+    mixed = P.mix(spark, single, sf)
+    times = Counter(key(r) for r in mixed.collect())
+    assert mixed.columns == docs.columns and set(times) <= set(left) and max(times.values()) <= 2
+    final = P.tokenise(spark, mixed, sf).collect()
+    hashes = Counter((k[0], hashlib.sha256((k[1] or "").encode()).hexdigest()) for k, n in times.items() for _ in range(n))
+    assert Counter((r.doc_id, r.decoded_sha256) for r in final) == hashes
+
+    nothing = docs.limit(0)
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, nothing, sf)
+        assert out.columns == docs.columns and out.count() == 0
+    assert P.tokenise(spark, nothing, sf).count() == 0
