@@ -90,7 +90,7 @@ def op9_vector_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
-    warc.write_archive(warc.plan_records(_table(spark, sf_dir, "pages")), path)
+    warc.write_archive(_table(spark, sf_dir, "pages"), path)
     return warc.read_records(spark, path)
 
 

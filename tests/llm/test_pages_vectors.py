@@ -189,7 +189,7 @@ def test_values_below_a_blocked_branch_are_blocked_with_it(spark):
 
 
 def test_warc_round_trip(spark, pages, none, tmp_path):
-    warc.write_archive(warc.plan_records(pages), str(tmp_path / "w"), chunk=1000)
+    warc.write_archive(pages, str(tmp_path / "w"), chunk=1000)
     rows = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     first = {}
     for p, b in rows:
@@ -201,14 +201,73 @@ def test_warc_round_trip(spark, pages, none, tmp_path):
         want[p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", first[b] if again else None] += 1
     got = Counter(tuple(r) for r in warc.read_records(spark, str(tmp_path / "w")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
     assert got == want
-    chunks = warc.read_chunks(spark, str(tmp_path / "w"), chunk=4096).where("record = '<urn:x-page:99>'").orderBy("number").collect()
+    chunks = warc.read_chunks(spark, str(tmp_path / "w"), chunk=4096).where("page_id = 99").orderBy("number").collect()
     body = b"".join(c.chunk for c in chunks)
     assert body == ("ß<p>" * 70_000).encode() and max(len(c.chunk) for c in chunks) <= 4096
     assert chunks[3].digest == hashlib.sha256(body[: chunks[3].length]).hexdigest()
-    warc.write_archive(warc.plan_records(none), str(tmp_path / "e"))
+    warc.write_archive(none, str(tmp_path / "e"))
     assert warc.read_records(spark, str(tmp_path / "e")).count() == 0
 
 
+def _plain_records(path):
+    """An independent reader: gzip members by the gzip module's format, records by their lengths, HTTP by http.client."""
+    import http.client
+
+    class Socket:
+        def __init__(self, data):
+            self.data = data
+
+        def makefile(self, *_):
+            return io.BytesIO(self.data)
+
+    out = []
+    for file in sorted((path / "files").glob("*.warc.gz")):
+        data, kinds = file.read_bytes(), []
+        while data:
+            member = zlib.decompressobj(31)
+            record, data = member.decompress(data), member.unused_data
+            assert member.eof
+            head, rest = record.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode().split("\r\n")
+            fields = dict(line.split(": ", 1) for line in lines)
+            assert version == "WARC/1.1" and len(fields) == len(lines) and len(rest) == int(fields["Content-Length"]) + 4 and rest.endswith(b"\r\n\r\n")
+            body = None
+            if fields["WARC-Type"] == "response":
+                answer = http.client.HTTPResponse(Socket(rest[:-4]))
+                answer.begin()
+                assert answer.status == 200 and answer.getheader("Content-Type") == "text/html; charset=UTF-8"
+                body = answer.read()
+                assert fields["WARC-Payload-Digest"] == "sha256:" + hashlib.sha256(body).hexdigest()
+            kinds.append(fields["WARC-Type"])
+            out.append((fields, body))
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+    return out
+
+
+def test_warc_files_by_an_independent_parser(spark, pages, tmp_path):
+    warc.write_archive(pages, str(tmp_path / "w"), chunk=777)
+    records = _plain_records(tmp_path / "w")
+    names = [f["WARC-Record-ID"] for f, _ in records]
+    assert len(set(names)) == len(names)
+    told = [(f, b) for f, b in records if f["WARC-Type"] != "warcinfo"]
+    html = Counter((r.page_id, (r.html or "").encode(), " ".join((r.url or "").split())) for r in pages.collect())
+    body = {int(f["X-Page-Id"]): b for f, b in told if f["WARC-Type"] == "response" and f["X-Page-Id"] != "null"}
+    seen = Counter()
+    for f, b in told:
+        if f["WARC-Type"] == "revisit":
+            b = body[int(f["X-Refers-To-Page-Id"])]
+            assert f["WARC-Refers-To-Target-URI"] in {r.url or "" for r in pages.where(f"page_id = {f['X-Refers-To-Page-Id']}").collect()}
+        seen[None if f["X-Page-Id"] == "null" else int(f["X-Page-Id"]), b, f["WARC-Target-URI"]] += 1
+    assert seen == html
+
+
+def test_warc_shuffles_chunks_alone(spark, pages):
+    rows = warc._dealt(pages, warc.plan_records(pages), 4096, ("html", "page_id", "url"))
+    assert "body" not in rows.columns and rows.agg(F.max(F.octet_length("chunk"))).first()[0] <= 4096
+    # ids beyond the integers that a double holds survive
+    assert warc.plan_records(spark.createDataFrame([(2**60 + 1, None, "x" * 100), (2**60, "u", "x" * 100)], "page_id long, url string, html string")).first().refers_to == 2**60
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 64, 5000])
 def test_warc_parser_at_any_chunk(chunk):
     payloads = [b"", b"\r\n\r\n", b"WARC/1.1\r\n\r\n" * 9, bytes(range(256)) * 20]
