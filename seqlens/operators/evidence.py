@@ -66,8 +66,10 @@ def gate(read_decision: Column, methods: Column, policy: str = "annotate", requi
 
 def gated_decisions(candidates: DataFrame, proposals: DataFrame, policy: str = "require_any", required: tuple[str, ...] = (), min_score: float = 0.5, minimum: int = 3, fraction: float = 0.9) -> DataFrame:
     """candidates (contig, cut, current, alternative) with methods of matching proposals, read_decision and decision."""
-    p = proposals.where(F.col("score") >= min_score).select(F.col("contig").alias("pc"), "start", "end", "method")
-    near = candidates.join(p, (F.col("contig") == F.col("pc")) & F.col("cut").between(F.col("start"), F.col("end")))
+    # a cut is a point, and a proposal holds both its ends
+    p = proposals.where(F.col("score") >= min_score).select("contig", F.col("start").cast("long").alias("start"), (F.col("end") + 1).cast("long").alias("end"), "method")
+    cuts = candidates.select("contig", F.col("cut").cast("long").alias("start"), (F.col("cut") + 1).cast("long").alias("end")).distinct()
+    near = intersect_intervals(p, cuts, ["contig"]).withColumn("cut", F.col("overlap_start").cast(candidates.schema["cut"].dataType))
     per = near.groupBy("contig", "cut").agg(F.sort_array(F.collect_set("method")).alias("methods"))
     rows = candidates.join(per, ["contig", "cut"], "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
     rows = rows.withColumn("read_decision", decision(F.col("current"), F.col("alternative"), minimum, fraction))
@@ -76,12 +78,12 @@ def gated_decisions(candidates: DataFrame, proposals: DataFrame, policy: str = "
 
 def link_annotations(annotations: DataFrame, mask: DataFrame) -> DataFrame:
     """Annotations (accession, start, end, ...) with each merged mask interval they overlap."""
-    return intersect_intervals(annotations, merge_intervals(mask, ["accession"]), ["accession"])
+    return intersect_intervals(annotations, merge_intervals(mask, ["accession"], spread=True), ["accession"])
 
 
 def linked_bases(links: DataFrame, keys: list[str]) -> DataFrame:
     """Masked bases per keys: overlaps are merged first, so no base counts twice."""
-    spans = merge_intervals(links.select(*keys, "overlap_start", "overlap_end"), keys, "overlap_start", "overlap_end")
+    spans = merge_intervals(links.select(*keys, "overlap_start", "overlap_end"), keys, "overlap_start", "overlap_end", spread=True)
     return spans.groupBy(*keys).agg(F.sum(F.col("overlap_end") - F.col("overlap_start")).cast("long").alias("masked_bases"))
 
 

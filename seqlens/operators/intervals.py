@@ -7,14 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlens.operators.positions import PID, ROW, laid_out
+
 
 def overlaps(a: Column, b: Column, x: Column, y: Column) -> Column:
     """[a, b) and [x, y) share a position."""
     return (a < y) & (b > x)
 
 
-def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """keys, start, end of maximal runs; touching intervals merge."""
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", spread: bool = False) -> DataFrame:
+    """keys, start, end of maximal runs; touching intervals merge.
+
+    A key's intervals meet in one task, which suits keys of few rows; spread is for keys that may hold a large
+    share of all rows (merge_spread).
+    """
+    if spread:
+        return merge_spread(df, keys, start, end)
     order = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col(start) <= F.col("__reach"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -22,35 +30,106 @@ def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", en
     return rows.groupBy(*keys, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 
 
-def union_length(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "bases") -> DataFrame:
+def _inherited(laid: DataFrame, keys: Sequence[str], value: Column, out: str, later: bool = False) -> DataFrame:
+    """laid (see positions.laid_out) with out: the greatest value of the key in earlier partitions, or the least in later ones.
+
+    One row a key and partition; only keys that lie in several partitions have something to inherit.
+    """
+    pick = F.min if later else F.max
+    per = laid.groupBy(PID, *keys).agg(pick(value).alias("__v"))
+    wide = per.groupBy(*keys).agg(F.count(F.lit(1)).alias("__p")).where("__p > 1")
+    on = [F.col(k).eqNullSafe(F.col(f"__w{i}")) for i, k in enumerate(keys)]
+    met = on[0]
+    for o in on[1:]:
+        met = met & o
+    wide = wide.select(*[F.col(k).alias(f"__w{i}") for i, k in enumerate(keys)])
+    order = Window.partitionBy(*keys).orderBy(PID)
+    rows = order.rowsBetween(1, Window.unboundedFollowing) if later else order.rowsBetween(Window.unboundedPreceding, -1)
+    heirs = per.join(wide, met, "left_semi").select(F.col(PID).alias("__hp"), *[F.col(k).alias(f"__h{i}") for i, k in enumerate(keys)], pick("__v").over(rows).alias(out))
+    met = F.col(PID) == F.col("__hp")
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"__h{i}"))
+    return laid.join(heirs, met, "left").drop("__hp", *[f"__h{i}" for i in range(len(keys))])
+
+
+def merge_spread(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """merge_intervals of keys of any size: rows are sorted by range partition, and each partition inherits how far its key reaches already."""
+    laid = laid_out(df.select(*keys, start, end).distinct(), [*[F.col(k) for k in keys], F.col(start), F.col(end)], "islands")
+    laid = _inherited(laid, keys, F.col(end), "__before")
+    own = Window.partitionBy(PID, *keys).orderBy(ROW)
+    reach = F.greatest(F.max(end).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("__before"))
+    rows = laid.withColumn("__new", F.when(F.coalesce(F.col(start) > reach, F.lit(True)), F.col(start)))
+    # starts ascend, so the greatest beginning so far is that of the island a row is in
+    rows = _inherited(rows, keys, F.col("__new"), "__from")
+    island = F.greatest(F.max("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("__from"))
+    rows = rows.withColumn("__island", island)
+    return rows.groupBy(*keys, "__island").agg(F.max(end).alias(end)).select(*keys, F.col("__island").alias(start), end)
+
+
+def union_length(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", out: str = "bases", spread: bool = False) -> DataFrame:
     """keys and the number of positions their intervals cover."""
-    return merge_intervals(df, keys, start, end).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias(out))
+    return merge_intervals(df, keys, start, end, spread).groupBy(*keys).agg(F.sum(F.col(end) - F.col(start)).cast("long").alias(out))
+
+
+def _level(start: Column, end: Column) -> Column:
+    """The least power of two that is at least an interval's length, as exponent."""
+    return F.ceil(F.log2(F.greatest(end - start, F.lit(1)).cast("double"))).cast("int")
+
+
+def _binned(rows: DataFrame, levels: Column, start: str, end: str) -> DataFrame:
+    """rows for each of the levels and each bin of that width that they touch: at most two bins a level that is no less than their own."""
+    rows = rows.withColumn("__level", F.explode(levels))
+    bin_ = lambda c: F.call_function("shiftright", c.cast("long"), F.col("__level"))
+    last = F.greatest(F.col(end) - 1, F.col(start))
+    return rows.withColumn("__bin", F.explode(F.sequence(bin_(F.col(start)), bin_(last))))
 
 
 def intersect_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """left's rows with each overlapping right interval: keys stay equi-keys, so the join is hashed or merged, not nested."""
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).alias("__rs"), F.col(end).alias("__re"))
-    on = overlaps(F.col(start), F.col(end), F.col("__rs"), F.col("__re"))
+    """left's rows with each overlapping right interval of the same keys, overlap_start and overlap_end.
+
+    A pair meets in bins as wide as the longer of the two: each interval lies in at most two bins of its own width, and in
+    two of each greater width that the other side has, so rows that share a key but lie apart never meet,
+    however many a key has. Of two common bins the one where the later of the two begins owns the pair.
+    """
+    # powers of two up to the greatest length: a few dozen numbers
+    sizes = lambda df, a, b: sorted(r[0] for r in df.where(F.col(a) < F.col(b)).select(_level(F.col(a), F.col(b))).distinct().collect())
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).cast("long").alias("__rs"), F.col(end).cast("long").alias("__re")).where("__rs < __re")
+    on = overlaps(F.col(start), F.col(end), F.col("__rs"), F.col("__re")) & (F.col("__level") == F.col("__l2")) & (F.col("__bin") == F.col("__b2"))
+    on = on & (F.col("__bin") == F.call_function("shiftright", F.greatest(F.col(start).cast("long"), F.col("__rs")), F.col("__level")))
     for k in keys:
         on = on & (F.col(k) == F.col(f"__{k}"))
-    joined = left.join(r, on).withColumn("overlap_start", F.greatest(start, "__rs")).withColumn("overlap_end", F.least(end, "__re"))
-    return joined.drop("__rs", "__re", *[f"__{k}" for k in keys])
+    numbers = lambda ls: F.array(*[F.lit(n) for n in ls]).cast("array<int>")
+    mine, theirs = _level(F.col(start), F.col(end)), _level(F.col("__rs"), F.col("__re"))
+    wide, narrow = numbers(sizes(left, start, end)), numbers(sizes(r, "__rs", "__re"))
+    kept = left.where(F.col(start) < F.col(end))
+    # left intervals in their own bins meet right ones that are no longer; then the other way round
+    met = None
+    for own, others in ((F.array(mine), F.filter(wide, lambda n: n >= theirs)), (F.filter(narrow, lambda n: n > mine), F.array(theirs))):
+        b = _binned(r, others, "__rs", "__re").withColumnsRenamed({"__level": "__l2", "__bin": "__b2"})
+        part = _binned(kept, own, start, end).join(b, on)
+        met = part if met is None else met.unionByName(part)
+    joined = met.withColumn("overlap_start", F.greatest(start, "__rs")).withColumn("overlap_end", F.least(end, "__re"))
+    return joined.drop("__rs", "__re", "__level", "__bin", "__l2", "__b2", *[f"__{k}" for k in keys])
 
 
 def sweep_segments(runs: DataFrame, keys: Sequence[str], member: str, start: str = "start", end: str = "end") -> DataFrame:
     """Elementary segments between interval ends, with the members active on each; segments without one are left out.
 
-    An event adds or removes one activity, so the activity of a segment is a running sum; a
-    member set is gathered over the runs that span the segment.
+    Ends are sorted by range partition, each partition taking its last end's successor from later ones; segments and
+    runs meet in bins (intersect_intervals). So a key may hold any share of the rows.
     """
     edges = runs.select(*keys, F.explode(F.array(start, end)).alias("__at")).distinct()
-    w = Window.partitionBy(*keys).orderBy("__at")
-    segs = edges.withColumn("seg_end", F.lead("__at").over(w)).where("seg_end IS NOT NULL").withColumnRenamed("__at", "seg_start")
-    r = runs.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(member).alias("__m"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    on = (F.col("__s") <= F.col("seg_start")) & (F.col("__e") >= F.col("seg_end"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"__{k}"))
-    return segs.join(r, on).groupBy(*keys, "seg_start", "seg_end").agg(F.sort_array(F.collect_set("__m")).alias("members"))
+    laid = laid_out(edges, [*[F.col(k) for k in keys], F.col("__at")], "edges")
+    laid = _inherited(laid, keys, F.col("__at"), "__later", later=True)
+    own = Window.partitionBy(PID, *keys).orderBy(ROW)
+    segs = laid.withColumn("seg_end", F.coalesce(F.lead("__at").over(own), "__later")).where("seg_end IS NOT NULL")
+    segs = segs.select(*keys, F.col("__at").alias("seg_start"), "seg_end")
+    active = runs.select(*keys, F.col(member).alias("__m"), start, end)
+    segments = segs.select(*keys, F.col("seg_start").alias(start), F.col("seg_end").alias(end))
+    # no run begins or ends inside a segment, so one that overlaps it spans it
+    met = intersect_intervals(active, segments, keys, start, end)
+    rows = met.groupBy(*keys, F.col("overlap_start").alias("seg_start"), F.col("overlap_end").alias("seg_end"))
+    return rows.agg(F.sort_array(F.collect_set("__m")).alias("members"))
 
 
 def sequence_windows(seqs: DataFrame, size: int = 500, step: int = 500, name: str = "name", seq: str = "seq") -> DataFrame:

@@ -16,11 +16,11 @@ DIGITS = 6
 
 
 def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.merge_intervals(intervals(spark, sf_dir), ["accession"])
+    return I.merge_intervals(intervals(spark, sf_dir), ["accession"], spread=True)
 
 
 def union_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.union_length(intervals(spark, sf_dir), ["accession"])
+    return I.union_length(intervals(spark, sf_dir), ["accession"], spread=True)
 
 
 def interval_link(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import coverage as C
 from seqlens.operators import reads as R
+from seqlens.operators import reconstruction as N
 from seqlens.operators import stages as T
 from seqlens.plans.adapters import SEQ_SQL, sequences, table
 
@@ -83,7 +84,20 @@ def window_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.window_depth(windows, C.fragment_blocks(C.accepted_pairs(sam))).select("window_id", "contig", "start", F.round("depth", DIGITS).alias("depth"))
 
 
-QUERIES = {f.__name__: f for f in (correction_calls, taxonomy_resolution, pair_preparation, reported_quality, window_depths)}
+def reconstruction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order is a candidate with up to three rewrites of a contig, its lines are their support; customers' batches stand or fall together."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.col("o_orderkey")
+    index = F.explode(F.sequence(F.lit(0), (key % 3 + 1).cast("int")))
+    t = o.select(key.alias("candidate"), (F.floor(key / 3) * 7 + F.col("o_custkey") % 2).alias("contig"), index.alias("index"), (F.col("o_custkey") % 50).alias("left"))
+    t = t.select("*", F.concat(F.lit("path_"), "index").alias("template"), (F.col("left") + F.col("candidate") % 9 * 70 + F.col("index")).alias("right"), ((F.col("candidate") + F.col("index")) % 11 == 0).alias("unchanged"), ((F.col("candidate") + F.col("index")) % 13 == 0).alias("reuses"))
+    support = li.groupBy(F.col("l_orderkey").alias("candidate"), F.concat(F.lit("path_"), F.col("l_linenumber") % 3).alias("template")).agg(F.sum(F.floor(F.col("l_quantity") / 8)).cast("long").alias("support"))
+    decided = N.rewrite_decisions(t, support, fraction=0.5).withColumn("batch", F.floor(F.col("contig") / 700))
+    again = t.groupBy(F.col("contig").alias("template")).agg((F.max("candidate") % 40).alias("support"))
+    return N.verify_batch(decided, again, 3, ("batch",))
+
+
+QUERIES = {f.__name__: f for f in (reconstruction_calls, correction_calls, taxonomy_resolution, pair_preparation, reported_quality, window_depths)}
 SQL = {
     "correction_calls": """WITH s AS (SELECT l_orderkey AS k, (l_linenumber * l_linenumber + l_suppkey) % 4 AS i, sum(floor(l_quantity / 10))::BIGINT AS n FROM lineitem GROUP BY ALL),
 c AS (SELECT o_orderkey AS k, coalesce(max(n) FILTER (i = 0), 0) AS cur, coalesce(max(n) FILTER (i BETWEEN 1 AND o_orderkey % 3), 0) AS alt FROM orders LEFT JOIN s ON k = o_orderkey GROUP BY o_orderkey),
@@ -118,4 +132,16 @@ g AS (SELECT l_suppkey, a, b FROM r JOIN k USING (q) WHERE l_suppkey % 9 <> 0 AN
 w AS (SELECT s_suppkey AS s, unnest([0, 100, 200, 300]) AS st FROM supplier),
 o AS (SELECT s, st, sum(greatest(0, least(a + 50, st + 100) - greatest(a, st)) + greatest(0, least(b + 50, st + 100) - greatest(b, st)) - greatest(0, least(a + 50, st + 100) - greatest(b, st))) AS n FROM w JOIN g ON l_suppkey = s GROUP BY ALL)
 SELECT 'c' || w.s || ':' || w.st AS window_id, 'c' || w.s AS contig, w.st AS start, round(coalesce(n, 0) / 100.0::DOUBLE, 6) AS depth FROM w LEFT JOIN o ON o.s = w.s AND o.st = w.st""",
+    "reconstruction_calls": """WITH t AS (SELECT o_orderkey AS candidate, o_orderkey // 3 * 7 + o_custkey % 2 AS contig, unnest(range(0, o_orderkey % 3 + 2)) AS i, o_orderkey % 9 * 70 AS span FROM orders),
+s AS (SELECT l_orderkey AS candidate, l_linenumber % 3 AS i, sum(floor(l_quantity / 8))::BIGINT AS n FROM lineitem GROUP BY ALL),
+x AS (SELECT t.*, coalesce(n, 0) AS n FROM t LEFT JOIN s USING (candidate, i)),
+c AS (SELECT candidate, contig, max(span + i) + 40 AS span, sum(n) AS total, max(row(n, i)) FILTER (i > 0) AS best, list_reverse_sort(list(n) FILTER (i > 0)) AS counts FROM x GROUP BY ALL),
+d AS (SELECT candidate, contig, best[1] AS support, 'path_' || best[2] AS template, CASE WHEN span > 600 THEN 'region_exceeds_fragment_span'
+  WHEN NOT ((len(counts) = 1 OR counts[1] > counts[2]) AND best[1] >= 3 AND best[1] >= total * 0.5) THEN 'insufficient_unique_alternative_support'
+  WHEN (candidate + best[2]) % 11 = 0 THEN 'sequence_unchanged' WHEN (candidate + best[2]) % 13 = 0 THEN 'replacement_reuses_external_path_nodes' END AS reason FROM c),
+m AS (SELECT *, count(*) FILTER (reason IS NULL) OVER (PARTITION BY contig) AS k, contig // 700 AS batch FROM d),
+v AS (SELECT m.*, reason IS NULL AND k = 1 AS mine, w.n AS verified FROM m JOIN (SELECT contig, max(candidate) % 40 AS n FROM t GROUP BY 1) w USING (contig)),
+f AS (SELECT *, mine AND coalesce(bool_or(mine AND verified < 3) OVER (PARTITION BY batch), FALSE) AS lost FROM v)
+SELECT candidate, contig, template, support, batch, CASE WHEN mine AND NOT lost THEN 'reconstruct' ELSE 'unresolved' END AS decision,
+  CASE WHEN lost THEN 'batch_remapping_failed' WHEN mine THEN 'spanning_support_and_batch_remapping' WHEN reason IS NULL THEN 'multiple_rewrites_require_joint_validation' ELSE reason END AS reason, CASE WHEN mine THEN verified END AS verification_support FROM f""",
 }
