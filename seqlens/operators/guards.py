@@ -23,10 +23,10 @@ def within(rows: DataFrame, targets: DataFrame, key: str, length: str, start: st
 
 
 def once_each(left: DataFrame, right: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
-    """left, where both tables must hold the same keys, each once: one exchange of keys, counted on the map side."""
+    """left, where both tables must hold the same keys, each once; right is what is called missing or unexpected. Keys are counted on the map side."""
     mark = lambda df, a, b: df.select(*keys, F.lit(a).alias("__l"), F.lit(b).alias("__r"))
     seen = mark(left, 1, 0).unionByName(mark(right, 0, 1)).groupBy(*keys).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r"))
-    kind = F.when(F.col("__l") + F.col("__r") == 0, "").when(F.col("__r") == 0, "unexpected").when(F.col("__l") == 0, "missing").otherwise("repeated")
+    kind = F.when(F.col("__l") + F.col("__r") == 0, "").when(F.col("__r") == 0, "missing").when(F.col("__l") == 0, "unexpected").otherwise("repeated")
     name = F.to_json(F.struct(*keys))
     seen = ensure(seen, (F.col("__l") == 1) & (F.col("__r") == 1), F.concat(kind, F.lit(f" {what}: "), name))
     on = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]

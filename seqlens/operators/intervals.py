@@ -84,8 +84,8 @@ def _binned(rows: DataFrame, levels: Column, start: str, end: str) -> DataFrame:
     return rows.withColumn("__bin", F.explode(F.sequence(bin_(F.col(start)), bin_(last))))
 
 
-def intersect_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """left's rows with each overlapping right interval of the same keys, overlap_start and overlap_end.
+def intersect_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", carry: Sequence[str] = ()) -> DataFrame:
+    """left's rows with each overlapping right interval of the same keys: overlap_start, overlap_end, and the columns of right named in carry.
 
     A pair meets in bins as wide as the longer of the two: each interval lies in at most two bins of its own width, and in
     two of each greater width that the other side has, so rows that share a key but lie apart never meet,
@@ -93,7 +93,7 @@ def intersect_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str],
     """
     # powers of two up to the greatest length: a few dozen numbers
     sizes = lambda df, a, b: sorted(r[0] for r in df.where(F.col(a) < F.col(b)).select(_level(F.col(a), F.col(b))).distinct().collect())
-    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).cast("long").alias("__rs"), F.col(end).cast("long").alias("__re")).where("__rs < __re")
+    r = right.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(start).cast("long").alias("__rs"), F.col(end).cast("long").alias("__re"), *carry).where("__rs < __re")
     on = overlaps(F.col(start), F.col(end), F.col("__rs"), F.col("__re")) & (F.col("__level") == F.col("__l2")) & (F.col("__bin") == F.col("__b2"))
     on = on & (F.col("__bin") == F.call_function("shiftright", F.greatest(F.col(start).cast("long"), F.col("__rs")), F.col("__level")))
     for k in keys:
