@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqlens.operators import catalog as G
@@ -16,7 +16,6 @@ from seqlens.plans.adapters import HIT_SQL, SEQ_SQL, hits, kmer_sql, sequences,
 
 DIGITS = 6
 WEIGHTS = {"quantity": 1.0, "discount": 2.0, "tax": 0.5}
-LINKS = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7), (7, 8), (2, 9), (9, 7)]
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,22 +88,35 @@ def taxonomy_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.ranks_of(P.lineage(nodes, nodes.select(F.col("node").alias("id"), "node")), ["species", "genus"])
 
 
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    segs = spark.createDataFrame([(str(i), "ACGTTGCAAC"[: 3 + i % 5] * (1 + i % 3)) for i in range(1, 10)], "id string, seq string")
-    links = spark.createDataFrame([(f"{a}+", f"{b}+", 0) for a, b in LINKS], "src string, dst string, overlap int")
-    return segs, links
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, segments, links): every order's lines, numbered in order, are segments; most lead to the next, and some to the one after it."""
+    li = table(spark, sf_dir, "lineitem")
+    lines = li.groupBy(F.col("l_orderkey").alias("o"), "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    lines = lines.select("o", F.row_number().over(Window.partitionBy("o").orderBy("l_linenumber")).alias("n"), "p", "s")
+    id_ = lambda n: F.concat_ws(".", "o", n)
+    bases = F.concat(F.lit("AC"), F.translate(F.concat("p", "s"), "0123456789", "ACGTACGTAC"))
+    nxt = lines.select("o", F.col("n").alias("m"))
+    two = lines.join(nxt, "o").where(((F.col("m") == F.col("n") + 1) & (F.col("p") % 7 != 0)) | ((F.col("m") == F.col("n") + 2) & (F.col("p") % 3 == 0)))
+    overlap = F.when(F.col("m") == F.col("n") + 1, F.col("n") % 3).otherwise(0).cast("int")
+    links = two.select(F.concat(id_(F.col("n")), F.lit("+")).alias("src"), F.concat(id_(F.col("m")), F.lit("+")).alias("dst"), overlap.alias("overlap"))
+    return lines, lines.select(id_(F.col("n")).alias("id"), bases.alias("seq")), links
 
 
 def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, links = _graph(spark)
-    ends = spark.createDataFrame([("a", "1+", "4+"), ("b", "1+", "7+"), ("c", "2+", "8+"), ("d", "5+", "6+")], "name string, left string, right string")
+    """All ways from each order's first line to its last."""
+    lines, _, links = _graph(spark, sf_dir)
+    node = lambda n: F.concat(F.concat_ws(".", "o", n), F.lit("+"))
+    ends = lines.groupBy("o").agg(F.min("n").alias("a"), F.max("n").alias("b")).select(F.col("o").cast("string").alias("name"), node(F.col("a")).alias("left"), node(F.col("b")).alias("right"))
     return P.bounded_paths(ends, links).select("name", F.col("path_no").cast("long").alias("path_no"), F.array_join("path", ",").alias("path"))
 
 
 def path_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    segs, links = _graph(spark)
-    paths = spark.createDataFrame([("p", ["1+", "2+", "4+"]), ("q", ["8-", "7-", "5-"]), ("r", ["1+", "8+"])], "name string, path array<string>")
-    return P.spell_paths(paths, segs, links).select("name", "seq", F.array_join("offsets", ",").alias("offsets"))
+    """Each order's lines as a path, on either strand; an order with a link missing has no sequence."""
+    lines, segments, links = _graph(spark, sf_dir)
+    per = lines.groupBy("o").agg(F.sort_array(F.collect_list("n")).alias("ns"))
+    walk = lambda ns, sign: F.transform(ns, lambda n: F.concat(F.col("o").cast("string"), F.lit("."), n.cast("string"), F.lit(sign)))
+    paths = per.select(F.concat(F.lit("p"), "o").alias("name"), walk(F.col("ns"), "+").alias("path")).unionByName(per.select(F.concat(F.lit("r"), "o").alias("name"), walk(F.reverse("ns"), "-").alias("path")))
+    return P.spell_paths(paths, segments, links).select("name", "seq", F.array_join("offsets", ",").alias("offsets"))
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -161,8 +173,8 @@ _BLOCKS = """f AS (SELECT l_orderkey AS candidate, l_linenumber AS path, l_partk
 b AS (SELECT candidate % 500 AS entity, 'b' || (path % 3) AS block, feature || (part % 4) AS feature, max(value) AS value FROM f GROUP BY ALL),
 s AS (SELECT block, feature, count(value) >= 2 AND max(value) - min(value) > 1e-12 AS active, CASE WHEN count(value) >= 2 AND max(value) - min(value) > 1e-12 THEN quantile_cont(value, 0.95) ELSE 1.0 END AS scale FROM b GROUP BY ALL)"""
 _EDGE = "e AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cosine FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.4)"
-_LINK = "l(src, dst) AS (VALUES " + ", ".join(f"('{a}+', '{b}+')" for a, b in LINKS) + "), k AS (SELECT src, dst FROM l UNION SELECT replace(dst, '+', '-'), replace(src, '+', '-') FROM l)"
-_SEG = "g(id, s) AS (VALUES " + ", ".join(f"('{i}', '{'ACGTTGCAAC'[: 3 + i % 5] * (1 + i % 3)}')" for i in range(1, 10)) + "), n AS (SELECT id || '+' AS node, s FROM g UNION ALL SELECT id || '-', reverse(translate(s, 'ACGT', 'TGCA')) FROM g)"
+_LINES = """s AS MATERIALIZED (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, min(l_partkey) AS p, 'AC' || translate(min(l_partkey)::VARCHAR || min(l_suppkey)::VARCHAR, '0123456789', 'ACGTACGTAC') AS seq FROM lineitem GROUP BY l_orderkey, l_linenumber),
+k AS MATERIALIZED (SELECT x.o, x.n AS a, y.n AS b, CASE WHEN y.n = x.n + 1 THEN x.n % 3 ELSE 0 END AS overlap FROM s x JOIN s y ON x.o = y.o AND ((y.n = x.n + 1 AND x.p % 7 <> 0) OR (y.n = x.n + 2 AND x.p % 3 = 0)))"""
 _CALL = f"""h AS MATERIALIZED (SELECT query AS contig, 's' || target AS source, qstart - 1 AS a, qend AS b, qend - qstart + 1 AS length FROM ({HIT_SQL}) WHERE pident >= 98.0 AND qend - qstart + 1 >= 50 AND qstart >= 1),
 c AS MATERIALIZED (SELECT query AS contig, max(qend) AS length FROM ({HIT_SQL}) GROUP BY query),
 p AS MATERIALIZED (SELECT DISTINCT contig, source, unnest(range(a, b)) AS q FROM h),
@@ -201,13 +213,14 @@ r AS (SELECT name AS a, name AS b FROM m UNION SELECT r.a, ed.b FROM r JOIN ed O
     "taxonomy_lineage": """WITH RECURSIVE n AS (SELECT p_partkey AS node, p_partkey // 3 AS parent, CASE WHEN p_partkey < 2 THEN 'root' WHEN p_partkey < 20 THEN 'genus' WHEN p_partkey < 200 THEN 'species' ELSE 'strain' END AS rank FROM part),
 w AS (SELECT node AS id, 0 AS d, node, parent, rank FROM n UNION ALL SELECT w.id, w.d + 1, n.node, n.parent, n.rank FROM w JOIN n ON n.node = w.parent WHERE w.parent <> w.node)
 SELECT id, arg_min(node, d) FILTER (rank = 'species') AS species, arg_min(node, d) FILTER (rank = 'genus') AS genus FROM w GROUP BY id""",
-    "bounded_paths": f"""WITH RECURSIVE {_LINK}, en(name, l, r) AS (VALUES ('a', '1+', '4+'), ('b', '1+', '7+'), ('c', '2+', '8+'), ('d', '5+', '6+')),
-p AS (SELECT name, r, l AS tip, [l] AS path FROM en UNION ALL SELECT p.name, p.r, k.dst, list_append(path, k.dst) FROM p JOIN k ON k.src = p.tip WHERE p.tip <> p.r AND len(path) < 8)
-SELECT name, row_number() OVER (PARTITION BY name ORDER BY path) AS path_no, array_to_string(path, ',') AS path FROM p WHERE tip = r""",
-    "path_spelling": f"""WITH {_SEG}, {_LINK}, q(name, path) AS (VALUES ('p', ['1+', '2+', '4+']), ('q', ['8-', '7-', '5-']), ('r', ['1+', '8+'])),
-i AS (SELECT name, unnest(path) AS node, generate_subscripts(path, 1) AS i FROM q), j AS (SELECT i.*, s, lag(node) OVER (PARTITION BY name ORDER BY i) AS b FROM i JOIN n USING (node)),
-z AS (SELECT j.*, (b IS NULL OR EXISTS (SELECT 1 FROM k WHERE k.src = j.b AND k.dst = j.node)) AS ok, coalesce(sum(length(s)) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM j)
-SELECT name, CASE WHEN bool_and(ok) THEN string_agg(s, '' ORDER BY i) END AS seq, CASE WHEN bool_and(ok) THEN string_agg(off::BIGINT::VARCHAR, ',' ORDER BY i) END AS offsets FROM z GROUP BY name""",
+    "bounded_paths": f"""WITH RECURSIVE {_LINES}, e AS (SELECT o, min(n) AS a, max(n) AS b FROM s GROUP BY o),
+w AS (SELECT o, b, a AS tip, [o || '.' || a || '+'] AS path FROM e UNION ALL SELECT w.o, w.b, k.b, list_append(path, w.o || '.' || k.b || '+') FROM w JOIN k ON k.o = w.o AND k.a = w.tip WHERE w.tip <> w.b)
+SELECT o::VARCHAR AS name, row_number() OVER (PARTITION BY o ORDER BY path) AS path_no, array_to_string(path, ',') AS path FROM w WHERE tip = b""",
+    "path_spelling": f"""WITH {_LINES}, f AS (SELECT 'p' || o AS name, o, n, n AS i, seq, lag(n) OVER (PARTITION BY o ORDER BY n) AS before FROM s
+  UNION ALL SELECT 'r' || o, o, n, -n, reverse(translate(seq, 'ACGT', 'TGCA')), lead(n) OVER (PARTITION BY o ORDER BY n) FROM s),
+z AS (SELECT f.*, overlap, before IS NOT NULL AND overlap IS NULL AS broken, CASE WHEN before IS NULL THEN 0 ELSE overlap END AS cut FROM f LEFT JOIN k ON k.o = f.o AND k.a = least(f.n, before) AND k.b = greatest(f.n, before)),
+y AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE sum(length(seq) - cut) OVER (PARTITION BY name ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - cut END AS off FROM z)
+SELECT name, CASE WHEN NOT bool_or(broken) THEN string_agg(substr(seq, cut::INTEGER + 1), '' ORDER BY i) END AS seq, CASE WHEN NOT bool_or(broken) THEN string_agg(off::BIGINT::VARCHAR, ',' ORDER BY i) END AS offsets FROM y GROUP BY name""",
     "chimera_calls": f"WITH {_CALL} SELECT * FROM ca",
     "breakpoints": f"WITH {_CALL} SELECT * FROM br",
     "assembly_metrics": f"""WITH {_CALL}, cut(cutoff) AS (VALUES (0), (400)), kc AS MATERIALIZED (SELECT cutoff, ca.* FROM ca JOIN cut ON ca.length >= cutoff),
