@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import evidence as E
 from seqlens.operators import intervals as I
+from seqlens.operators.guards import ensure, within
 from seqlens.sources.readers import refuse, unique
 
 
@@ -42,6 +43,19 @@ def correction(candidates: DataFrame, support: DataFrame, proposals: DataFrame,
     return rows, I.split_at_cuts(seqs, rows.where("decision = 'split'").select(F.col("contig").alias("name"), "cut"))
 
 
+def proposals(tables: list[DataFrame], seqs: DataFrame) -> DataFrame:
+    """The proposals of several tables (contig, start, end, method, score, ...), cuts from start to end inclusive.
+
+    A proposal needs a contig of seqs that holds it, a method and a score from 0 to 1; one without fails the job that reads it.
+    """
+    rows = tables[0]
+    for more in tables[1:]:
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    good = (F.coalesce("method", F.lit("")) != "") & (F.col("score") >= 0) & (F.col("score") <= 1)
+    rows = ensure(rows, good, F.concat(F.lit("invalid proposal: "), F.to_json(F.struct("contig", "start", "end", "method", "score"))))
+    return within(rows, seqs.select(F.col("name").alias("contig"), F.length("seq").alias("length")), "contig", "length")
+
+
 def proposal_audit(evidence: DataFrame, proposals: DataFrame) -> DataFrame:
     """One row (proposals, matched, unmatched): proposals that hold the cut of a candidate of their contig, and others."""
     p = proposals.select(F.col("contig").alias("pc"), "start", "end")

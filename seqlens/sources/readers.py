@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqlens.functions.sequence import fragment_id
+from seqlens.operators.guards import once_each
+
 HIT_COLUMNS = ("qseqid", "sseqid", "pident", "length", "qstart", "qend", "sstart", "send", "bitscore", "qseq", "sseq")
 SEARCH_COLUMNS = ("query", "target", "fident", "qcov", "tcov", "evalue", "bits")
 
@@ -27,8 +32,9 @@ def fasta(spark: SparkSession, path: str, upper: bool = True) -> DataFrame:
     raw = spark.read.option("lineSep", "\n>").text(path).withColumn("ord", F.monotonically_increasing_id())
     text = F.regexp_replace(F.col("value"), "\r", "")
     rows = raw.select("ord", text.alias("t"), F.input_file_name().alias("file"))
-    first = F.row_number().over(Window.partitionBy("file").orderBy("ord")) == 1
-    rows = rows.withColumn("first", first).where(F.trim("t") != "")
+    # one row a file: the records of a file never meet
+    heads = rows.groupBy(F.col("file").alias("of")).agg(F.min("ord").alias("head"))
+    rows = rows.join(heads, F.col("file") == F.col("of")).withColumn("first", F.col("ord") == F.col("head")).where(F.trim("t") != "")
     refuse(rows.where(F.col("first") & ~F.ltrim("t").startswith(">")).select("t"), "sequence without a header")
     body = F.when(F.col("first"), F.substring(F.ltrim("t"), F.lit(2), F.length("t"))).otherwise(F.col("t"))
     head = F.substring_index(body, "\n", 1)
@@ -183,14 +189,51 @@ def genbank(spark: SparkSession, path: str) -> DataFrame:
 
 
 def accessions(spark: SparkSession, path: str) -> DataFrame:
-    """(accession): the distinct versioned nucleotide accessions of a list, a line each; others, and an empty list, are errors."""
-    rows = spark.read.text(path).select(F.regexp_replace("value", r"^\uFEFF|^\s+|\s+$", "").alias("accession")).where("accession <> ''").distinct()
+    """(ord, accession): the distinct versioned nucleotide accessions of a list, a line each, ord telling where each came first; others, and an empty list, are errors."""
+    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id())
+    rows = lines.select("ord", F.regexp_replace("value", r"^\uFEFF|^\s+|\s+$", "").alias("accession")).where("accession <> ''")
+    rows = rows.groupBy("accession").agg(F.min("ord").alias("ord")).select("ord", "accession")
     refuse(rows.where(~F.col("accession").rlike(r"^(NC|AC|NZ|NM|NR|XM|XR)_[0-9]+\.[0-9]+$")), "accession without a version")
     if not rows.limit(1).count():
         raise ValueError("empty accession list")
     return rows
 
 
+def settings(path: str) -> dict:
+    """A settings file of the driver: JSON, or YAML where a YAML library is installed; an empty YAML file is no settings."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    import yaml
+
+    return yaml.safe_load(text) or {}
+
+
+def same_targets(targets: DataFrame, lengths: DataFrame) -> DataFrame:
+    """targets (rname, length) of an alignment header, which must be exactly the names and lengths of (name, length); a difference fails the job that reads them."""
+    return once_each(targets, lengths.select(F.col("name").alias("rname"), F.col("length").cast("long").alias("length")), ["rname", "length"], "target")
+
+
+def sam_truth(records: DataFrame) -> DataFrame:
+    """(fragment, mate, start, strand) of placed records (qname, flag, pos), a row a mate: where simulated reads come from; of several placements the last by position."""
+    bit = lambda n: F.col("flag").bitwiseAND(F.lit(n)) != 0
+    rows = records.where(~bit(4)).select(fragment_id(F.col("qname")).alias("fragment"), F.when(bit(64), 1).otherwise(2).alias("mate"), (F.col("pos") - 1).alias("start"), F.when(bit(16), "-").otherwise("+").alias("strand"))
+    return rows.groupBy("fragment", "mate").agg(F.max(F.struct("start", "strand")).alias("p")).select("fragment", "mate", "p.*")
+
+
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, bytes, sha256) of the files of a folder: one task a file, their names relative to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.substring_index("path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def validate_snapshot(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """manifest (file, sha256) of a snapshot, whose files must be exactly those listed, each with its digest; any difference fails the job that reads it."""
+    return once_each(manifest.select("file", "sha256"), file_digests(spark, folder).select("file", "sha256"), ["file", "sha256"], "file of the snapshot")
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> None:
     """Raise ValueError unless both tables hold the same keys, each once."""
     for df in (left, right):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,5 +32,11 @@ def write_audit(df: DataFrame, path: str) -> None:
 
 
 def fingerprint(value) -> str:
-    """Digest of a value's canonical JSON."""
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    """Digest of a value's canonical JSON; numbers that JSON lacks are an error."""
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), allow_nan=False).encode()).hexdigest()
+
+
+def write_summary(spark: SparkSession, value, path: str) -> None:
+    """A small value of the driver as one indented JSON text with sorted keys."""
+    text = json.dumps(value, sort_keys=True, indent=2)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)

@@ -200,6 +200,9 @@ def test_policy_choice(frame):
     rows = [("c", "unmasked", str(i), 0.3, 0.6, 1.0) for i in range(3)] + [("c", "good", str(i), 0.1, 0.6, 1.0) for i in range(3)] + [("c", "lossy", str(i), 0.0, 0.3, 1.0) for i in range(3)]
     got = D.choose_policy(frame(rows, "condition string, policy string, unit string, wrong double, correct double, retained_breadth double"))
     assert [tuple(r) for r in got.collect()] == [("c", "good")]
+    for bad in (rows[:-1], [*rows, ("c", "good", "9", 0.1, 0.6, 1.0)], [*rows, rows[-1]]):
+        with pytest.raises(Exception, match="(missing|unexpected|repeated) unit"):
+            D.choose_policy(frame(bad, "condition string, policy string, unit string, wrong double, correct double, retained_breadth double")).collect()
 
 
 def test_factorisation_ignores_missing_cells():

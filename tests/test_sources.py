@@ -105,7 +105,8 @@ def test_genbank_sources_and_refusals(spark, tmp_path):
 
 
 def test_accessions_matrix_and_keys(spark, frame, tmp_path):
-    assert [r.accession for r in R.accessions(spark, _file(tmp_path, "a.txt", "NC_001802.1\nNC_001802.1\n")).collect()] == ["NC_001802.1"]
+    listed = R.accessions(spark, _file(tmp_path, "a.txt", "NC_003.1\nNC_001802.1\n\nNC_003.1\nNC_001.2\n"))
+    assert [r.accession for r in listed.orderBy("ord").collect()] == ["NC_003.1", "NC_001802.1", "NC_001.2"]
     with pytest.raises(ValueError):
         R.accessions(spark, _file(tmp_path, "b.txt", "NC_001802\n"))
     long = R.matrix(spark, _file(tmp_path, "m.tsv", "window_id\ts1\ts2\nw\t1\t0.5\n"), ["window_id"])
@@ -135,3 +136,71 @@ def test_streaming_screen(spark, frame, tmp_path):
     q = stream.writeStream.format("memory").queryName("screened").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.id: r.reason for r in spark.table("screened").collect()} == {"a": None, "b": "short"}
+
+
+def test_fasta_of_many_files_and_splits(spark, tmp_path):
+    for i in range(3):
+        _file(tmp_path, f"f{i}.fa", "".join(f">n{i}.{j} x\n{'ACGT' * (j + 1)}\nNN\n" for j in range(50)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = R.fasta(spark, str(tmp_path / "*.fa")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {(r.name, r.seq) for r in rows} == {(f"n{i}.{j}", "ACGT" * (j + 1) + "NN") for i in range(3) for j in range(50)}
+
+
+def test_settings_and_summaries(spark, tmp_path):
+    assert R.settings(_file(tmp_path, "a.json", '{"k": 31, "ranks": ["species"]}')) == {"k": 31, "ranks": ["species"]}
+    W.write_summary(spark, {"b": 1, "a": [2, None]}, str(tmp_path / "summary"))
+    assert "\n".join(r.value for r in spark.read.text(str(tmp_path / "summary")).collect()) == '{\n  "a": [\n    2,\n    null\n  ],\n  "b": 1\n}'
+    with pytest.raises(Exception, match="already exists"):
+        W.write_summary(spark, {}, str(tmp_path / "summary"))
+    assert W.fingerprint({"b": 1, "a": 2}) == W.fingerprint({"a": 2, "b": 1})
+    with pytest.raises(ValueError):
+        W.fingerprint({"a": float("nan")})
+
+
+def test_header_targets_and_true_places(spark, frame, tmp_path):
+    head = "@SQ\tSN:c\tLN:400\n@SQ\tSN:d\tLN:9\n"
+    row = lambda name, flag, pos: f"{name}\t{flag}\tc\t{pos}\t30\t4M\t=\t1\t0\tACGT\tIIII\n"
+    records, targets = R.sam(spark, _file(tmp_path, "x.sam", head + row("f/1", 67, 11) + row("f/2", 147, 21) + row("g", 4, 1) + row("h", 16, 5)))
+    names = lambda *rows: frame(list(rows), "name string, length int")
+    assert R.same_targets(targets, names(("d", 9), ("c", 400))).count() == 2
+    for bad, said in ((names(("c", 400)), "missing target"), (names(("c", 400), ("d", 8)), "target"), (names(("c", 400), ("d", 9), ("e", 1)), "unexpected target"), (names(("c", 400), ("d", 9), ("d", 9)), "repeated target")):
+        with pytest.raises(Exception, match=said):
+            R.same_targets(targets, bad).collect()
+    truth = {(r.fragment, r.mate): (r.start, r.strand) for r in R.sam_truth(records).collect()}
+    assert truth == {("f", 1): (10, "+"), ("f", 2): (20, "-"), ("h", 2): (4, "-")}
+
+
+def test_snapshots_are_compared_as_sets(spark, frame, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "snapshot"
+    (folder / "sub").mkdir(parents=True)
+    files = {"reference.fasta": ">NC_000001.1\nACGT\n", "sub/metadata.tsv": "accession\n"}
+    for name, text in files.items():
+        _file(folder, name, text)
+    manifest = frame([(n, hashlib.sha256(t.encode()).hexdigest()) for n, t in files.items()], "file string, sha256 string")
+    assert R.validate_snapshot(spark, str(folder), manifest).count() == 2
+    assert {r.file: r.bytes for r in R.file_digests(spark, str(folder)).collect()} == {n: len(t) for n, t in files.items()}
+    _file(folder, "reference.fasta", ">NC_000001.1\nAAAA\n")
+    with pytest.raises(Exception, match="file of the snapshot"):
+        R.validate_snapshot(spark, str(folder), manifest).collect()
+    _file(folder, "reference.fasta", files["reference.fasta"])
+    _file(folder, "more.txt", "x")
+    with pytest.raises(Exception, match="missing file|unexpected file"):
+        R.validate_snapshot(spark, str(folder), manifest).collect()
+
+
+def test_proposals_are_checked_where_they_are_read(spark, frame):
+    from seqlens.operators import stages as T
+
+    seqs = frame([("c", "A" * 100)], "name string, seq string")
+    kind = "contig string, start int, end int, method string, score double"
+    good, more = frame([("c", 1, 5, "coverage", 0.5)], kind), frame([("c", 100, 100, "nmf", 1.0, "x")], kind + ", detail string")
+    assert {(r.method, r.detail) for r in T.proposals([good, more], seqs).collect()} == {("coverage", None), ("nmf", "x")}
+    for row in (("c", 1, 101, "m", 0.5), ("c", 6, 5, "m", 0.5), ("d", 1, 5, "m", 0.5), ("c", -1, 5, "m", 0.5), ("c", 1, 5, "", 0.5), ("c", 1, 5, "m", 1.5), ("c", 1, 5, "m", float("nan")), ("c", 1, 5, "m", None)):
+        lazy = T.proposals([good, frame([row], kind)], seqs)  # nothing runs before the rows are read
+        with pytest.raises(Exception, match="invalid proposal|outside its target"):
+            lazy.collect()
