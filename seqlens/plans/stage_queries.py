@@ -13,6 +13,8 @@ from seqlens.plans.adapters import SEQ_SQL, sequences, table
 
 DIGITS = 6
 RANKS = ["species", "genus"]
+#: The letters whose upper case is one of A to Z, the dotless i and the long s among them.
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz\u0131\u017f", "ABCDEFGHIJKLMNOPQRSTUVWXYZIS"
 
 
 def correction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +43,8 @@ def taxonomy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bases(text):
-    return F.regexp_replace(F.upper(text), "[^A-Z]", "")
+    # letter by letter, as SQL's upper does: Java's makes SS of a sharp s
+    return F.regexp_replace(F.translate(text, _LOWER, _UPPER), "[^A-Z]", "")
 
 
 def pair_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
