@@ -28,7 +28,8 @@ def arm_hits(queries: DataFrame, reference: DataFrame, masks: DataFrame, arms: l
     spots = shared_table(spots.join(asked.select("code").distinct(), "code", "left_semi"), "askedspots")
     held = shared_table(asked.join(spots.select("target", "code").distinct(), "code"), "askedwords")
     full = held.groupBy("query", "target").agg(F.count(F.lit(1)).alias("words"))
-    merged = merge_intervals(masks.select("arm", "accession", "start", "end"), ["arm", "accession"]).withColumnRenamed("accession", "target")
+    # the join looks at the masks several times
+    merged = shared_table(merge_intervals(masks.select("arm", "accession", "start", "end"), ["arm", "accession"]).withColumnRenamed("accession", "target"), "armmasks")
     places = spots.select("target", "code", "times", F.col("pos").alias("start"), (F.col("pos") + k).alias("end"))
     # mask intervals carry their arm through the join; a place is touched once however many of them it meets
     met = intersect_intervals(places, merged.select("target", "arm", "start", "end"), ["target"], carry=["arm"])
@@ -69,6 +70,7 @@ def arm_units(predicted: DataFrame, truth: DataFrame, arms: list[str]) -> DataFr
 
 def evaluate_masks(queries: DataFrame, reference: DataFrame, taxonomy: DataFrame, truth: DataFrame, masks: DataFrame, k: int = 31, min_score: float = 1, fraction: float = 1) -> DataFrame:
     """arm_units of the unmasked reference and of every arm of masks (arm, accession, start, end)."""
+    masks = shared_table(masks.select("arm", "accession", "start", "end"), "masks")
     names = sorted(r.arm for r in masks.select("arm").distinct().limit(MOST_ARMS + 1).collect())
     if len(names) > MOST_ARMS or UNMASKED in names:
         raise ValueError("too many arms, or a mask named unmasked")

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from seqlens import session
 from seqlens.operators import mask_evaluation as M
 from seqlens.operators import sharing as S
 
@@ -52,3 +53,15 @@ def test_arms_equal_masked_references(spark):
     for arm in arms:
         want = _one_by_one(spark, q, ref, tax, m, 11, arm).collect()
         assert sorted(repr([r[c] for c in columns]) for r in got if r.arm == arm) == sorted(repr([r[c] for c in columns]) for r in want), arm
+
+
+def test_tables_of_words_go_before_the_arms_meet(spark, frame, tmp_path):
+    """The runs of the reference's words, as large as the reference, are gone once the mask is known; masks are worked out once."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ACGT") for _ in range(300)) for _ in range(4)]
+    seqs = frame([(f"s{i}", texts[i] + texts[(i + 1) % 4][:80]) for i in range(4)], "name string, seq string")
+    taxonomy = frame([(f"s{i}", f"t{i}") for i in range(4)], "name string, taxon string")
+    before = set(session._written)
+    got = S.shared_mask(seqs, taxonomy, 31).collect()
+    left = [p for p in session._written if p not in before]
+    assert len(got) >= 4 and not [p for p in left if "wordruns" in p] and len(left) == 1
