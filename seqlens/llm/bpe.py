@@ -23,11 +23,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF = 2048
+#: Texts that a task unpacks at once.
+SLICE = 256
 
 
 class TreeCodec:
@@ -114,22 +116,21 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     with open(ranks_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | ({"ids": pa.list_(pa.int32())} if with_ids else {})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary.value, pattern)
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.iloc[lo : lo + 512]
-                rows = []
-                for text in part["t"]:
+            for lo in range(0, batch.num_rows, SLICE):
+                part, rows = batch.slice(lo, SLICE), []
+                for text in part.column("t").to_pylist():
                     ids = codec.encode(text or "")
                     packed = np.array(ids, dtype="<u4")
                     row = (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest())
                     rows.append((*row, packed.astype("<i4")) if with_ids else row)
-                names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-                out = pd.DataFrame({c: list(v) for c, v in zip(names, zip(*rows, strict=True), strict=True)}) if rows else pd.DataFrame(columns=names)
-                out.insert(0, "doc_id", part["id"].to_numpy())
-                yield out
+                made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *made], ["doc_id", *kinds])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

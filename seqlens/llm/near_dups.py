@@ -64,7 +64,7 @@ def _params(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Shingler:
     """Word shingles of a text as sorted distinct 64-bit hashes; keeps a bounded table of word hashes."""
 
-    def __init__(self, k: int, most: int = 400_000):
+    def __init__(self, k: int, most: int = 100_000):
         self.k, self.most, self.known = k, most, {}
 
     def words(self, text: str) -> np.ndarray:

@@ -27,11 +27,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES = 800, 1200, 20_000
+#: Texts that a task unpacks at once, and words whose weights it remembers.
+SLICE, REMEMBERED = 256, 100_000
 #: Least log-likelihood ratio of a feature whose tokens are labelled, and of one that is kept.
 SURE, KEPT = 14.0, 3.0
 _WORD = re.compile(r"\w+")
@@ -106,7 +108,7 @@ class Tagger:
         for w in words:
             e = known.get(w)
             if e is None:
-                if len(known) > 300_000:
+                if len(known) >= REMEMBERED:
                     known.clear()
                 e = known[w] = self.bias + sum(self.weights.get(f, 0.0) for f in features(w))
             got.append(e)
@@ -273,12 +275,14 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text", out: st
     """docs with a struct column out: score (0 to 1), spans (array of start, end); a column of that name is replaced."""
     model = docs.sparkSession.sparkContext.broadcast(tagger)
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tagger = model.value
-        for series in parts:
-            done = []
-            for lo in range(0, len(series), 512):
-                texts = [t or "" for t in series.iloc[lo : lo + 512]]
+        for column in parts:
+            done = [pa.array([], kind)]
+            for lo in range(0, len(column), SLICE):
+                texts = [t or "" for t in column.slice(lo, SLICE).to_pylist()]
                 words = [list(map(str.lower, _WORD.findall(t))) for t in texts]
                 x, logits = tagger.evidence(words)
                 at, found = 0, []
@@ -286,8 +290,8 @@ def score_documents(docs: DataFrame, tagger: Tagger, text: str = "text", out: st
                     mine = logits[at : at + len(w)]
                     at += len(w)
                     found.append([{"start": a, "end": b} for a, b in spans(t, mine)] if len(mine) and mine.max() > 0 else [])
-                done.append(pd.DataFrame({"score": tagger.scores(x), "spans": found}))
-            yield pd.concat(done, ignore_index=True) if done else pd.DataFrame({"score": [], "spans": []})
+                done.append(pa.StructArray.from_arrays([pa.array(tagger.scores(x)), pa.array(found, kind[1].type)], fields=list(kind)))
+            yield pa.concat_arrays(done)
 
-    scored = F.pandas_udf(run, "score double, spans array<struct<start:int,end:int>>")
+    scored = F.arrow_udf(run, "score double, spans array<struct<start:int,end:int>>")
     return docs.withColumn(out, scored(F.col(text)))

@@ -471,3 +471,18 @@ def test_hot_group_is_spread(spark):
     mean = sum(size.values()) / 24
     assert max(size.values()) < 1.1 * mean and min(size.values()) > 0.9 * mean
     assert homes[zlib.crc32(b"small group " * 9)] and len(homes[zlib.crc32(b"small group " * 9)]) == 1 and len(homes[zlib.crc32(b"copy " * 20)]) > 6
+
+
+def test_tasks_unpack_texts_in_small_slices(frame):
+    """Texts reach Python as Arrow batches, of which a task unpacks a slice at a time; tables of known words stay small."""
+    import public_tokenizers
+
+    from seqlens.llm import bpe, near_dups, toxicity
+
+    docs = frame([(1, "a b c")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan(bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+    assert max(bpe.SLICE, toxicity.SLICE) <= 256 and max(toxicity.REMEMBERED, near_dups.Shingler(5).most) <= 100_000
+    rows = [(i, f"w{i} x") for i in range(3 * toxicity.SLICE + 1)]
+    scored = toxicity.score_documents(frame(rows, "doc_id long, text string").coalesce(1), toxicity.Tagger()).collect()
+    assert [(r.doc_id, r.text) for r in sorted(scored)] == rows and all(r.toxicity.score == 0 and r.toxicity.spans == [] for r in scored)
