@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seqlens.operators import evidence as E
 from seqlens.operators import intervals as I
 from seqlens.operators.guards import ensure, within
+from seqlens.session import shared_table
 from seqlens.sources.readers import refuse, unique
 
 
@@ -155,12 +156,14 @@ def quality(contigs: DataFrame, summary: DataFrame) -> DataFrame:
     name are refused.
     """
     element = r"^(.+)\|provirus_(\d+)_(\d+)$"
+    # guards and both kinds of rows read these, and texts should be read once
+    summary = shared_table(summary, "summary")
     unique(summary, ["seq_name"], "sequence name")
     part = lambda i: F.regexp_extract("seq_name", element, i)
     whole = F.coalesce(F.col("coordinates"), F.lit("")).isin("", "NA")
     rows = summary.withColumn("__whole", whole).withColumn("contig", F.when(F.col("__whole"), F.col("seq_name")).otherwise(part(1)))
     refuse(rows.where(~F.col("__whole") & ((part(1) == "") | (F.col("coordinates") != F.concat_ws("-", part(2), part(3))))).select("seq_name", "coordinates"), "element whose name and coordinates differ")
-    sizes = contigs.select("contig", F.length("seq").cast("long").alias("__n"))
+    sizes = shared_table(contigs.select("contig", F.length("seq").cast("long").alias("__n")), "contigsizes")
     rows = rows.join(sizes, "contig", "left")
     rows = rows.withColumn("start", F.when(F.col("__whole"), F.lit(0)).otherwise(part(2).try_cast("long") - 1)).withColumn("end", F.when(F.col("__whole"), F.col("__n")).otherwise(part(3).try_cast("long")))
     score = F.col("virus_score").cast("double")

@@ -18,3 +18,14 @@ def test_pair_preparation_keeps_letters_single(spark, tmp_path):
     got = catalog.queries()["pair_preparation"](spark, str(tmp_path))
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['pair_preparation']})").fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_reported_quality_reads_texts_before_its_guards(spark, frame, tmp_path):
+    """Guards and rows share one written table of lengths: nothing after them reads the contigs again."""
+    from seqlens.operators import stages as T
+
+    frame([("a", "ACGT"), ("b", "AC")], "contig string, seq string").write.parquet(str(tmp_path / "contigs"))
+    summary = frame([("a", 4, "NA", 0.5, "DTR", "Viruses;")], "seq_name string, length int, coordinates string, virus_score double, topology string, taxonomy string")
+    got = T.quality(spark.read.parquet(str(tmp_path / "contigs")), summary)
+    assert not [f for f in got.inputFiles() if str(tmp_path) in f]
+    assert {(r.contig, r.end, r.status) for r in got.collect()} == {("a", 4, "reported_viral_candidate"), ("b", 2, "not_reported")}
