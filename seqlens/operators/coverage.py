@@ -13,30 +13,63 @@ from seqlens.operators.intervals import merge_intervals, overlaps
 from seqlens.session import shared_table
 
 
-def fragment_calls(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., qname, reason): what keeps each fragment from being a valid, unique pair; null if nothing does.
+def _merged(blocks: Column) -> Column:
+    """An array of blocks sorted, those that touch as one."""
+    def step(out: Column, x: Column) -> Column:
+        last = F.element_at(out, -1)
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        joined = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(one))
+        return F.when((F.size(out) > 0) & (x["start"] <= F.try_element_at(out, F.lit(-1))["end"]), joined).otherwise(F.concat(out, F.array(x)))
 
-    sam: qname, flag, rname, pos (1-based), mapq, cigar, score (AS), other (XS), both null if absent.
-    Any supplementary placement rejects a fragment; a secondary one does unless it is at the
-    same place or scores lower than the same mate's primary.
+    return F.aggregate(F.array_sort(blocks), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def placed_fragments(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., qname, reason, placed): fragment_calls, and of a valid, unique pair the blocks of each contig, merged as in fragment_blocks.
+
+    placed is an array of (contig, blocks), null for other fragments. Records travel once, by fragment, and without what only the
+    calls of single records need; all else happens where a fragment's records lie.
     """
     f = F.col("flag")
     bit = lambda n: f.bitwiseAND(F.lit(n)) != 0
-    mate = f.bitwiseAND(F.lit(192))
-    primary = ~bit(256 | 2048)
     good = bit(2) & ~bit(4 | 8 | 512 | 1024) & (F.col("mapq") >= min_mapq) & (F.col("mapq") < 255)
     tie = F.col("other").isNotNull() & ~F.coalesce(F.col("other") < F.col("score"), F.lit(False))
-    rows = sam.withColumn("mate", mate).withColumn("primary", primary)
+    rows = sam.select(*by, "qname", "flag", "rname", "pos", "cigar", "score", good.alias("good"), tie.alias("tie")).repartition(*by, "qname")
+    rows = rows.withColumn("mate", f.bitwiseAND(F.lit(192))).withColumn("primary", ~bit(256 | 2048))
     own = Window.partitionBy(*by, "qname", "mate")
     place = F.struct("rname", "pos", "cigar", bit(16).alias("r"))
     rows = rows.withColumn("p_place", F.max(F.when(F.col("primary"), place)).over(own)).withColumn("p_score", F.max(F.when(F.col("primary"), F.col("score"))).over(own)).withColumn("has", F.max("primary").over(own))
     rival = ~bit(4) & (bit(2048) | bit(256) & (~F.col("has") | (place != F.col("p_place")) & ~F.coalesce(F.col("score") < F.col("p_score"), F.lit(False))))
+    first = lambda c: F.when(F.col("primary"), c)
+    spot = first(F.struct("rname", "pos", "cigar"))
+    # a valid pair has two primary records, so the least and the greatest are both of them
     per = rows.groupBy(*by, "qname").agg(
-        F.count_if("primary").alias("n"), F.count_if(F.col("primary") & good).alias("good"), F.count_if(F.col("primary") & tie).alias("ties"), F.countDistinct(F.when(F.col("primary"), F.col("rname"))).alias("contigs"),
-        F.sort_array(F.collect_set(F.when(F.col("primary"), F.col("mate")))).alias("mates"), F.max(rival).alias("rival"),
+        F.count_if("primary").alias("n"), F.count_if(F.col("primary") & F.col("good")).alias("good"), F.count_if(F.col("primary") & F.col("tie")).alias("ties"), F.min(first(F.col("rname"))).alias("c0"), F.max(first(F.col("rname"))).alias("c1"),
+        F.min(first(F.col("mate"))).alias("m0"), F.max(first(F.col("mate"))).alias("m1"), F.max(rival).alias("rival"), F.min(spot).alias("a"), F.max(spot).alias("b"),
     )
-    reason = F.when(F.col("n") != 2, "not_two_primaries").when(F.col("good") < 2, "filtered_record").when((F.col("contigs") != 1) | (F.col("mates") != F.array(F.lit(64), F.lit(128))), "not_a_pair")
-    return per.select(*by, "qname", reason.when(F.col("ties") > 0, "tied_score").when(F.col("rival"), "competing_placement").alias("reason"))
+    pair = F.coalesce(F.col("c0") == F.col("c1"), F.lit(False)) & (F.col("m0") == 64) & (F.col("m1") == 128)
+    reason = F.when(F.col("n") != 2, "not_two_primaries").when(F.col("good") < 2, "filtered_record").when(~pair, "not_a_pair")
+    reason = reason.when(F.col("ties") > 0, "tied_score").when(F.col("rival"), "competing_placement")
+    a, b = (F.coalesce(cigar_blocks(F.col(f"{x}.pos") - 1, F.col(f"{x}.cigar")), F.array().cast("array<struct<start:int,end:int>>")) for x in "ab")
+    on = lambda c, blocks: F.struct(F.col(c).alias("contig"), _merged(blocks).alias("blocks"))
+    placed = F.when(F.col("a.rname").eqNullSafe(F.col("b.rname")), F.array(on("a.rname", F.concat(a, b)))).otherwise(F.array(on("a.rname", a), on("b.rname", b)))
+    return per.select(*by, "qname", reason.alias("reason"), "a", "b").select(*by, "qname", "reason", F.when(F.col("reason").isNull(), placed).alias("placed"))
+
+
+def placed_blocks(fragments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., contig, start, end): a row for each block of placed_fragments."""
+    each = fragments.where("reason IS NULL").select(*keys, F.explode("placed").alias("p"))
+    return each.select(*keys, "p.contig", F.explode("p.blocks").alias("b")).select(*keys, "contig", "b.*")
+
+
+def fragment_calls(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., qname, reason): what keeps each fragment from being a valid, unique pair; null if nothing does.
+
+    sam: qname, flag, rname, pos (1-based), mapq, cigar, score (AS), other (XS), both null if absent.
+    Any supplementary placement rejects a fragment; a secondary one does unless it is at the
+    same place or scores lower than the same mate's primary.
+    """
+    return placed_fragments(sam, min_mapq, by).select(*by, "qname", "reason")
 
 
 def accepted_pairs(sam: DataFrame, min_mapq: int = 20, by: Sequence[str] = ()) -> DataFrame:
@@ -91,9 +124,8 @@ def library_coverage(sam: DataFrame, targets: DataFrame, libraries: DataFrame, w
     if len(names) > max_libraries or len(set(names)) != len(names) or None in names:
         raise ValueError("repeated, unnamed or too many libraries")
     sam = ensure(sam, F.col("sample").isin(*names), F.concat(F.lit("unknown library "), F.coalesce("sample", F.lit("null"))))
-    calls = shared_table(fragment_calls(sam, min_mapq, ["sample"]), "fragmentcalls")
-    valid = sam.where(F.col("flag").bitwiseAND(F.lit(256 | 2048)) == 0).join(calls.where("reason IS NULL").select("sample", "qname"), ["sample", "qname"], "left_semi")
-    blocks = shared_table(within(fragment_blocks(valid, ["sample"]), targets, "contig", "length"), "fragmentblocks")
+    calls = shared_table(placed_fragments(sam, min_mapq, ["sample"]).drop("qname"), "fragmentcalls")
+    blocks = shared_table(within(placed_blocks(calls, ["sample"]), targets, "contig", "length"), "fragmentblocks")
     bases = blocks.groupBy("sample").agg(F.sum(F.col("end") - F.col("start")).cast("long").alias("aligned_bases"))
     counts = calls.groupBy("sample").agg(F.count_if(F.col("reason").isNull()).alias("accepted_fragments"), F.count_if(F.col("reason").isNotNull()).alias("excluded_fragments"))
     told = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("accepted_fragments", "excluded_fragments", "aligned_bases")]

@@ -84,7 +84,7 @@ def window_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.explode(F.array(F.lit(0), F.lit(100), F.lit(200), F.lit(300)))
     windows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), "s_suppkey").alias("contig"), w.alias("start"))
     windows = windows.select(F.concat_ws(":", "contig", "start").alias("window_id"), "contig", "start", (F.col("start") + 100).alias("end"))
-    return C.window_depth(windows, C.fragment_blocks(C.accepted_pairs(sam))).select("window_id", "contig", "start", F.round("depth", DIGITS).alias("depth"))
+    return C.window_depth(windows, C.placed_blocks(C.placed_fragments(sam), ["qname"])).select("window_id", "contig", "start", F.round("depth", DIGITS).alias("depth"))
 
 
 def reconstruction_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
