@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,27 +47,35 @@ def spell_paths(paths: DataFrame, segments: DataFrame, links: DataFrame) -> Data
 def bounded_paths(ends: DataFrame, links: DataFrame, max_nodes: int = 8, max_paths: int = 32, max_states: int = 4096) -> DataFrame:
     """(name, path_no, path) of all simple paths between ends (name, left, right).
 
-    A frontier of partial paths grows a node a round; finished paths ride along. A name is void, and
+    A frontier of partial paths grows a node a round; finished paths stay where their round wrote them. A name is void, and
     returns nothing, when a step would revisit a segment, when a path of max_nodes could go on, or when
     it has more than max_paths paths or max_states states; a void name stops growing at once, so the rows of a
     name that meet in a window are bounded. Paths are numbered in lexicographic order.
     """
-    edges = both_ways(links).select(F.col("src").alias("tip"), F.col("dst").alias("next"))
+    # every round reads the edges, so they are written once
+    edges = shared_table(both_ways(links).select(F.col("src").alias("tip"), F.col("dst").alias("next")), "edges")
     bare = lambda n: F.substring(n, F.lit(1), F.length(n) - 1)
-    front = ends.select("name", "right", F.col("left").alias("tip"), F.array("left").alias("path"), F.lit(1).cast("long").alias("states")).withColumn("done", F.col("tip") == F.col("right"))
-    own = Window.partitionBy("name")
+    none = F.lit(0).cast("long")
+    front = ends.select("name", "right", F.array("left").alias("path"), F.lit(1).cast("long").alias("states"), none.alias("found"), (F.col("left") == F.col("right")).alias("done"))
+    own, rounds = Window.partitionBy("name"), []
     for n in range(1, max_nodes + 1):
-        grown = front.where(~F.col("done")).join(edges, "tip")
+        grown = front.where(~F.col("done")).join(edges, F.element_at("path", -1) == F.col("tip"))
         loop = F.exists("path", lambda p: bare(p) == bare(F.col("next"))) if n < max_nodes else F.lit(True)
-        grown = grown.select("name", "right", F.col("next").alias("tip"), F.concat("path", F.array("next")).alias("path"), "states", (F.col("next") == F.col("right")).alias("done"), loop.alias("loop"), F.lit(1).alias("new"))
-        rows = front.where("done").withColumns({"loop": F.lit(False), "new": F.lit(0)}).unionByName(grown)
-        rows = rows.withColumns({"bad": F.max("loop").over(own), "states": F.max("states").over(own) + F.sum("new").over(own), "found": F.sum(F.col("done").cast("int")).over(own)})
-        rows = rows.where(~F.col("bad") & (F.col("states") <= max_states) & (F.col("found") <= max_paths))
-        front = shared_table(rows.select("name", "right", "tip", "path", "states", "done"), "frontier")
+        rows = grown.select("name", "right", F.concat("path", F.array("next")).alias("path"), "states", "found", (F.col("next") == F.col("right")).alias("done"), loop.alias("loop"), F.lit(1).alias("new"))
+        if n == 1:
+            rows = rows.unionByName(front.where("done").withColumns({"loop": F.lit(False), "new": F.lit(0)}))
+        # the counts of a name pass on with its growing paths
+        rows = rows.withColumns({"bad": F.max("loop").over(own), "states": F.max("states").over(own) + F.sum("new").over(own), "found": F.max("found").over(own) + F.sum(F.col("done").cast("int")).over(own)})
+        ok = ~F.col("bad") & (F.col("states") <= max_states) & (F.col("found") <= max_paths)
+        kept = [F.when(F.col("ok"), F.col(c)).alias(c) for c in ("right", "path")]
+        rounds.append(shared_table(rows.withColumn("ok", ok).select("name", *kept, "states", "found", "done", "ok"), "frontier"))
+        front = rounds[-1].where("ok")
         if not front.where(~F.col("done")).limit(1).count():
             break
+    seen = reduce(DataFrame.unionByName, rounds)
+    found = seen.where("ok AND done").select("name", "path").join(seen.where("NOT ok").select("name").distinct(), "name", "left_anti")
     order = Window.partitionBy("name").orderBy("path")
-    return front.where("done").select("name", F.row_number().over(order).alias("path_no"), "path")
+    return found.select("name", F.row_number().over(order).alias("path_no"), "path")
 
 
 def reconvergences(paths: DataFrame, links: DataFrame, max_nodes: int = 8, max_paths: int = 32, max_states: int = 4096) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import catalog as G
 from seqlens.operators import coverage as C
+from seqlens.operators import graph
 
 SAM = "sample string, qname string, flag int, rname string, pos int, mapq int, cigar string, score double, other double"
 
@@ -40,3 +41,34 @@ def test_units_read_their_members_once(spark, frame):
     members = rows.select("name", F.udf(told)("a").alias("a"), "b")
     units = G.group_units(members, "name", ["a", "b"]).collect()
     assert seen.value == 50 and {r.unit for r in units} == {"n0"} and len(units) == 50
+
+
+def _written(run):
+    """(name, table) of what a call writes to the shared folder."""
+    plans, write = [], graph.shared_table
+    graph.shared_table = lambda df, name: plans.append((name, df)) or write(df, name)
+    try:
+        run().collect()
+    finally:
+        graph.shared_table = write
+    return plans
+
+
+def test_rounds_of_paths_read_edges_once_and_leave_finished_paths(spark, frame):
+    links = frame([("a+", "z+", 0), ("a+", "b+", 0), ("b+", "c+", 0), ("c+", "d+", 0), ("d+", "z+", 0), ("s+", "s+", 0)], "src string, dst string, overlap int")
+    ends = frame([("n", "a+", "z+"), ("one", "b+", "b+"), ("loop", "s+", "z+"), ("none", "z+", "a+")], "name string, left string, right string")
+    got = []
+    plans = _written(lambda: got.append(graph.bounded_paths(ends, links)) or got[0])
+    assert sorted((r.name, r.path_no, ",".join(r.path)) for r in got[0].collect()) == [("n", 1, "a+,b+,c+,d+,z+"), ("n", 2, "a+,z+"), ("one", 1, "b+")]
+    assert [n for n, _ in plans][:1] == ["edges"] and [n for n, _ in plans].count("edges") == 1
+    rounds = [df.where("done").count() for n, df in plans if n == "frontier"]
+    assert rounds == [2, 0, 0, 1]
+
+
+def test_a_name_void_late_has_no_earlier_paths(frame):
+    links = frame([("a+", "z+", 0), ("a+", "b+", 0), ("b+", "c+", 0), ("c+", "b+", 0)], "src string, dst string, overlap int")
+    ends = frame([("n", "a+", "z+"), ("m", "a+", "c+")], "name string, left string, right string")
+    assert [(r.name, r.path) for r in graph.bounded_paths(ends, links).collect()] == [("m", ["a+", "b+", "c+"])]
+    fan = frame([("a+", f"x{i}+", 0) for i in range(4)] + [(f"x{i}+", "z+", 0) for i in range(4)] + [("a+", "z+", 0)], "src string, dst string, overlap int")
+    assert graph.bounded_paths(ends.where("name = 'n'"), fan, max_paths=4).count() == 0 and graph.bounded_paths(ends.where("name = 'n'"), fan, max_paths=5).count() == 5
+    assert graph.bounded_paths(ends.where("name = 'n'"), fan, max_states=9).count() == 0 and graph.bounded_paths(ends.where("name = 'n'"), fan, max_states=10).count() == 5
