@@ -13,14 +13,15 @@ from seqlens.session import shared_table
 
 def both_ways(links: DataFrame) -> DataFrame:
     """Each link (src, dst, overlap) and its twin on the other strand."""
-    twin = links.select(flip(F.col("dst")).alias("src"), flip(F.col("src")).alias("dst"), "overlap")
-    return links.select("src", "dst", "overlap").unionByName(twin).distinct()
+    way = lambda a, b: F.struct(a.alias("src"), b.alias("dst"), F.col("overlap"))
+    # both from one row, so that what links are made of is worked out once
+    return links.select(F.inline(F.array(way(F.col("src"), F.col("dst")), way(flip(F.col("dst")), flip(F.col("src")))))).distinct()
 
 
 def oriented(segments: DataFrame) -> DataFrame:
     """(node, seq) of both orientations of segments (id, seq)."""
-    plus = segments.select(F.concat("id", F.lit("+")).alias("node"), "seq")
-    return plus.unionByName(segments.select(F.concat("id", F.lit("-")).alias("node"), revcomp(F.col("seq")).alias("seq")))
+    strand = lambda sign, seq: F.struct(F.concat("id", F.lit(sign)).alias("node"), seq.alias("seq"))
+    return segments.select(F.inline(F.array(strand("+", F.col("seq")), strand("-", revcomp(F.col("seq"))))))
 
 
 def bad_links(segments: DataFrame, links: DataFrame) -> DataFrame:

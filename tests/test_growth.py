@@ -72,3 +72,16 @@ def test_a_name_void_late_has_no_earlier_paths(frame):
     fan = frame([("a+", f"x{i}+", 0) for i in range(4)] + [(f"x{i}+", "z+", 0) for i in range(4)] + [("a+", "z+", 0)], "src string, dst string, overlap int")
     assert graph.bounded_paths(ends.where("name = 'n'"), fan, max_paths=4).count() == 0 and graph.bounded_paths(ends.where("name = 'n'"), fan, max_paths=5).count() == 5
     assert graph.bounded_paths(ends.where("name = 'n'"), fan, max_states=9).count() == 0 and graph.bounded_paths(ends.where("name = 'n'"), fan, max_states=10).count() == 5
+
+
+def test_both_ways_of_a_link_are_made_from_one_row(spark, frame):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    rows = frame([(f"{i}+", f"{i + 1}+", 0) for i in range(20)], "src string, dst string, overlap int")
+    made = rows.select(F.udf(told)("src").alias("src"), "dst", "overlap")
+    assert graph.both_ways(made).count() == 40 and seen.value == 20
+    assert {tuple(r) for r in graph.oriented(frame([("1", "AAC")], "id string, seq string")).collect()} == {("1+", "AAC"), ("1-", "GTT")}
