@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seqlens.operators.design import n50
 from seqlens.operators.intervals import merge_intervals, union_length
+from seqlens.operators.skew import dealt
+from seqlens.session import shared_table
 
 
 def aligned_columns(hits: DataFrame) -> DataFrame:
@@ -47,9 +49,10 @@ def interval_calls(contigs: DataFrame, runs: DataFrame, minimum: int = 150, expl
     """contig_calls from runs (contig, source, start, end) in which every base matches, without a row a base.
 
     A running sum over the ends of a contig's blocks counts the sources on a stretch; where it is 1, the running
-    sum of block numbers is the number of the only block.
+    sum of block numbers is the number of the only block. Runs travel once, by contig, into partitions of about the same
+    number of rows whatever the input.
     """
-    blocks = merge_intervals(runs, ["contig", "source"]).withColumn("block", F.row_number().over(Window.partitionBy("contig").orderBy("start", "source")).cast("long"))
+    blocks = merge_intervals(dealt(runs, ["contig"]), ["contig", "source"]).withColumn("block", F.row_number().over(Window.partitionBy("contig").orderBy("start", "source")).cast("long"))
     ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step"))))
     steps = blocks.select("contig", "block", ends.alias("e")).groupBy("contig", "e.at").agg(F.sum("e.step").alias("step"), F.sum(F.col("e.step") * F.col("block")).alias("shift"))
     w = Window.partitionBy("contig").orderBy("at")
@@ -61,18 +64,19 @@ def interval_calls(contigs: DataFrame, runs: DataFrame, minimum: int = 150, expl
 
 def _calls_of(contigs: DataFrame, blocks: DataFrame, minimum: int, explained: float) -> tuple[DataFrame, DataFrame]:
     """(calls, breakpoints) from blocks (contig, source, start, end, u0, u1), u0 and u1 the first and last position only that source matches."""
-    per = blocks.groupBy("contig", "source").agg(F.sum(F.col("end") - F.col("start")).alias("bases")).join(contigs, "contig")
-    whole = per.where(F.col("bases") / F.col("length") >= explained).groupBy("contig").agg(F.count(F.lit(1)).alias("complete"), F.min("source").alias("full"))
-    has = blocks.where("u0 IS NOT NULL").select("contig", F.col("source").alias("full")).distinct().withColumn("unique", F.lit(True))
+    blocks = dealt(shared_table(blocks, "blocks"), ["contig"])
+    per = blocks.groupBy("contig", "source").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.max(F.col("u0").isNotNull()).alias("unique")).join(contigs, "contig")
+    whole = F.col("bases") / F.col("length") >= explained
+    per = per.groupBy("contig").agg(F.count_if(whole).alias("complete"), F.min(F.when(whole, F.col("source"))).alias("full"), F.min(F.when(whole & F.col("unique"), F.col("source"))).alias("own"))
     blocks = blocks.where((F.col("end") - F.col("start") >= minimum) & F.col("u0").isNotNull())
     o = Window.partitionBy("contig").orderBy("u0", "u1", "source")
     nxt = {c: F.lead(c).over(o) for c in ("source", "start", "u0")}
     pairs = blocks.select("contig", F.col("source").alias("left_source"), nxt["source"].alias("right_source"), F.col("end").alias("le"), nxt["start"].alias("rs"), "u1", nxt["u0"].alias("r0"))
-    breaks = pairs.where("left_source <> right_source AND u1 < r0 AND (le >= rs OR rs - le <= 10)").join(whole, "contig", "left_anti")
+    breaks = pairs.where("left_source <> right_source AND u1 < r0 AND (le >= rs OR rs - le <= 10)").join(per.where("complete > 0").select("contig"), "contig", "left_anti")
     breaks = breaks.select("contig", "left_source", "right_source", (F.col("u1") + 1).alias("start"), F.col("r0").alias("end"))
     wrong = breaks.groupBy("contig").agg(F.count(F.lit(1)).alias("wrong"))
-    calls = contigs.join(per.select("contig").distinct().withColumn("aligned", F.lit(True)), "contig", "left").join(whole, "contig", "left").join(has, ["contig", "full"], "left").join(wrong, "contig", "left")
-    status = F.when(F.col("aligned").isNull(), "unaligned").when(F.col("complete") > 1, "ambiguous").when(F.col("complete") == 1, F.when(F.col("unique"), "consistent").otherwise("ambiguous")).when(F.col("wrong") > 0, "chimeric").otherwise("ambiguous")
+    calls = contigs.join(per, "contig", "left").join(wrong, "contig", "left")
+    status = F.when(F.col("complete").isNull(), "unaligned").when(F.col("complete") > 1, "ambiguous").when(F.col("complete") == 1, F.when(F.col("own") == F.col("full"), "consistent").otherwise("ambiguous")).when(F.col("wrong") > 0, "chimeric").otherwise("ambiguous")
     source = F.when(status == "consistent", F.col("full"))
     return calls.select("contig", "length", status.alias("status"), source.alias("source"), F.coalesce("wrong", F.lit(0)).cast("long").alias("wrong_connections")), breaks
 

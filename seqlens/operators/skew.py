@@ -24,3 +24,17 @@ def hot_join(rows: DataFrame, owners: DataFrame, on: Sequence[str], weight: str,
     light = owners.where(F.col(weight) * HOT_KEYS <= total)
     rest = rows.join(F.broadcast(heavy.select(*on)), list(on), "left_anti").join(light, list(on), how)
     return rest.unionByName(hot)
+
+
+#: Rows that a task gets of rows dealt by dealt().
+ROWS_A_TASK = 100_000
+
+
+def dealt(rows: DataFrame, on: Sequence[str], a_task: int = ROWS_A_TASK) -> DataFrame:
+    """rows hashed by the columns named in on into as many partitions as it takes for about a_task rows each.
+
+    What one task sorts or holds so stays the same however many rows there are, and later steps on these columns need no
+    other exchange. Rows are counted first. One key's rows still meet in one task.
+    """
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // a_task))
+    return rows.repartition(parts, *on)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from seqlens.operators import catalog as G
 from seqlens.operators import coverage as C
-from seqlens.operators import graph
+from seqlens.operators import evaluate, graph
+from seqlens.operators.skew import dealt
 
 SAM = "sample string, qname string, flag int, rname string, pos int, mapq int, cigar string, score double, other double"
 
@@ -43,14 +44,14 @@ def test_units_read_their_members_once(spark, frame):
     assert seen.value == 50 and {r.unit for r in units} == {"n0"} and len(units) == 50
 
 
-def _written(run):
+def _written(run, module=graph):
     """(name, table) of what a call writes to the shared folder."""
-    plans, write = [], graph.shared_table
-    graph.shared_table = lambda df, name: plans.append((name, df)) or write(df, name)
+    plans, write = [], module.shared_table
+    module.shared_table = lambda df, name: plans.append((name, df)) or write(df, name)
     try:
         run().collect()
     finally:
-        graph.shared_table = write
+        module.shared_table = write
     return plans
 
 
@@ -85,3 +86,18 @@ def test_both_ways_of_a_link_are_made_from_one_row(spark, frame):
     made = rows.select(F.udf(told)("src").alias("src"), "dst", "overlap")
     assert graph.both_ways(made).count() == 40 and seen.value == 20
     assert {tuple(r) for r in graph.oriented(frame([("1", "AAC")], "id string, seq string")).collect()} == {("1+", "AAC"), ("1-", "GTT")}
+
+
+def test_dealt_rows_of_a_task_stay_the_same_when_rows_grow(spark):
+    most = lambda n: dealt(spark.range(n), ["id"], 500).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most(4_000) < 900 and most(32_000) < 900
+
+
+def test_blocks_of_contigs_are_written_once(spark, frame):
+    contigs = frame([("a", 100), ("b", 100), ("c", 100), ("d", 100)], "contig string, length int")
+    runs = frame([("a", "s", 0, 60), ("a", "t", 60, 100), ("b", "s", 0, 100), ("b", "t", 0, 50), ("d", "s", 0, 100), ("d", "t", 0, 100)], "contig string, source string, start int, end int")
+    got = []
+    plans = _written(lambda: got.append(evaluate.interval_calls(contigs, runs, 10, 0.9)) or got[0][0], evaluate)
+    assert [n for n, _ in plans] == ["blocks"]
+    assert sorted(map(tuple, got[0][0].collect())) == [("a", 100, "chimeric", None, 1), ("b", 100, "consistent", "s", 0), ("c", 100, "unaligned", None, 0), ("d", 100, "ambiguous", None, 0)]
+    assert [tuple(r) for r in got[0][1].collect()] == [("a", "s", "t", 60, 60)]
