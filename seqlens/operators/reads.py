@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,10 @@ _CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 CODONS = {a + b + c: _CODE[16 * i + 4 * j + k] for i, a in enumerate("TCAG") for j, b in enumerate("TCAG") for k, c in enumerate("TCAG")}
 #: What an independent host search says of a fragment.
 HOST = ("host_supported", "ambiguous", "nonhost", "unclassified")
+#: The place of each byte in T, C, A, G, 4 for others, and the amino acid of three places in base 5.
+_BASE = np.full(256, 4, np.intp)
+_BASE[[ord(c) for c in "TCAG"]] = range(4)
+_AMINO = np.frombuffer("".join(CODONS.get(a + b + c, "X") for a in "TCAG-" for b in "TCAG-" for c in "TCAG-").encode(), np.uint8)
 _PAIR = str.maketrans("ACGTRYMKBDHVN", "TGCAYRKMVHDBN")
 
 
@@ -82,7 +87,10 @@ def pools(reads: DataFrame, membership: DataFrame, samples: DataFrame, max_group
 
 def translate(seq: str) -> str:
     """Amino acids of whole codons; X for a codon with any letter but A, C, G, T."""
-    return "".join(CODONS.get(seq[i : i + 3], "X") for i in range(0, len(seq) - 2, 3))
+    # one byte a letter: what isn't ASCII is no base
+    at = _BASE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(at) // 3 * 3
+    return _AMINO[25 * at[0:n:3] + 5 * at[1:n:3] + at[2:n:3]].tobytes().decode("ascii")
 
 
 def six_frame_orfs(seqs: DataFrame, min_aa: int = 75, max_x: float = 0.1) -> DataFrame:
@@ -105,8 +113,9 @@ def six_frame_orfs(seqs: DataFrame, min_aa: int = 75, max_x: float = 0.1) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, text in batch.itertuples(index=False):
-                if rows := [(name, *r) for r in find(text or "")]:
+            # a table a hundred texts, so that neither tables nor rows held are many
+            for i in range(0, len(batch), 100):
+                if rows := [(name, *r) for name, text in batch[i : i + 100].itertuples(index=False) for r in find(text or "")]:
                     yield pd.DataFrame(rows, columns=["name", "start", "end", "strand", "frame", "partial", "protein"])
 
     return seqs.select("name", "seq").mapInPandas(run, "name string, start int, end int, strand string, frame int, partial boolean, protein string")

@@ -101,3 +101,20 @@ def test_blocks_of_contigs_are_written_once(spark, frame):
     assert [n for n, _ in plans] == ["blocks"]
     assert sorted(map(tuple, got[0][0].collect())) == [("a", 100, "chimeric", None, 1), ("b", 100, "consistent", "s", 0), ("c", 100, "unaligned", None, 0), ("d", 100, "ambiguous", None, 0)]
     assert [tuple(r) for r in got[0][1].collect()] == [("a", "s", "t", 60, 60)]
+
+
+def test_translation_is_not_a_loop_over_codons():
+    from time import process_time
+
+    from seqlens.operators.reads import CODONS, translate
+
+    rng = random.Random(3)
+    plain = lambda s: "".join(CODONS.get(s[i : i + 3], "X") for i in range(0, len(s) - 2, 3))
+    for n in (0, 1, 2, 3, 4, 5, 300, 1000):
+        text = "".join(rng.choice("ACGTACGTACGTNacgté\U0001f9ec?*") for _ in range(n))
+        assert translate(text) == plain(text)
+    long = "".join(rng.choices("ACGT", k=600_000))
+    t = process_time()
+    want = plain(long)
+    slow, t = process_time() - t, process_time()
+    assert translate(long) == want and (process_time() - t) * 3 < slow
