@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from seqlens.operators import catalog as G
 from seqlens.operators import coverage as C
+from seqlens.operators import design as D
 from seqlens.operators import evaluate, graph
 from seqlens.operators.skew import dealt
 
@@ -118,3 +120,22 @@ def test_translation_is_not_a_loop_over_codons():
     want = plain(long)
     slow, t = process_time() - t, process_time()
     assert translate(long) == want and (process_time() - t) * 3 < slow
+
+
+def test_blocks_of_a_matrix_fit_as_the_whole(frame, monkeypatch):
+    rng = np.random.default_rng(1)
+    x, w = rng.random((23, 2)) @ rng.random((2, 5)) / 2, np.where(np.arange(23)[:, None] < 12, 0.2, rng.random((23, 5)))
+    w[20, 3] = 0
+    rows = frame([(f"e{i:02}", "b", f"f{j}", float(x[i, j]), float(w[i, j])) for i in range(23) for j in range(5)], "entity string, block string, feature string, x double, weight double")
+    monkeypatch.setattr(D, "ONE_TASK", 20)
+    monkeypatch.setattr(D, "BLOCK", 20)
+    monkeypatch.setattr(D, "KEPT", 4)
+    got = {(r.seed, r.entity, r.component): r for r in D.multiview(rows, 2, (0, 3), 10, 1e-9).collect()}
+    assert len(got) == 2 * 23 * 2
+    for seed in (0, 3):
+        left, _, loss, _ = D.factorize(x, w, 2, seed, 10, 1e-9)
+        want = D.loadings(left)
+        for i in range(23):
+            for c in range(2):
+                r = got[seed, f"e{i:02}", c]
+                assert abs(r.loading - want[i, c]) < 1e-9 and abs(r.loss - loss) < 1e-9
