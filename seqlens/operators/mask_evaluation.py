@@ -9,7 +9,7 @@ from seqlens.functions.sequence import kmer_table
 from seqlens.operators.design import paired_bootstrap
 from seqlens.operators.guards import ensure, once_each
 from seqlens.operators.intervals import intersect_intervals, merge_intervals
-from seqlens.operators.sharing import candidates, predictions
+from seqlens.operators.sharing import asked_codes, candidates, predictions
 from seqlens.session import shared_table
 
 UNMASKED, MOST_ARMS = "unmasked", 200
@@ -24,7 +24,7 @@ def arm_hits(queries: DataFrame, reference: DataFrame, masks: DataFrame, arms: l
     they lose, so an arm costs its losses, not another classification.
     """
     asked = shared_table(kmer_table(queries, k).select(F.col("name").alias("query"), "code"), "asked")
-    spots = kmer_table(reference, k, positions=True).select(F.col("name").alias("target"), "pos", "code", "times")
+    spots = kmer_table(reference, k, positions=True, among=asked_codes(asked)).select(F.col("name").alias("target"), "pos", "code", "times")
     spots = shared_table(spots.join(asked.select("code").distinct(), "code", "left_semi"), "askedspots")
     held = shared_table(asked.join(spots.select("target", "code").distinct(), "code"), "askedwords")
     full = held.groupBy("query", "target").agg(F.count(F.lit(1)).alias("words"))

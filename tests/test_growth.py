@@ -9,6 +9,7 @@ from seqlens.operators import catalog as G
 from seqlens.operators import coverage as C
 from seqlens.operators import design as D
 from seqlens.operators import evaluate, graph
+from seqlens.operators import sharing as S
 from seqlens.operators.skew import dealt
 
 SAM = "sample string, qname string, flag int, rname string, pos int, mapq int, cigar string, score double, other double"
@@ -139,3 +140,18 @@ def test_blocks_of_a_matrix_fit_as_the_whole(frame, monkeypatch):
             for c in range(2):
                 r = got[seed, f"e{i:02}", c]
                 assert abs(r.loading - want[i, c]) < 1e-9 and abs(r.loss - loss) < 1e-9
+
+
+def test_only_words_of_queries_leave_the_reference(frame, monkeypatch):
+    rng, tables, make = random.Random(7), [], S.kmer_table
+    text = lambda n: "".join(rng.choices("ACGT", k=n))
+    part = text(90)
+    reference = frame([("t1", text(500) + part + text(300)), ("t2", part[20:70] + "N" + part[:40]), ("t3", text(900)), ("t4", "AC"), ("t5", None)], "name string, seq string")
+    queries = frame([("q1", part), ("q2", part[::-1].translate(str.maketrans("ACGT", "TGCA"))[10:60]), ("q3", "ACG")], "name string, seq string")
+    monkeypatch.setattr(S, "kmer_table", lambda *a, **k: tables.append(make(*a, **k)) or tables[-1])
+    rows = lambda: sorted(map(tuple, S.seed_hits(queries, reference, 31).collect()))
+    got, made = rows(), tables[-1].count()
+    assert {(q, t) for q, t, _ in got} == {("q1", "t1"), ("q2", "t1"), ("q1", "t2"), ("q2", "t2")} and dict(((q, t), n) for q, t, n in got)["q1", "t1"] == 60
+    monkeypatch.setattr(S, "ASKED", 5)
+    assert rows() == got and made == 60 + 30 and tables[-1].count() > 1000
+    assert S.seed_hits(queries.where("name = 'q3'"), reference, 31).count() == 0
