@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from seqlens.operators.positions import PID, ROW, laid_out
+from seqlens.session import shared_table
 
 
 def overlaps(a: Column, b: Column, x: Column, y: Column) -> Column:
@@ -113,23 +116,62 @@ def intersect_intervals(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def sweep_segments(runs: DataFrame, keys: Sequence[str], member: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Elementary segments between interval ends, with the members active on each; segments without one are left out.
+    """Elementary segments between interval ends, with the members active on each (sorted, nulls left out); segments without a run are left out.
 
-    Ends are sorted by range partition, each partition taking its last end's successor from later ones; segments and
-    runs meet in bins (intersect_intervals). So a key may hold any share of the rows.
+    Ends are sorted by range partition and swept once. A partition takes over which members are active in its first key, and where its
+    last key goes on: a row a member of the keys at partitions' borders. So a key may hold any share of the rows, and no run meets a segment.
     """
-    edges = runs.select(*keys, F.explode(F.array(start, end)).alias("__at")).distinct()
-    laid = laid_out(edges, [*[F.col(k) for k in keys], F.col("__at")], "edges")
-    laid = _inherited(laid, keys, F.col("__at"), "__later", later=True)
-    own = Window.partitionBy(PID, *keys).orderBy(ROW)
-    segs = laid.withColumn("seg_end", F.coalesce(F.lead("__at").over(own), "__later")).where("seg_end IS NOT NULL")
-    segs = segs.select(*keys, F.col("__at").alias("seg_start"), "seg_end")
-    active = runs.select(*keys, F.col(member).alias("__m"), start, end)
-    segments = segs.select(*keys, F.col("seg_start").alias(start), F.col("seg_end").alias(end))
-    # no run begins or ends inside a segment, so one that overlaps it spans it
-    met = intersect_intervals(active, segments, keys, start, end)
-    rows = met.groupBy(*keys, F.col("overlap_start").alias("seg_start"), F.col("overlap_end").alias("seg_end"))
-    return rows.agg(F.sort_array(F.collect_set("__m")).alias("members"))
+    whole = F.coalesce(F.col(start) < F.col(end), F.lit(False))
+    step = lambda at, by: F.struct(F.col(at).cast("long").alias("__at"), F.when(whole, by).otherwise(0).alias("__by"))
+    ends = runs.select(*keys, F.col(member).cast("string").alias("__m"), F.explode(F.array(step(start, 1), step(end, -1))).alias("__e")).select(*keys, "__m", F.inline(F.array("__e")))
+    ends = ends.where("__at IS NOT NULL" + "".join(f" AND `{k}` IS NOT NULL" for k in keys))
+    laid = laid_out(ends, [*[F.col(k) for k in keys], F.col("__at")], "ends")
+    key = F.struct(*keys)
+    # a key that lies in several partitions is the first or the last of each
+    borders = laid.groupBy(PID).agg(F.min(key).alias("a"), F.max(key).alias("b")).select(PID, F.explode(F.array_distinct(F.array("a", "b"))).alias("k"))
+    wide = borders.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k.*")
+    per = shared_table(laid.join(F.broadcast(wide), list(keys), "left_semi").groupBy(PID, *keys, "__m").agg(F.sum("__by").cast("int").alias("__by"), F.min("__at").alias("__at")), "borders")
+    parts = per.select(*keys, PID).distinct()
+    # what earlier partitions left active stands before a partition's rows, the next partition's first end after them
+    earlier = per.join(parts.withColumnRenamed(PID, "__to"), list(keys)).where(F.col(PID) < F.col("__to")).groupBy(*keys, "__m", F.col("__to").alias(PID)).agg(F.sum("__by").cast("int").alias("__by"))
+    first = earlier.where("__by <> 0").select(*keys, "__m", F.lit(None).cast("long").alias("__at"), "__by", PID, F.lit(-1).cast("long").alias(ROW))
+    after = per.groupBy(PID, *keys).agg(F.min("__at").alias("__at")).withColumn("__at", F.lead("__at").over(Window.partitionBy(*keys).orderBy(PID))).where("__at IS NOT NULL")
+    last = after.select(*keys, F.lit(None).cast("string").alias("__m"), "__at", F.lit(0).alias("__by"), PID, F.lit(1 << 40).alias(ROW))
+    rows = laid.select(*keys, "__m", "__at", "__by", PID, ROW).unionByName(first).unionByName(last).repartition(PID).sortWithinPartitions(PID, ROW)
+    kind = StructType([*runs.select(*keys).schema.fields, *StructType.fromDDL("seg_start long, seg_end long, members array<string>").fields])
+    swept = rows.mapInArrow(_swept(len(keys)), kind)
+    types = runs.select(start, F.array(member).alias(member)).schema
+    return swept.select(*keys, *[F.col(c).cast(types[0].dataType).alias(c) for c in ("seg_start", "seg_end")], F.col("members").cast(types[1].dataType).alias("members"))
+
+
+def _swept(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sweep rows (n keys, member, place, change, partition, row), partitions one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, active, members = None, None, {}, []
+        for b in batches:
+            out = []
+            for i, (m, place, by, pid, *key) in enumerate(zip(*(b.column(c).to_pylist() for c in (n, n + 1, n + 2, n + 3, *range(n))), strict=True)):
+                if (pid, key) != now:
+                    now, at, active, members = (pid, key), None, {}, []
+                elif at is not None and place > at and active:
+                    members = members or [sorted(x for x in active if x is not None)]
+                    out.append((i, at, place, members[0]))
+                at = place
+                if by:
+                    left = active.get(m, 0) + by
+                    if left:
+                        active[m] = left
+                    else:
+                        del active[m]
+                    members = []
+            if out:
+                rows, starts, ends, held = zip(*out, strict=True)
+                at_rows = pa.array(rows)
+                columns = [*[b.column(c).take(at_rows) for c in range(n)], pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(held, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[:n], "seg_start", "seg_end", "members"])
+
+    return run
 
 
 def sequence_windows(seqs: DataFrame, size: int = 500, step: int = 500, name: str = "name", seq: str = "seq") -> DataFrame:

@@ -9,6 +9,7 @@ from seqlens.operators import catalog as G
 from seqlens.operators import coverage as C
 from seqlens.operators import design as D
 from seqlens.operators import evaluate, graph
+from seqlens.operators import intervals as I
 from seqlens.operators import sharing as S
 from seqlens.operators.skew import dealt
 
@@ -155,3 +156,21 @@ def test_only_words_of_queries_leave_the_reference(frame, monkeypatch):
     monkeypatch.setattr(S, "ASKED", 5)
     assert rows() == got and made == 60 + 30 and tables[-1].count() > 1000
     assert S.seed_hits(queries.where("name = 'q3'"), reference, 31).count() == 0
+
+
+def test_runs_of_a_key_never_meet_its_segments(spark, frame, monkeypatch):
+    rng, seen = random.Random(11), []
+    rows = [(rng.choice(("k", "k", "k", "l", None)), rng.choice(("a", "b", "c", None)), s, s + rng.choice((-3, 0, 1, 5, 40))) for s in (rng.randrange(60) for _ in range(150))]
+    rows += [("k", "a", None, 7), ("k", "a", 7, None), ("m", None, 3, 9)]
+    sweep = I._swept
+    monkeypatch.setattr(I, "_swept", lambda n: seen.append(n) or sweep(n))
+    got = I.sweep_segments(frame(rows, "key string, m string, start int, end int"), ["key"], "m").collect()
+    want = {}
+    for key in "klm":
+        mine = [r for r in rows if r[0] == key]
+        ends = sorted({p for r in mine for p in r[2:] if p is not None})
+        for a, b in zip(ends, ends[1:]):
+            held = [m for _, m, s, e in mine if s is not None and e is not None and s <= a and b <= e]
+            if held:
+                want[key, a, b] = sorted({m for m in held if m is not None})
+    assert {(r.key, r.seg_start, r.seg_end): r.members for r in got} == want and len(got) == len(want) and seen == [1]
