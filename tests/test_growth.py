@@ -174,3 +174,16 @@ def test_runs_of_a_key_never_meet_its_segments(spark, frame, monkeypatch):
             if held:
                 want[key, a, b] = sorted({m for m in held if m is not None})
     assert {(r.key, r.seg_start, r.seg_end): r.members for r in got} == want and len(got) == len(want) and seen == [1]
+
+
+def test_plans_of_a_fit_do_not_grow_with_its_rounds(frame, monkeypatch):
+    rng, plans = np.random.default_rng(2), []
+    x = rng.random((12, 4))
+    rows = frame([(f"e{i:02}", "b", f"f{j}", float(x[i, j]), 1.0) for i in range(12) for j in range(4)], "entity string, block string, feature string, x double, weight double")
+    for name, value in (("ONE_TASK", 20), ("BLOCK", 20), ("KEPT", 1)):
+        monkeypatch.setattr(D, name, value)
+    first = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or first(df))
+    D.multiview(rows, 2, (0,), 4, 1e-12)
+    plans = [p for p in plans if "up#" in p]
+    assert len(plans) == 5 and max(map(len, plans)) < 1.2 * min(map(len, plans)) and all(p.count("InMemoryRelation") == 1 for p in plans)
